@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(name, build, sql)
+        # a tie at the seventh place falls the same way in both engines, whatever the order of a sum (see r6)
+        QUERIES[name] = Query(name, build, sql and sql.replace(",6)", "+1e-10,6)"))
         return build
 
     return register
