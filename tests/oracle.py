@@ -80,7 +80,7 @@ def main() -> None:
         try:
             text, ok, notes = compare(q, spark, con, root)
         except Exception as e:  # report and go on
-            text, ok, notes = f"{type(e).__name__}: {str(e)[:900]}", False, []
+            text, ok, notes = f"{type(e).__name__}: {str(e)[:700]}", False, []
         print(f"{'ok  ' if ok else 'FAIL'} {q.name} {time.time() - t:.1f}s {text} {'; '.join(notes)}", flush=True)
         if not ok:
             bad.append(q.name)
