@@ -59,12 +59,20 @@ def literal_n(c: Column | str, piece: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
 
 
-def mean_of(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(numbers)
+def moments(numbers: Column) -> Column:
+    """(n, s, q): count, sum and sum of squares in one pass; no aggregate is ever nested in a lambda."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    return F.aggregate(numbers, zero, lambda a, x: F.struct(
+        (a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
 
 
-def std_of(numbers: Column, mean: Column) -> Column:
-    return F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(numbers))
+def mean(m: str) -> Column:
+    return F.col(f"{m}.s") / F.col(f"{m}.n")
+
+
+def std(m: str) -> Column:
+    n, s, q = (F.col(f"{m}.{x}") for x in "nsq")
+    return F.sqrt(F.greatest(F.lit(0.0), n * q - s * s)) / n
 
 
 def band(x: Column, low: float, high: float, floor: float, centre: float, slope: float) -> Column:
@@ -84,10 +92,14 @@ def positions(items: Column, test: Callable[[Column], Column]) -> Column:
     return F.array_compact(marked)
 
 
-def phrases_n(c: Column | str, phrases: Iterable[str]) -> Column:
-    """Occurrences of whole words or phrases; separators are doubled so neighbours need not share one."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(as_col(c), f"({NOT_WORD})", "$1$1"), F.lit(" "))
-    return F.regexp_count(spaced, F.lit(phrase_pattern(phrases)))
+def spaced(c: Column | str) -> Column:
+    """Separators doubled, so that neighbouring words need not share one when phrases are counted."""
+    return F.concat(F.lit(" "), F.regexp_replace(as_col(c), f"({NOT_WORD})", "$1$1"), F.lit(" "))
+
+
+def phrases_n(spaced_text: Column | str, phrases: Iterable[str]) -> Column:
+    """Occurrences of whole words or phrases in a ``spaced`` text."""
+    return F.regexp_count(as_col(spaced_text), F.lit(phrase_pattern(phrases)))
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:

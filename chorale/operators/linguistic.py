@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chorale import words as W
-from chorale.functions.text import (NOT_WORD, WORD, bare, band, count_if, gaps_between, literal_n, lowered, mean_of, n_words, pairs_if,
-                                    phrases_n, positions, regexp_n, sentences_of, std_of, within, words_of)
+from chorale.functions.text import (NOT_WORD, WORD, bare, band, count_if, gaps_between, literal_n, lowered, mean, moments, n_words, pairs_if,
+                                    phrases_n, positions, regexp_n, sentences_of, spaced, std, within, words_of)
 
 
 def _clip01(c):
@@ -23,21 +23,25 @@ def score_text(df: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("clean", F.filter(F.transform("w", lambda x: bare(F.lower(x))), lambda x: x != ""))
     d = d.withColumn("sent", sentences_of(text)).withColumn("long", F.filter("sent", lambda s: n_words(s) >= 3))
     c = F.size("clean")
-    ttr = F.size(F.array_distinct("clean")) / c
-    length = mean_of(F.transform("clean", lambda x: F.length(x)))
+    ttr = F.col("u") / c
+    d = d.withColumn("lens", moments(F.transform("clean", lambda x: F.length(x)))) \
+        .withColumn("sizes", moments(F.transform("long", n_words))).withColumn("sp", spaced(F.lower(text))) \
+        .withColumn("u", F.size(F.array_distinct("clean")))
+    length = mean("lens")
     simple = count_if(F.col("clean"), within(W.SIMPLE)) / c
-    repeats = (c - F.size(F.array_distinct("clean"))) / c
+    repeats = (c - F.col("u")) / c
     vocab = (F.least(F.lit(1.0), ttr * 2.0) + band(length, 4.0, 7.0, 0.3, 5.5, 0.2) + band(simple, 0.15, 0.35, 0.4, 0.25, 3)
              + F.greatest(F.lit(0.0), 1.0 - repeats * 2)) / 4
     vocab = F.when(c == 0, 0.0).otherwise(vocab)
 
-    art, con = _ratio(within(W.ARTICLES)), _ratio(within(W.CONJUNCTIONS))
+    d = d.withColumn("art", _ratio(within(W.ARTICLES))).withColumn("con", _ratio(within(W.CONJUNCTIONS))) \
+        .withColumn("prep", _ratio(within(W.PREPOSITIONS))).withColumn("pron", _ratio(within(W.PRONOUNS))) \
+        .withColumn("aux", _ratio(within(W.AUXILIARIES)))
+    art, con = F.col("art"), F.col("con")
     article = F.when(n < 10, 0.7).when(art.between(0.08, 0.15), 1.0).when(art.between(0.05, 0.20), 0.8).otherwise(0.5)
     conj = F.when(n < 10, 0.7).when(con.between(0.03, 0.08), 1.0).when(con.between(0.01, 0.12), 0.8).otherwise(0.5)
-    lengths = F.transform("long", n_words)
-    mean = mean_of(lengths)
     structure = F.when(F.size("long") < 2, 0.6).otherwise(
-        (band(mean, 8, 20, 0.4, 14, 0.1) + F.least(F.lit(1.0), std_of(lengths, mean) / 5.0)) / 2)
+        (band(mean("sizes"), 8, 20, 0.4, 14, 0.1) + F.least(F.lit(1.0), std("sizes") / 5.0)) / 2)
     articles, degree, joiners = within(W.ARTICLES), within(W.DEGREE), within(W.JOINERS)
     bad_order = pairs_if(F.col("low"), lambda a, b: (articles(a) & articles(b)) | (degree(a) & joiners(b)))
     order = F.greatest(F.lit(0.3), 1.0 - bad_order / F.greatest(n - 1, F.lit(1)) * 3)
@@ -55,10 +59,13 @@ def score_text(df: DataFrame, text: str = "text") -> DataFrame:
     shared = F.zip_with("topics", F.slice("topics", 2, F.greatest(F.size("topics"), F.lit(1))), lambda a, b: F.when(
         b.isNotNull(), F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
         .otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))))
-    topic = F.least(F.lit(1.0), mean_of(F.array_compact(shared)) * 4)
+    d = d.withColumn("overlap", moments(F.array_compact(shared)))
+    topic = F.least(F.lit(1.0), mean("overlap") * 4)
     third = within(W.THIRD_PERSON)
     pronoun = F.when(F.exists("long", lambda s: F.exists(lowered(F.split(s, " ")), third)), 0.7).otherwise(0.8)
-    past, now, later = (phrases_n(F.lower(text), p) for p in (W.PAST, W.PRESENT, W.FUTURE))
+    for name, words in (("past", W.PAST), ("now", W.PRESENT), ("later", W.FUTURE)):
+        d = d.withColumn(name, phrases_n("sp", words))
+    past, now, later = F.col("past"), F.col("now"), F.col("later")
     top = F.greatest(past, now, later) / (past + now + later)
     tense = F.when(past + now + later == 0, 0.7).when(top >= 0.7, 0.9).when(top >= 0.5, 0.8).otherwise(0.6)
     coherence = F.when((n < 10) | (F.size("long") < 2), 0.6).otherwise((topic + pronoun + tense) / 3)
@@ -72,9 +79,9 @@ def score_text(df: DataFrame, text: str = "text") -> DataFrame:
     noun = F.when(F.size("names") == 0, 0.8).otherwise(F.greatest(F.lit(0.3), likely / F.size("names")))
 
     function = F.when(n < 10, 0.7).otherwise((
-        band(art, 0.08, 0.15, 0.4, 0.12, 5) + band(_ratio(within(W.PREPOSITIONS)), 0.10, 0.20, 0.4, 0.15, 3)
-        + band(_ratio(within(W.PRONOUNS)), 0.08, 0.18, 0.4, 0.13, 3)
-        + band(_ratio(within(W.AUXILIARIES)), 0.08, 0.16, 0.4, 0.12, 4)) / 4)
+        band(art, 0.08, 0.15, 0.4, 0.12, 5) + band(F.col("prep"), 0.10, 0.20, 0.4, 0.15, 3)
+        + band(F.col("pron"), 0.08, 0.18, 0.4, 0.13, 3)
+        + band(F.col("aux"), 0.08, 0.16, 0.4, 0.12, 4)) / 4)
     parts = {"vocabulary": vocab, "grammar": grammar, "combination": combination, "coherence": coherence,
              "names_score": noun, "function_words": function}
     d = d.select(*df.columns, "n", *[x.alias(k) for k, x in parts.items()])
@@ -87,20 +94,28 @@ def score_punctuation(df: DataFrame, text: str = "text") -> DataFrame:
     """Boundaries, missing marks, placement, pairing and capitals -> ``l_punct``."""
     t, n = F.col(text), F.col("n")
     d = df.withColumn("w", words_of(text)).withColumn("n", F.size("w")).withColumn("sent", sentences_of(text))
-    capital = count_if(F.col("sent"), lambda s: s.rlike(r"^\p{Lu}")) / F.size("sent")
-    mean = mean_of(F.transform("sent", n_words))
-    dots, asks, shouts, commas = (literal_n(text, x) for x in ".?!,")
+    d = d.withColumn("capital", count_if(F.col("sent"), lambda s: s.rlike(r"^\p{Lu}")) / F.greatest(F.size("sent"), F.lit(1))) \
+        .withColumn("sizes", moments(F.transform("sent", n_words))).withColumn("low_text", F.lower(t)) \
+        .withColumn("sp", spaced("low_text")).withColumn("bare", F.transform("w", bare))
+    capital = F.col("capital")
+    counts = {"dots": ".", "asks": "?", "shouts": "!", "commas": ","}
+    for name, mark in counts.items():
+        d = d.withColumn(name, literal_n(text, mark))
+    dots, asks, shouts, commas = (F.col(name) for name in counts)
     total = dots + asks + shouts + commas
     spread = F.when(total == 0, 0.5).otherwise(
         (band(dots / total, 0.6, 0.8, 0.5, 0.7, 2) + band(commas / total, 0.15, 0.3, 0.7, 0.22, 3)) / 2)
     boundary = F.when((dots + asks + shouts == 0) | (F.size("sent") == 0), 0.3).otherwise(
-        0.5 * capital + 0.3 * band(mean, 5, 25, 0.4, 15, 0.05) + 0.2 * spread)
-
-    ends = positions(F.col("w"), lambda x: x.rlike("[.!?]"))
-    long_runs = F.aggregate(gaps_between(ends, n), F.lit(0), lambda s, g: s + F.greatest(g["length"] - 30, F.lit(0)))
-    lists = regexp_n(text, rf"{WORD}+\s+{WORD}+\s+and\s+{WORD}+")
-    listed = regexp_n(text, rf"{WORD}+,\s+{WORD}+\s+and\s+{WORD}+")
-    questions = phrases_n(F.lower(t), W.QUESTION_WORDS)
+        0.5 * capital + 0.3 * band(mean("sizes"), 5, 25, 0.4, 15, 0.05) + 0.2 * spread)
+
+    d = d.withColumn("ends", positions(F.col("w"), lambda x: x.rlike("[.!?]")))
+    long_runs = F.aggregate(gaps_between(F.col("ends"), n), F.lit(0), lambda s, g: s + F.greatest(g["length"] - 30, F.lit(0)))
+    d = d.withColumn("lists", regexp_n(text, rf"{WORD}+\s+{WORD}+\s+and\s+{WORD}+"))
+    lists = F.col("lists")
+    d = d.withColumn("listed", regexp_n(text, rf"{WORD}+,\s+{WORD}+\s+and\s+{WORD}+"))
+    listed = F.col("listed")
+    d = d.withColumn("questions", phrases_n("sp", W.QUESTION_WORDS))
+    questions = F.col("questions")
     missing = F.when(n < 10, 0.7).otherwise(
         0.5 * F.greatest(F.lit(0.0), 1.0 - long_runs * 0.02)
         + 0.3 * F.when(lists > 0, listed / lists).otherwise(0.8)
@@ -109,10 +124,13 @@ def score_punctuation(df: DataFrame, text: str = "text") -> DataFrame:
     errors = regexp_n(text, r"\s+[.!?]")
     for p in (f"[.!?]{WORD}", r"\s+,", r",[^\s]", r"[.!?]{2,}", r"\s+[;:]"):
         errors = errors + regexp_n(text, p)
-    abbr = phrases_n(F.lower(t), W.ABBREVIATIONS)
-    dotted = regexp_n(F.concat(F.lit(" "), F.lower(t)), f"{NOT_WORD}(?:{'|'.join(W.ABBREVIATIONS)})\\.{WORD}")
-    proper = regexp_n(text, W.CONTRACTED)
-    loose = regexp_n(text, W.UNCONTRACTED)
+    d = d.withColumn("abbr", phrases_n("sp", W.ABBREVIATIONS))
+    abbr = F.col("abbr")
+    dotted = regexp_n(F.concat(F.lit(" "), F.col("low_text")), f"{NOT_WORD}(?:{'|'.join(W.ABBREVIATIONS)})\\.{WORD}")
+    d = d.withColumn("proper", regexp_n(text, W.CONTRACTED))
+    proper = F.col("proper")
+    d = d.withColumn("loose", regexp_n(text, W.UNCONTRACTED))
+    loose = F.col("loose")
     placement = 0.5 * F.greatest(F.lit(0.0), 1.0 - errors / n * 10) \
         + 0.25 * F.when(abbr == 0, 0.8).otherwise(dotted / abbr) \
         + 0.25 * F.when(proper + loose == 0, 0.8).otherwise(proper / (proper + loose))
@@ -129,7 +147,7 @@ def score_punctuation(df: DataFrame, text: str = "text") -> DataFrame:
         + 0.2 * quote
 
     marks = F.transform("w", lambda x, i: F.struct(
-        x.alias("x"), bare(x).alias("b"),
+        x.alias("x"), F.get("bare", i).alias("b"),
         ((i == 0) | F.coalesce(F.get("w", i - 1).rlike("[.!?]"), F.lit(False))).alias("start")))
     d = d.withColumn("marks", marks)
     inner = F.transform(F.filter("marks", lambda m: (F.length(m["b"]) > 1) & m["b"].rlike(r"^\p{Lu}") & ~m["start"]),
@@ -137,16 +155,16 @@ def score_punctuation(df: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("inner", inner)
     named = F.when(F.size("inner") == 0, 0.8).otherwise(
         count_if(F.col("inner"), lambda x: x.rlike(W.PLACE_NAMES) | ~x.isin(W.COMMON_LOWER)) / F.size("inner"))
-    lower_at = positions(F.col("w"), lambda x: ~bare(x).rlike(r"^\p{Lu}"))
-    runs = F.filter(gaps_between(lower_at, n), lambda g: g["length"] >= 2)
-    d = d.withColumn("runs", runs)
+    d = d.withColumn("lower_at", positions(F.col("bare"), lambda x: ~x.rlike(r"^\p{Lu}")))
+    d = d.withColumn("runs", F.filter(gaps_between(F.col("lower_at"), n), lambda g: g["length"] >= 2))
     titled = count_if(F.col("runs"), lambda g: (g["length"] <= 6) & F.exists(
         F.slice("w", g["first"], g["length"]), lambda x: ~x.isin(W.TITLE_FUNCTION)))
     title = F.when(F.size("runs") == 0, 0.8).otherwise(titled / F.size("runs"))
-    caps = count_if(F.col("w"), lambda x: x.rlike(r"^\p{Lu}"))
+    d = d.withColumn("caps", count_if(F.col("w"), lambda x: x.rlike(r"^\p{Lu}")))
+    caps = F.col("caps")
     wrong = count_if(F.col("marks"), lambda m: m["x"].rlike(r"^\p{Lu}") & F.lower(m["b"]).isin(W.LOWER_CASE_WORDS) & ~m["start"])
     misplaced = F.when(n < 10, 0.8).when(caps == 0, 0.8).otherwise(F.greatest(F.lit(0.0), 1.0 - wrong / caps * 2))
-    acr = F.filter(F.transform("w", bare), lambda x: F.length(x).between(2, 6) & x.rlike(r"\p{Lu}") & (x == F.upper(x)))
+    acr = F.filter("bare", lambda x: F.length(x).between(2, 6) & x.rlike(r"\p{Lu}") & (x == F.upper(x)))
     d = d.withColumn("acr", acr)
     fine = count_if(F.col("acr"), lambda x: x.isin(W.ACRONYMS) | (F.length(x) == 2)
                     | ~x.rlike("^([AEIOU]+|[BCDFGHJKLMNPQRSTVWXYZ]+)$"))
@@ -170,10 +188,12 @@ def score_disfluency(df: DataFrame, text: str = "text") -> DataFrame:
     """Fillers, repetitions, broken words, false starts and pauses -> ``l_disfluency``."""
     n, low = F.col("n"), F.col("low")
     d = df.withColumn("w", words_of(text)).withColumn("n", F.size("w")).withColumn("low", lowered(F.col("w")))
-    lower_text = F.lower(text)
-    fillers = count_if(low, within(W.FILLERS)) + phrases_n(lower_text, W.DISCOURSE) \
-        + phrases_n(lower_text, W.FALSE_STARTS) + count_if(low, within(W.HESITATIONS))
-    fr = fillers / n
+    d = d.withColumn("low_text", F.lower(text)).withColumn("sp", spaced("low_text"))
+    lower_text = F.col("low_text")
+    fillers = count_if(low, within(W.FILLERS)) + phrases_n("sp", W.DISCOURSE) \
+        + phrases_n("sp", W.FALSE_STARTS) + count_if(low, within(W.HESITATIONS))
+    d = d.withColumn("fr", fillers / n)
+    fr = F.col("fr")
     filler = F.when(fr == 0, 0.6).when(fr.between(0.01, 0.08), 0.9).when((fr > 0.08) & (fr <= 0.12), 0.8) \
         .when((fr > 0.12) & (fr <= 0.18), 0.6).otherwise(0.3)
 
@@ -191,14 +211,17 @@ def score_disfluency(df: DataFrame, text: str = "text") -> DataFrame:
     repeat = _steps(F.col("rr"), (0.0, 0.8), (0.02, 0.9), (0.05, 0.8), (0.10, 0.6), rest=0.3)
     broken = count_if(F.transform("w", lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}_\-]", "")),
                       lambda x: (F.length(x) >= 2) & (x.endswith("-") | x.rlike("[bcdfghjklmnpqrstvwxyz]{3}$")))
-    incomplete = _steps(broken / n, (0.0, 0.9), (0.02, 0.8), (0.05, 0.6), rest=0.3)
-    starts = phrases_n(F.lower(F.array_join("w", " ")), W.START_PHRASES) \
+    d = d.withColumn("ir", broken / n)
+    incomplete = _steps(F.col("ir"), (0.0, 0.9), (0.02, 0.8), (0.05, 0.6), rest=0.3)
+    starts = phrases_n(spaced(F.lower(F.array_join("w", " "))), W.START_PHRASES) \
         + pairs_if(F.col("w"), lambda a, b: F.concat(F.lower(a), F.lit(" "), F.lower(b)).isin(W.RESTARTS))
-    false_start = _steps(starts / n, (0.0, 0.9), (0.03, 0.8), (0.06, 0.7), rest=0.5)
+    d = d.withColumn("sr", starts / n)
+    false_start = _steps(F.col("sr"), (0.0, 0.9), (0.03, 0.8), (0.06, 0.7), rest=0.5)
     pauses = regexp_n(text, r"\.{2,}") + literal_n(text, "—") + literal_n(text, "–")
     for p in W.PAUSES:
         pauses = pauses + literal_n(lower_text, p)
-    pause = _steps(pauses / n, (0.0, 0.9), (0.02, 0.8), (0.05, 0.7), rest=0.5)
+    d = d.withColumn("ur", pauses / n)
+    pause = _steps(F.col("ur"), (0.0, 0.9), (0.02, 0.8), (0.05, 0.7), rest=0.5)
     parts = {"filler": filler, "repetition": repeat, "incomplete": incomplete, "false_start": false_start, "pause": pause}
     d = d.select(*df.columns, "n", *[x.alias(k) for k, x in parts.items()])
     total = 0.30 * F.col("filler") + 0.25 * F.col("repetition") + 0.20 * F.col("incomplete") \

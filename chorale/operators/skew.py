@@ -21,6 +21,15 @@ RUNNING = {
 }
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give row-wise CPU-heavy work to every core when the scan has fewer tasks than the cluster has cores.
+
+    Large inputs already have more scan tasks than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Add whole-group aggregates as columns."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])

@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chorale.operators.skew import scan_over
+from chorale.operators.skew import scan_over, spread
 
 TURNS_PER_BUCKET = 100_000
 
@@ -124,14 +124,15 @@ class Views:
 
     @cached_property
     def term(self) -> DataFrame:
-        return self.table("documents").select(
+        docs = spread(self.table("documents").select("doc_id", "source", "lang", "text"), "doc_id")
+        return docs.select(
             (F.col("doc_id") % 50).alias("session_id"), "doc_id", F.col("source").alias("engine"),
             F.col("lang").alias("speaker"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "token"),
         ).withColumn("pos", F.col("pos").cast("bigint"))
 
     @cached_property
     def norm(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text", "lang")
+        return spread(self.table("documents").select("doc_id", "text", "lang"), "doc_id")
 
 
 # name -> (views it reads, DuckDB text)
