@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,
@@ -41,5 +41,7 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
             if last is not None and len(last):
                 yield last
 
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # Hashing an expression of the key, not the key itself: a repartition equal to an earlier exchange would be dropped
+    # as redundant, and adaptive execution may later read that exchange locally, tearing keys apart.
+    sorted_rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInPandas(run, schema)

@@ -197,7 +197,7 @@ def _(v):
     return reference(v).withColumn("score", r6("score"))
 
 
-OFFS = REFP + """, sr AS (SELECT hs.*, concat('e',hs.engine) AS provider, rp.provider AS ref FROM hs JOIN rp USING (session_id)), rb AS (SELECT session_id, start//100 AS b, count(*) AS rn FROM sr WHERE provider=ref GROUP BY 1,2), tb AS (SELECT session_id, provider, start//100 AS b, count(*) AS n FROM sr WHERE provider<>ref GROUP BY 1,2,3),
+OFFS = REFP + """, sr AS (SELECT hs.*, concat('e',hs.engine) AS provider, rp.provider AS ref FROM hs JOIN rp USING (session_id)), rb AS (SELECT session_id, CAST(floor(start/1e2) AS BIGINT) AS b, count(*) AS rn FROM sr WHERE provider=ref GROUP BY 1,2), tb AS (SELECT session_id, provider, CAST(floor(start/1e2) AS BIGINT) AS b, count(*) AS n FROM sr WHERE provider<>ref GROUP BY 1,2,3),
  cr AS (SELECT tb.session_id, tb.provider, rb.b-tb.b AS lag, sum(n*rn) AS c FROM tb JOIN rb ON tb.session_id=rb.session_id AND rb.b-tb.b BETWEEN -20 AND 20 GROUP BY ALL), pk AS (SELECT * FROM cr QUALIFY row_number() OVER (PARTITION BY session_id,provider ORDER BY c DESC, lag)=1),
  rk AS (SELECT session_id, provider, ref, start, row_number() OVER (PARTITION BY session_id,provider ORDER BY start,id) AS rank FROM sr), hd AS (SELECT t.session_id, t.provider, avg((r.start-t.start)/1e3) AS mo FROM rk t JOIN rk r ON t.session_id=r.session_id AND r.provider=r.ref AND t.provider<>t.ref AND t.rank=r.rank WHERE t.rank<=10 GROUP BY 1,2),
  ct AS (SELECT session_id, provider, ref, count(*) AS n FROM sr GROUP BY ALL),
