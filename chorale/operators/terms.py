@@ -14,11 +14,37 @@ SURE, SMOOTH, DECAY = 0.5, 0.1, 0.95
 
 
 def token_stats(tokens: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """``tokens``: keys, token, engine, speaker, at (order), context.  Sets hold engine and speaker names only."""
-    return tokens.groupBy(*keys, "token").agg(
-        F.count("*").alias("frequency"), F.sort_array(F.collect_set("engine")).alias("engines"),
-        F.countDistinct("engine").alias("engine_count"), F.countDistinct("speaker").alias("speaker_count"),
-        F.min("at").alias("first_seen"), F.min_by("context", "at").alias("first_context"))
+    """``tokens``: keys, token, engine, speaker, at (BIGINT order).
+
+    The first aggregate is a plain hash aggregate over counts and minima; sets of engine names are built from its
+    much smaller result, because set and ``min_by`` aggregates over every token would have to sort.
+    """
+    fine = tokens.groupBy(*keys, "token", "engine", "speaker").agg(F.count("*").alias("c"), F.min("at").alias("at"))
+    return fine.groupBy(*keys, "token").agg(
+        F.sum("c").alias("frequency"), F.sort_array(F.collect_set("engine")).alias("engines"), F.size(F.collect_set("speaker")).cast("bigint").alias("speaker_count"),
+        F.min("at").alias("first_seen")).withColumn("engine_count", F.size("engines").cast("bigint"))
+
+
+def position(text_id: Column, pos: Column) -> Column:
+    """Text number and token position in one ordered BIGINT."""
+    return F.shiftleft(text_id.cast("bigint"), 32) + pos
+
+
+def with_first_context(stats: DataFrame, texts: DataFrame, reach: int = 3, keys: list[str] = KEY) -> DataFrame:
+    """Context of each token's first occurrence.  ``texts``: text_id, text.
+
+    Texts meet the list of first occurrences they hold (at most one per distinct token), are split once, and only those
+    contexts are cut out, instead of carrying a context with every token.
+    """
+    first = stats.select(*keys, "token", F.shiftright("first_seen", 32).alias("text_id"), F.col("first_seen").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
+    held = first.groupBy("text_id").agg(F.collect_list(F.struct(*keys, "token", "pos")).alias("held"))
+    # one element binds the split words to a lambda variable; as a plain column they would be split again per context
+    both = F.array(F.struct(F.split(F.trim("text"), r"\s+").alias("w"), F.col("held").alias("h")))
+    cut = F.flatten(F.transform(both, lambda z: F.transform(z["h"], lambda h: F.struct(
+        *[h[k].alias(k) for k in keys], h["token"].alias("token"), F.slice(
+            z["w"], F.greatest(h["pos"] - reach + 1, F.lit(1)), F.lit(reach + 1) + F.least(h["pos"], F.lit(reach))).alias("first_context")))))
+    d = texts.join(held, "text_id")
+    return stats.join(d.select(F.inline(cut)), [*keys, "token"])
 
 
 def filter_terms(stats: DataFrame, deny: DataFrame, min_frequency: int = 2) -> DataFrame:
@@ -35,7 +61,7 @@ def filter_terms(stats: DataFrame, deny: DataFrame, min_frequency: int = 2) -> D
 
 def mine_terms(stats: DataFrame, totals: DataFrame, background: DataFrame, sensitivity: float = 0.5, keep: int = 200,
                unknown: float = 1e-6, keys: list[str] = KEY) -> DataFrame:
-    """Mining score per term; ``totals``: keys, total; ``background``: token (lower), probability."""
+    """Mining score per term; ``stats`` with its first contexts, ``totals``: keys, total; ``background``: token (lower), probability."""
     d = stats.join(totals, keys).withColumn("low", F.lower("token")).join(
         background.select(F.col("token").alias("low"), "probability"), "low", "left")
     ratio = F.col("frequency") / F.col("total") / F.coalesce("probability", F.lit(unknown))

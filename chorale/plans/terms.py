@@ -26,9 +26,11 @@ def background(v):
 
 
 def tokens(v):
-    docs = v.norm.join(v.table("documents").select("doc_id", F.col("source").alias("engine")), "doc_id")
-    t = sp.token_context(docs.select("doc_id", "engine", F.col("lang").alias("speaker"), "text"))
-    return t.select((F.col("doc_id") % 50).alias("session_id"), "token", "engine", "speaker", F.struct("doc_id", "pos").alias("at"), "context")
+    return v.term.select("session_id", "token", "engine", "speaker", op.position(F.col("doc_id"), F.col("pos")).alias("at"))
+
+
+def contexts(v, stats):
+    return op.with_first_context(stats, v.norm.select(F.col("doc_id").alias("text_id"), "text"))
 
 
 TOK = CTX + """, tks AS (SELECT cx.doc_id%50 AS session_id, token, source AS engine, lang AS speaker, cx.doc_id, pos, context FROM cx JOIN documents d ON d.doc_id=cx.doc_id),
@@ -37,7 +39,7 @@ TOK = CTX + """, tks AS (SELECT cx.doc_id%50 AS session_id, token, source AS eng
 
 @query("D1_token_stats", TOK + " SELECT session_id, token, frequency, array_to_string(engines,',') AS engines, engine_count, speaker_count, array_to_string(context,' ') AS first_context FROM tst")
 def _(v):
-    return op.token_stats(tokens(v)).select("session_id", "token", "frequency", F.array_join("engines", ",").alias("engines"), "engine_count", "speaker_count",
+    return contexts(v, op.token_stats(tokens(v))).select("session_id", "token", "frequency", F.array_join("engines", ",").alias("engines"), "engine_count", "speaker_count",
                                             F.array_join("first_context", " ").alias("first_context"))
 
 
@@ -56,7 +58,7 @@ MINE = FIL + f""", tt AS (SELECT session_id, sum(frequency) AS total FROM tst GR
 def mined(v):
     stats = op.token_stats(tokens(v))
     totals = stats.groupBy("session_id").agg(F.sum("frequency").alias("total"))
-    return op.mine_terms(op.filter_terms(stats, deny(v)), totals, background(v))
+    return op.mine_terms(contexts(v, op.filter_terms(stats, deny(v))), totals, background(v))
 
 
 @query("H24_mine_terms", MINE + " SELECT session_id, token, frequency, round(score,6) AS score, rank FROM mined")
