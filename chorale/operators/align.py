@@ -486,12 +486,13 @@ def attribute_stems(stems: DataFrame, keys: list[str]) -> DataFrame:
     consistency (one value per speaker).  At most one stem per speaker is kept, the most confident ones, so a frame's
     programme is a tiny ``aggregate`` with one state per speaker.
     """
-    d = top_n(stems, keys, [F.desc("asr"), F.asc("stem")], 64, "r").where(F.col("r") <= F.size("speakers"))
+    d = scan_over(stems.withColumn("less", -F.col("asr")), keys, ["less", "stem"], F.floor(F.col("less") * 100), upto={"r": ("sum", F.lit(1).cast("int"))})
+    d = d.where(F.col("r") <= F.size("speakers"))
     raw = F.transform("consistency", lambda c: F.greatest(F.lit(0.01), F.least(
         F.lit(0.99), F.col("asr") * 0.4 + F.col("audio") * 0.3 + F.col("text_quality") * 0.2 + c * 0.1)))
     d = d.withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
     d = d.withColumn("emit", F.transform("raw", lambda e: e / F.col("sum")))
-    line = d.groupBy(*keys).agg(F.max("speakers").alias("speakers"), F.sort_array(F.collect_list(F.struct("r", "stem", "emit"))).alias("line"))
+    line = d.groupBy(*keys).agg(F.max("speakers").alias("speakers"), F.sort_array(F.collect_list(F.struct("r", "stem", "emit"))).alias("line"))  # one row per speaker at most
     state = "array<struct<p:double,path:array<int>>>"
 
     def follow(acc: Column, x: Column) -> Column:

@@ -327,7 +327,8 @@ def relabel(segments: DataFrame, names: DataFrame) -> DataFrame:
 def speaker_roles(segments: DataFrame) -> DataFrame:
     """Names by talk time (``Speaker 1`` talks most) and a role by share of talk."""
     t = segments.groupBy(*KEY, "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("talk"))
-    r = top_n(t, KEY, [F.desc("talk"), F.asc("speaker")], 1000, "place")
+    t = t.withColumn("less", -F.col("talk"))
+    r = scan_over(t, KEY, ["less", "speaker"], F.floor(F.col("less") / 3600), upto={"place": ("sum", F.lit(1).cast("bigint"))})
     r = attach(r, KEY, total=F.sum("talk"))
     share = F.col("talk") / F.col("total")
     return r.select(*KEY, "speaker", F.concat(F.lit("Speaker "), "place").alias("name"), share.alias("share"),

@@ -207,21 +207,21 @@ def lexicon_usage(hyps: DataFrame, terms: DataFrame, keys: list[str]) -> DataFra
         ((F.col("used") * 2 + F.col("words") - F.col("used")) / F.greatest("words", F.lit(1))).alias("effectiveness"))
 
 
-def allowed_variants(spans: DataFrame, glossary: DataFrame, limit: int = 50) -> DataFrame:
-    """Observed texts of a session plus the forms of its heaviest glossary entries.
+def allowed_forms(glossary: DataFrame, limit: int = 50) -> DataFrame:
+    """Forms of the heaviest glossary entries.  ``glossary``: canonical, variants, weight."""
+    g = glossary.orderBy(F.desc("weight"), F.asc("canonical")).limit(limit)
+    return g.select(F.explode(F.concat(F.array("canonical"), "variants")).alias("text")).where("text <> ''").distinct()
 
-    ``spans``: session_id, text; ``glossary``: session_id, canonical, variants, weight.
-    """
-    seen = spans.select(*KEY, F.trim("text").alias("text"))
-    g = top_n(glossary, KEY, [F.desc("weight"), F.asc("canonical")], limit)
-    forms = g.select(*KEY, F.explode(F.concat(F.array("canonical"), "variants")).alias("text"))
-    return seen.union(forms).where("text <> ''").distinct()
 
+def allowed_variants(spans: DataFrame, forms: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates marked allowed (observed in the session, or a glossary form) or blocked.
 
-def split_allowed(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Candidates marked allowed or blocked."""
-    a = allowed.withColumn("allowed", F.lit(True))
-    return candidates.withColumn("text", F.trim("text")).join(a, [*KEY, "text"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    Two equi-joins; the union of observed texts and forms is never spelled out per session.
+    """
+    seen = spans.select(*KEY, F.trim("text").alias("text")).where("text <> ''").distinct().withColumn("_seen", F.lit(True))
+    known = forms.select("text").distinct().withColumn("_known", F.lit(True))
+    d = candidates.withColumn("text", F.trim("text")).join(seen, [*KEY, "text"], "left").join(known, "text", "left")
+    return d.withColumn("allowed", F.coalesce("_seen", "_known", F.lit(False))).drop("_seen", "_known")
 
 
 def verify_spans(spans: DataFrame, current: DataFrame, glossary: DataFrame, rules: DataFrame | None = None, margin: float = 0.1, bonus: float = 0.2) -> DataFrame:

@@ -199,10 +199,10 @@ def _(v):
  SELECT session_id, count(*) AS candidates, count(*) FILTER ((session_id,word) IN (SELECT (session_id,text) FROM al)) AS allowed FROM hyp WHERE engine>0 GROUP BY 1""")
 def _(v):
     spans = v.hyp.where("engine = 0").select("session_id", F.col("word").alias("text"))
-    top = glossary(v).orderBy(F.desc("weight"), "term").limit(50)
-    g = v.hyp.select("session_id").distinct().crossJoin(F.broadcast(top)).select("session_id", F.col("term").alias("canonical"), F.array().cast("array<string>").alias("variants"), "weight")
+    g = glossary(v).select(F.col("term").alias("canonical"), F.array().cast("array<string>").alias("variants"), "weight")
     c = v.hyp.where("engine > 0").select("session_id", F.col("word").alias("text"))
-    return op.split_allowed(c, op.allowed_variants(spans, g)).groupBy("session_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"))
+    d = op.allowed_variants(spans, op.allowed_forms(g), c)
+    return d.groupBy("session_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"))
 
 
 @query("H28_constrain_edits", with_views("seg") + ", " + GLOS + r""", pr AS (SELECT session_id*100+turn AS id, trim(regexp_replace(text,'\s+',' ','g')) AS o, trim(regexp_replace(replace(text,'re','the'),'\s+',' ','g')) AS r FROM seg),
