@@ -128,7 +128,7 @@ def _(v):
 
 
 TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(trim({x}),'\s+([,.!?;:])','\1','g'),'([,.!?;:])\s*','\1 ','g'),'\s+',' ','g'))"""
-_PIECES = "list_transform(regexp_extract_all(t,'([^.!?]+|[.!?]+)',1), lambda s: CASE WHEN regexp_matches(s,'^[.!?]') OR trim(s)='' THEN s ELSE concat(upper(substr(trim(s),1,1)),substr(trim(s),2)) END)"
+_PIECES = "list_transform(regexp_extract_all(t,'([^.!?]+|[.!?]+)',1), lambda s: CASE WHEN regexp_matches(s,'^[.!?]') OR trim(s)='' THEN s ELSE concat(CASE substr(trim(s),1,1) WHEN 'ß' THEN 'SS' ELSE upper(substr(trim(s),1,1)) END,substr(trim(s),2)) END)"
 
 
 @query("H3_fused_segments", VA + """, b AS (SELECT *, row_number() OVER (PARTITION BY session_id,turn,pos ORDER BY confidence DESC, engine) AS rn FROM va),

@@ -27,7 +27,7 @@ def _rep(w, keep):
 
 
 def _cap(x):
-    return f"concat(upper(substr({x},1,1)),substr({x},2))"
+    return f"concat(CASE substr({x},1,1) WHEN 'ß' THEN 'SS' ELSE upper(substr({x},1,1)) END,substr({x},2))"  # full case mapping
 
 
 def _sent(x):
