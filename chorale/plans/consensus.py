@@ -171,7 +171,7 @@ def _abs_sql(d):
 
 
 def _show(d, places=6):
-    return d.select("session_id", "candidate_id", *[F.round(x, places).alias(x) for x in DIMENSIONS])
+    return d.select("session_id", "candidate_id", *[(r6(x) if places == 6 else F.round(x, places)).alias(x) for x in DIMENSIONS])
 
 
 @query("H14_calibrate_absolute", _calibrated_sql(_abs_sql))

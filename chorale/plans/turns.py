@@ -151,7 +151,7 @@ def _(v):
     turns = v.emb.select(F.col("chunk").alias("session_id"), F.col("vec_id").alias("id"), at.alias("start"), (at + 2500).alias("end"), "embedding")
     segs = v.emb.select(F.col("chunk").alias("session_id"), F.col("vec_id").alias("id"), (at + 700).alias("start"), (at + 2200).alias("end"))
     return op.attach_embeddings(segs, turns, MS, 30_000).select(
-        "session_id", "segment_id", "turn_id", "shared", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+        "session_id", "segment_id", "turn_id", "shared", r6(F.col("embedding")[0].cast("double")).alias("first_value"))
 
 
 @query("C12_overlap_coverage", IV + PAIRS.replace(">= 100000", "> 0") + """, hv AS (SELECT session_id, id, start+(id%5)*600000000 AS start, "end"+(id%3)*600000000 AS "end" FROM iv),
