@@ -44,7 +44,7 @@ def scored(v):
 
 
 @query("H13_score_candidates", with_views("cand") + " SELECT session_id, candidate_id, " + ", ".join(
-    f"round({_w(w)}, 6) AS {p}" for p, w in SCORE_PRESETS.items()) + " FROM cand")
+    f"round({_w(w)},6) AS {p}" for p, w in SCORE_PRESETS.items()) + " FROM cand")
 def _(v):
     return v.cand.select("session_id", "candidate_id",
                          *[r6(con.weighted(w)).alias(p) for p, w in SCORE_PRESETS.items()])
