@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from chorale.llm.common import raw
 
 #: Bytes of text that a task holds before it ships its runs, and packed bytes that a bucket is meant to hold.
-FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 3 << 20
+FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
+#: Level of the zstandard compression of what is packed.
+LEVEL = 3
 MARKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 SHIPPED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), *MARKS])
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -30,17 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sliding_argmin(order: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost smallest value of every `width` consecutive values."""
-    best, at, have = order, np.arange(len(order), dtype=np.int64), 1
+#: Bits of an order value that hold the position; the others are the hash, so that of equal hashes the leftmost is least.
+PLACE_BITS = np.uint64(32)
+
+
+def ordered(hashes: np.ndarray) -> np.ndarray:
+    """Values that order grams by hash, then position (at most 2 ** 32 grams at a time)."""
+    return (hashes >> PLACE_BITS << PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def sliding_least(order: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` consecutive values."""
+    have = 1
     while have < width:
         step = min(have, width - have)
-        left, right = best[:-step], best[step:]
-        take = right < left
-        at = np.where(take, at[step:], at[:-step])
-        best = np.minimum(left, right)
+        order = np.minimum(order[:-step], order[step:])
         have += step
-    return at
+    return order
 
 
 def runs_of(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +68,32 @@ def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: the high bytes, mostly zero, lie together and cost nothing when compressed."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel()
+
+
 def pack(docs: np.ndarray, keys: np.ndarray, owner: np.ndarray, string: np.ndarray, place: np.ndarray, windows: np.ndarray, texts: list[bytes], squeeze: zstandard.ZstdCompressor) -> bytes:
     """Strings with their windows and smallest document, and where the strings stand in that document, in one packed value."""
     used, owner = np.unique(owner, return_inverse=True)
     head = np.array([len(used), len(texts), len(place)], np.int64)
-    columns = [head, docs[used], keys[used], owner.astype(np.int32), windows.astype(np.int32), np.array([len(t) for t in texts], np.int32), string.astype(np.int32), place.astype(np.int32)]
-    return squeeze.compress(b"".join([*(c.tobytes() for c in columns), *texts]))
+    numbers = [np.diff(owner, prepend=0), windows, np.fromiter(map(len, texts), np.int64, len(texts)), np.diff(string, prepend=0), place]
+    return squeeze.compress(b"".join([head.tobytes(), docs[used].tobytes(), keys[used].tobytes(), *map(planes, numbers), *texts]))
 
 
 def unpack(value: bytes) -> tuple[np.ndarray, ...]:
     data = zstandard.ZstdDecompressor().decompress(value)
-    n_docs, n_texts, n_places = np.frombuffer(data, np.int64, 3)
-    at, out = 24, []
-    for dtype, n in ((np.int64, n_docs), (np.int64, n_docs), (np.int32, n_texts), (np.int32, n_texts), (np.int32, n_texts), (np.int32, n_places), (np.int32, n_places)):
-        out.append(np.frombuffer(data, dtype, n, at))
-        at += n * np.dtype(dtype).itemsize
+    n_docs, n_texts, n_places = np.frombuffer(data, np.int64, 3).tolist()
+    at = 24 + 16 * n_docs
+    out = [np.frombuffer(data, np.int64, n_docs, 24), np.frombuffer(data, np.int64, n_docs, 24 + 8 * n_docs)]
+    for n in (n_texts, n_texts, n_texts, n_places, n_places):
+        out.append(from_planes(data, at, n))
+        at += 4 * n
+    out[2], out[5] = np.cumsum(out[2]), np.cumsum(out[5])
     return *out, data[at:]
 
 
@@ -88,26 +107,30 @@ def shipper(cut: Callable, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
         if not len(doc):
             return
         seen: dict[bytes, int] = {}
-        look = seen.setdefault
-        first = np.fromiter((look(joined[a:b], i) for i, (a, b) in enumerate(zip(first_byte.tolist(), last_byte.tolist(), strict=True))), np.int64, len(doc))
-        later = docs[doc] > docs[doc[first]]  # a smaller document of this task has the same run
-        twin = ~later & (doc != doc[first])  # another row with the same id: it travels by itself
+        number = np.fromiter((seen.setdefault(joined[a:b], len(seen)) for a, b in zip(first_byte.tolist(), last_byte.tolist(), strict=True)), np.int64, len(doc))
+        strings, head = list(seen), np.unique(number, return_index=True)[1]
+        del seen
+        lead = head[number]
+        later = docs[doc] > docs[doc[lead]]  # a smaller document of this task has the same run
+        twin = np.flatnonzero(~later & (doc != doc[lead]))  # another row with the same id: it travels by itself
+        if len(twin):
+            strings += [strings[i] for i in number[twin].tolist()]
+            number[twin], head = len(head) + np.arange(len(twin)), np.append(head, twin)
         if later.any():
             at = doc[later]
             yield shipped(docs[at], keys[at], place[later], place[later] + windows[later])
-        own = np.where(twin, np.arange(len(doc)), first)
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
         rows = np.flatnonzero(~later)
         rows = rows[np.argsort(bucket[rows], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[rows], prepend=-1)).tolist() + [len(rows)]
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         numbers, values = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             some = rows[lo:hi]
-            heads, string = np.unique(own[some], return_inverse=True)
-            texts = [joined[a:b] for a, b in zip(first_byte[heads].tolist(), last_byte[heads].tolist(), strict=True)]
+            ids, string = np.unique(number[some], return_inverse=True)
+            heads = head[ids]
             numbers.append(int(bucket[some[0]]))
-            values.append(pack(docs, keys, doc[heads], string, place[some], windows[heads], texts, squeeze))
+            values.append(pack(docs, keys, doc[heads], string, place[some], windows[heads], [strings[i] for i in ids.tolist()], squeeze))
             if len(values) == 256:
                 yield batch_of(numbers, values)
                 numbers, values = [], []
@@ -210,30 +233,77 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body"), F.xxhash64(raw()).alias("text_key"))
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, strip: Callable, schema: str) -> DataFrame:
-    """Join each document with its spans and apply `strip(body, starts, ends)`, which returns the output columns after doc_id."""
-    per_row = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(per_row, ["doc_id", "text_key"], "left").select("doc_id", "body", "spans.start", "spans.end")
-    fields = [f.split()[0] for f in schema.split(",")]
+DOCS = pa.schema([("part", pa.int64()), ("packed", pa.binary())])
+
+
+def deal_documents(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents packed by the part that their spans go to."""
+
+    def flush(held: dict[int, list]) -> pa.RecordBatch:
+        squeeze, numbers, values = zstandard.ZstdCompressor(level=LEVEL), list(held), []
+        for rows in held.values():
+            docs, keys, bodies = zip(*rows, strict=True)
+            head = np.array([len(rows), *(d is None for d in docs), *(d or 0 for d in docs), *keys, *map(len, bodies)], np.int64)
+            values.append(squeeze.compress(head.tobytes() + b"".join(bodies)))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], schema=DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
-            rows = [(d, *strip(t, s, e)) for d, t, s, e in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-            yield pa.RecordBatch.from_pydict({f: list(c) for f, c in zip(fields, zip(*rows, strict=True), strict=True)}, schema=arrow_schema) if rows else arrow_schema.empty_table().to_batches()[0]
+            for part, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "text_key", "body")), strict=True):
+                held.setdefault(part, []).append(row)
+                size += len(row[2])
+                if size >= 2 * FLUSH_BYTES:
+                    yield flush(held)
+                    held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def documents_in(value: bytes) -> Iterator[tuple[int | None, int, bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(value)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    null, docs, keys, sizes = np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n).tolist()
+    at = 8 + 32 * n
+    for none, doc, key, size in zip(null, docs, keys, sizes, strict=True):
+        yield None if none else doc, key, data[at : at + size]
+        at += size
+
 
+def without_spans(docs: DataFrame, spans: DataFrame, strip: Callable, schema: str) -> DataFrame:
+    """Bring each document together with its spans and apply `strip(body, starts, ends)`, which returns the output columns after doc_id.
+
+    Both sides are dealt by a hash of the row's key into parts of a few megabytes.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
-    return joined.mapInArrow(run, schema)
+    size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    parts = max(64, int(size / BUCKET_BYTES) + 1)
+    part = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts))
+    dealt = docs.withColumn("part", part).mapInArrow(deal_documents(parts), "part bigint, packed binary")
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        doc, key, start, end = (right.column(n).to_numpy() for n in ("doc_id", "text_key", "start", "end"))
+        by = np.lexsort((key, doc))
+        doc, key, start, end = doc[by], key[by], start[by], end[by]
+        cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(doc)] if len(doc) else [0]
+        found = {(int(doc[lo]), int(key[lo])): (start[lo:hi], end[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)}
+        rows = [(d, *strip(body, *found.get((d, k), (None, None)))) for value in left.column("packed").to_pylist() for d, k, body in documents_in(value)]
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow_schema)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
+
+    return dealt.groupBy("part").cogroup(spans.withColumn("part", part).groupBy("part")).applyInArrow(settle, schema)
 
 
-def covered(n: int, starts: list[int] | None, ends: list[int] | None, width: int) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """Flags of the units that removed windows cover."""
     step = np.zeros(n + 1, np.int32)
-    if starts:
-        np.add.at(step, np.array(starts), 1)
-        np.add.at(step, np.array(ends) + width - 1, -1)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends + width - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.spans import covered, gather, marks_of, mix, repeated_spans, runs_of, sha, sliding_argmin, with_key, without_spans
+from chorale.llm.common import raw
+from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sliding_least, with_key, without_spans
 
 WINDOW, GRAM = 13, 3
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 words more.
@@ -37,10 +38,9 @@ def cut_words(texts: list[bytes]):
         none = np.zeros(0, np.int64)
         return joined, none, none, none, none, none, none.astype(np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    order = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:])
-    least = sliding_argmin(order, WINDOW - GRAM + 1)
+    least = sliding_least(ordered(mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:])), WINDOW - GRAM + 1)
     a, b = runs_of(least, doc[: len(least)] == doc[WINDOW - 1 :])
-    return joined, starts[a], ends[b + WINDOW - 1], doc[a], a - np.repeat(np.cumsum(sizes) - sizes, sizes)[a], b - a + 1, order[least[a]]
+    return joined, starts[a], ends[b + WINDOW - 1], doc[a], a - np.repeat(np.cumsum(sizes) - sizes, sizes)[a], b - a + 1, least[a] >> PLACE_BITS
 
 
 def settle_words(table: pa.Table) -> pa.Table:
@@ -75,7 +75,7 @@ def settle_words(table: pa.Table) -> pa.Table:
 
 def strip_words(body: bytes, starts, ends) -> tuple:
     words = body.split()
-    if not starts:
+    if starts is None:
         return len(words), 0, sha(b" ".join(words)), None
     gone = covered(len(words), starts, ends, WINDOW)
     kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
@@ -95,16 +95,15 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(rows, cut_words, settle_words, COPIES).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     @F.pandas_udf("string")
-    def cut(texts, starts, ends):  # only rows with spans come here with lists
+    def cut(texts, starts, ends):  # rows without spans keep their text
         import pandas as pd
 
-        return pd.Series([t if s is None or not len(s) else strip_words(t.encode(), list(s), list(e))[3] for t, s, e in zip(texts, starts, ends, strict=True)])
+        return pd.Series([t if s is None else strip_words(t.encode(), s, e)[3] for t, s, e in zip(texts, starts, ends, strict=True)])
 
-    own = docs.withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))))
-    spans = spans.withColumnRenamed("doc_id", "span_doc").withColumnRenamed("text_key", "span_key")
-    joined = own.join(spans, (F.col("doc_id") == F.col("span_doc")) & (F.col("text_key") == F.col("span_key")), "left")
-    text = cut("text", F.col("spans.start"), F.col("spans.end"))
-    out = joined.withColumn("text", text)
+    own = docs.withColumn("own_key", F.xxhash64(raw()))
+    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), "spans")
+    joined = own.join(named, (F.col("doc_id") == F.col("span_doc")) & (F.col("own_key") == F.col("span_key")), "left")
+    out = joined.withColumn("text", cut("text", F.col("spans.start"), F.col("spans.end")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)

@@ -1,6 +1,6 @@
 """Suffix-array dedup over 50-byte strings.
 
-Windows are dealt to shards by their minimiser (a 12-byte gram), so that equal windows share a shard and only their contexts
+Windows are dealt to shards by their minimiser (an 8-byte gram), so that equal windows share a shard and only their contexts
 are shuffled, not 50 bytes for each position. In a shard, equal contexts collapse first; strings that share a window with
 another string (found by a 64-bit hash, which can only add strings, never miss one) go into a suffix array: Larsson-Sadakane
 refinement in numpy (every round sorts only the groups that are still tied, by the rank of the suffix one step on), then
@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chorale.llm.spans import covered, gather, marks_of, mix, repeated_spans, runs_of, sha, sliding_argmin, true_runs, with_key, without_spans
+from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sliding_least, true_runs, with_key, without_spans
 
-WINDOW, GRAM, SHARD_BYTES = 50, 12, 8 << 20
+WINDOW, GRAM, SHARD_BYTES = 50, 8, 8 << 20
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 bytes more.
-COPIES = 3.45
+COPIES = 3.2
 #: Bytes whose minimisers are computed at a time.
 CHUNK_BYTES = 2 << 20
 NO_DOC = np.iinfo(np.int64).max
@@ -43,13 +43,11 @@ def cut_bytes(texts: list[bytes]):
         sizes = np.array([len(t) for t in texts[at:stop]], np.int64)
         if size >= WINDOW:
             text = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
-            load = words_at(text)
-            order = mix(mix(load[: len(load) - 4]) + load[4:])
-            least = sliding_argmin(order, WINDOW - GRAM + 1)
+            least = sliding_least(ordered(mix(mix(words_at(text)))), WINDOW - GRAM + 1)
             doc = np.repeat(np.arange(at, stop, dtype=np.int32), sizes)
             a, b = runs_of(least, doc[: len(least)] == doc[WINDOW - 1 :])
             local = doc[a].astype(np.int64)
-            out.append((a + base, b + WINDOW + base, local, a - (np.cumsum(sizes) - sizes)[local - at], b - a + 1, order[least[a]]))
+            out.append((a + base, b + WINDOW + base, local, a - (np.cumsum(sizes) - sizes)[local - at], b - a + 1, least[a] >> PLACE_BITS))
         base += size
         at = stop
     if not out:
@@ -204,7 +202,7 @@ def settle_bytes(table: pa.Table, shard_bytes: int = SHARD_BYTES) -> pa.Table:
 
 
 def strip_bytes(body: bytes, starts, ends) -> tuple:
-    if not starts:
+    if starts is None:
         return len(body), 0, 0, sha(body)
     gone = covered(len(body), starts, ends, WINDOW)
     return len(body), int(gone.sum()), len(true_runs(gone)[0]), sha(np.frombuffer(body, np.uint8)[~gone].tobytes())
