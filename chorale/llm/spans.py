@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.common import raw
@@ -21,9 +22,12 @@ from chorale.llm.common import raw
 #: Bytes of text that a task holds before it ships its runs, and packed bytes that a bucket is meant to hold.
 FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
 #: Level of the zstandard compression of what is packed.
-LEVEL = 3
+LEVEL = 6
 MARKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-SHIPPED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), *MARKS])
+#: What a task ships: runs to a bucket, marks to a part; `kind` tells them apart.
+SHIPPED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("packed", pa.binary())])
+DEALT = pa.schema([("part", pa.int64()), ("packed", pa.binary())])
+RUNS, OWN_MARKS = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,13 +72,13 @@ def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte: the high bytes, mostly zero, lie together and cost nothing when compressed."""
-    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers byte by byte: the high bytes, mostly zero, lie together and cost nothing when compressed."""
+    return np.ascontiguousarray(values, f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def from_planes(data: bytes, at: int, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel()
+def from_planes(data: bytes, at: int, n: int, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T).view(f"<i{width}").ravel()
 
 
 def pack(docs: np.ndarray, keys: np.ndarray, owner: np.ndarray, string: np.ndarray, place: np.ndarray, windows: np.ndarray, texts: list[bytes], squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -82,14 +86,14 @@ def pack(docs: np.ndarray, keys: np.ndarray, owner: np.ndarray, string: np.ndarr
     used, owner = np.unique(owner, return_inverse=True)
     head = np.array([len(used), len(texts), len(place)], np.int64)
     numbers = [np.diff(owner, prepend=0), windows, np.fromiter(map(len, texts), np.int64, len(texts)), np.diff(string, prepend=0), place]
-    return squeeze.compress(b"".join([head.tobytes(), docs[used].tobytes(), keys[used].tobytes(), *map(planes, numbers), *texts]))
+    return squeeze.compress(b"".join([head.tobytes(), planes(np.diff(docs[used], prepend=0), 8), planes(keys[used].astype("<u4").view("<i4")), *map(planes, numbers), *texts]))
 
 
 def unpack(value: bytes) -> tuple[np.ndarray, ...]:
     data = zstandard.ZstdDecompressor().decompress(value)
     n_docs, n_texts, n_places = np.frombuffer(data, np.int64, 3).tolist()
-    at = 24 + 16 * n_docs
-    out = [np.frombuffer(data, np.int64, n_docs, 24), np.frombuffer(data, np.int64, n_docs, 24 + 8 * n_docs)]
+    at = 24 + 12 * n_docs
+    out = [np.cumsum(from_planes(data, 24, n_docs, 8)), from_planes(data, 24 + 8 * n_docs, n_docs).view("<u4").astype(np.int64)]
     for n in (n_texts, n_texts, n_texts, n_places, n_places):
         out.append(from_planes(data, at, n))
         at += 4 * n
@@ -97,7 +101,31 @@ def unpack(value: bytes) -> tuple[np.ndarray, ...]:
     return *out, data[at:]
 
 
-def shipper(cut: Callable, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def part_of(doc: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of documents that a row belongs to."""
+    return (mix(mix(doc.astype(np.uint64)) + key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def pack_marks(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Marks by part, packed."""
+    part, squeeze, values = part_of(doc, key, parts), zstandard.ZstdCompressor(level=1), []
+    by = np.lexsort((start, key, doc, part))
+    part, doc, key, start, length = part[by], doc[by], key[by], start[by], (end - start)[by]
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        some = slice(lo, hi)
+        values.append(squeeze.compress(planes(np.diff(doc[some], prepend=0), 8) + planes(key[some].astype("<u4").view("<i4")) + planes(start[some]) + planes(length[some])))
+    return part[cuts[:-1]].tolist(), values
+
+
+def unpack_marks(value: bytes) -> tuple[np.ndarray, ...]:
+    data = zstandard.ZstdDecompressor().decompress(value)
+    n = len(data) // 20
+    start, length = from_planes(data, 12 * n, n), from_planes(data, 16 * n, n)
+    return np.cumsum(from_planes(data, 0, n, 8)), from_planes(data, 8 * n, n).view("<u4").astype(np.int64), start, start + length
+
+
+def shipper(cut: Callable, buckets: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map side. `cut(texts)` gives one joined text and, for every run: first and last byte, document, first unit, windows, key."""
 
     def flush(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +146,7 @@ def shipper(cut: Callable, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
             number[twin], head = len(head) + np.arange(len(twin)), np.append(head, twin)
         if later.any():
             at = doc[later]
-            yield shipped(docs[at], keys[at], place[later], place[later] + windows[later])
+            yield batch_of(*pack_marks(docs[at], keys[at], place[later], place[later] + windows[later], parts), OWN_MARKS)
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
         rows = np.flatnonzero(~later)
         rows = rows[np.argsort(bucket[rows], kind="stable")]
@@ -137,13 +165,8 @@ def shipper(cut: Callable, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
         if values:
             yield batch_of(numbers, values)
 
-    def batch_of(numbers: list[int], values: list[bytes]) -> pa.RecordBatch:
-        none = pa.nulls(len(values), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(values, pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())], schema=SHIPPED)
-
-    def shipped(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SHIPPED)
+    def batch_of(numbers: list[int], values: list[bytes], kind: int = RUNS) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(values), pa.int32()), pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], schema=SHIPPED)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -203,37 +226,47 @@ def marks_of(windows: np.ndarray, least: np.ndarray, string: np.ndarray, doc: np
     return pa.Table.from_arrays([pa.array(doc[index]), pa.array(key[index]), pa.array((a + shift).astype(np.int32)), pa.array((b + shift).astype(np.int32))], schema=MARKS)
 
 
-def repeated_spans(docs: DataFrame, cut: Callable, settle: Callable[[pa.Table], pa.Table], copies: float) -> DataFrame:
-    """Rows (doc_id, text_key, start, end): windows start <= i < end of the document stand in a smaller one too.
-
-    `copies` is the mean number of packed bytes per byte of text; the number of buckets follows the size of the input.
-    """
+def sizes_of(docs: DataFrame, copies: float) -> tuple[int, int]:
+    """Buckets of packed runs and parts of documents; both follow the size of the input."""
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(64, int(size * copies / BUCKET_BYTES) + 1)
-    shipped = docs.where("doc_id is not null").mapInArrow(shipper(cut, buckets), "bucket bigint, packed binary, doc_id bigint, text_key bigint, start int, end int")
-    # one pass makes both the packed runs and the marks that a task found by itself; both leave by the same shuffle
-    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    return shipped.groupBy(spread.alias("part")).applyInArrow(passing(settle), "doc_id bigint, text_key bigint, start int, end int")
+    return max(64, int(size * copies / BUCKET_BYTES) + 1), max(64, int(size / BUCKET_BYTES) + 1)
+
 
+def repeated_spans(docs: DataFrame, cut: Callable, settle: Callable[[pa.Table], pa.Table], buckets: int, parts: int) -> DataFrame:
+    """Rows (part, packed marks): windows start <= i < end of a document stand in one with a smaller id too."""
+    shipped = docs.where("doc_id is not null").mapInArrow(shipper(cut, buckets, parts), "kind int, part bigint, packed binary")
 
-def passing(settle: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     def both(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
+        own, runs = (table.filter(pc.equal(table.column("kind"), k)) for k in (OWN_MARKS, RUNS))
+        numbers, values = own.column("part").to_pylist(), own.column("packed").to_pylist()  # marks that a task found by itself pass on
+        if runs.num_rows:
+            more = pack_marks(*(c.to_numpy().astype(np.int64) for c in settle(runs).columns), parts)
+            numbers, values = numbers + more[0], values + more[1]
+        return pa.Table.from_arrays([pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], schema=DEALT)
+
+    return shipped.groupBy("kind", "part").applyInArrow(both, "part bigint, packed binary")
+
 
-        sent = pc.is_valid(table.column("packed"))
-        own = table.filter(pc.invert(sent)).select(["doc_id", "text_key", "start", "end"]).cast(MARKS)
-        packed = table.filter(sent)
-        return pa.concat_tables([own, settle(packed)]) if packed.num_rows else own
+def span_rows(marks: DataFrame) -> DataFrame:
+    """Packed marks as rows (doc_id, text_key, start, end)."""
 
-    return both
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("packed").to_pylist():
+                doc, key, start, end = unpack_marks(value)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=MARKS)
+
+    return marks.mapInArrow(run, "doc_id bigint, text_key bigint, start int, end int")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
     """doc_id, body (bytes), text_key. Rows are told apart by id and text, so that ids may repeat."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body"), F.xxhash64(raw()).alias("text_key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body"), text_key().alias("text_key"))
 
 
-DOCS = pa.schema([("part", pa.int64()), ("packed", pa.binary())])
+def text_key() -> Column:
+    """32 bits of the text's hash: they tell rows with one id apart."""
+    return F.xxhash64(raw()).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def deal_documents(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -245,12 +278,13 @@ def deal_documents(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             docs, keys, bodies = zip(*rows, strict=True)
             head = np.array([len(rows), *(d is None for d in docs), *(d or 0 for d in docs), *keys, *map(len, bodies)], np.int64)
             values.append(squeeze.compress(head.tobytes() + b"".join(bodies)))
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], schema=DOCS)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], schema=DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
-            for part, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "text_key", "body")), strict=True):
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            for part, *row in zip(part_of(ids, batch.column("text_key").to_numpy(), parts).tolist(), *(batch.column(n).to_pylist() for n in ("doc_id", "text_key", "body")), strict=True):
                 held.setdefault(part, []).append(row)
                 size += len(row[2])
                 if size >= 2 * FLUSH_BYTES:
@@ -272,22 +306,20 @@ def documents_in(value: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         at += size
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, strip: Callable, schema: str) -> DataFrame:
+def without_spans(docs: DataFrame, marks: DataFrame, strip: Callable, schema: str, parts: int) -> DataFrame:
     """Bring each document together with its spans and apply `strip(body, starts, ends)`, which returns the output columns after doc_id.
 
-    Both sides are dealt by a hash of the row's key into parts of a few megabytes.
+    Both sides come packed by part, a hash of id and text; a part holds a few megabytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
-    size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = max(64, int(size / BUCKET_BYTES) + 1)
-    part = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts))
-    dealt = docs.withColumn("part", part).mapInArrow(deal_documents(parts), "part bigint, packed binary")
+    dealt = docs.mapInArrow(deal_documents(parts), "part bigint, packed binary")
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, key, start, end = (right.column(n).to_numpy() for n in ("doc_id", "text_key", "start", "end"))
+        columns = [unpack_marks(value) for value in right.column("packed").to_pylist()]
+        doc, key, start, end = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else [np.zeros(0, np.int64)] * 4
         by = np.lexsort((key, doc))
         doc, key, start, end = doc[by], key[by], start[by], end[by]
         cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(doc)] if len(doc) else [0]
@@ -296,7 +328,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, strip: Callable, schema: st
         columns = zip(*rows, strict=True) if rows else [()] * len(arrow_schema)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
 
-    return dealt.groupBy("part").cogroup(spans.withColumn("part", part).groupBy("part")).applyInArrow(settle, schema)
+    return dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(settle, schema)
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:

@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import raw
-from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sliding_least, with_key, without_spans
+from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sizes_of, sliding_least, span_rows, text_key, with_key, without_spans
 
 WINDOW, GRAM = 13, 3
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 words more.
@@ -85,14 +84,16 @@ def strip_words(body: bytes, starts, ends) -> tuple:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text left, null where nothing was removed)."""
     rows = with_key(docs)
-    spans = repeated_spans(rows, cut_words, settle_words, COPIES)
-    return without_spans(rows, spans, strip_words, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    buckets, parts = sizes_of(rows, COPIES)
+    marks = repeated_spans(rows, cut_words, settle_words, buckets, parts)
+    return without_spans(rows, marks, strip_words, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string", parts)
 
 
 def rewrite_documents(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out; texts without any stay as they are. Same columns, n_chars follows the text."""
     rows = with_key(docs)
-    spans = repeated_spans(rows, cut_words, settle_words, COPIES).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    buckets, parts = sizes_of(rows, COPIES)
+    spans = span_rows(repeated_spans(rows, cut_words, settle_words, buckets, parts)).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     @F.pandas_udf("string")
     def cut(texts, starts, ends):  # rows without spans keep their text
@@ -100,7 +101,7 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
 
         return pd.Series([t if s is None else strip_words(t.encode(), s, e)[3] for t, s, e in zip(texts, starts, ends, strict=True)])
 
-    own = docs.withColumn("own_key", F.xxhash64(raw()))
+    own = docs.withColumn("own_key", text_key())
     named = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), "spans")
     joined = own.join(named, (F.col("doc_id") == F.col("span_doc")) & (F.col("own_key") == F.col("span_key")), "left")
     out = joined.withColumn("text", cut("text", F.col("spans.start"), F.col("spans.end")))

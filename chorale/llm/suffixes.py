@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sliding_least, true_runs, with_key, without_spans
+from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sizes_of, sliding_least, true_runs, with_key, without_spans
 
 WINDOW, GRAM, SHARD_BYTES = 50, 8, 8 << 20
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 bytes more.
@@ -211,5 +211,6 @@ def strip_bytes(body: bytes, starts, ends) -> tuple:
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_key(docs)
-    spans = repeated_spans(rows, cut_bytes, settle_bytes, COPIES)
-    return without_spans(rows, spans, strip_bytes, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    buckets, parts = sizes_of(rows, COPIES)
+    marks = repeated_spans(rows, cut_bytes, settle_bytes, buckets, parts)
+    return without_spans(rows, marks, strip_bytes, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", parts)
