@@ -7,7 +7,7 @@ come in blocks and are searched best first: nodes in order of their largest poss
 leaf entries whose stored distance to the parent excludes them are not multiplied. The k best of each shard meet in one small merge per query.
 
 Vectors that are null or hold null or non-finite components take no part, as query or candidate. Shorter vectors count as filled up with zeros.
-Ties go to the smaller vec_id. Null ids take no part. A row is no candidate for queries with its own id.
+Ties go to the smaller vec_id. Null ids take no part. Rows that share an id ask together: the best of both are returned. A row is no candidate for queries with its own id.
 """
 from __future__ import annotations
 
