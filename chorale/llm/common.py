@@ -31,3 +31,15 @@ def crc_class(column: str, modulus: int) -> Column:
 def parts_for(df: DataFrame, least: int = 16) -> int:
     """Partitions of a shuffle of `df`'s order of size: the session's own number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def filtered(docs: DataFrame, keep, column: str = "text") -> DataFrame:
+    """The rows for which `keep(list of texts)` gives true; all columns pass through as Arrow batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

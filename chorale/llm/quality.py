@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import raw
+from chorale.llm.common import filtered, raw
 from chorale.llm.learning import labelled
 
 #: Labelled texts to learn from at most, latent dimensions, votes, power of the similarity.
@@ -143,12 +143,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are predicted good, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        import pandas as pd
-
+    def keep(texts: list) -> list[bool]:
         bodies = [(t or "").encode() for t in texts]
-        parts = [shared.value.score(np.array([terms(t) for t in bodies[at : at + 500]])) for at in range(0, len(bodies), 500)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        return [bool(g) for at in range(0, len(bodies), 500) for g in shared.value.score(np.array([terms(t) for t in bodies[at : at + 500]])) >= 0.5]
 
-    return docs.where(rate("text") >= 0.5)
+    return filtered(docs, keep)

@@ -152,5 +152,10 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest id (of equal ids, one row)."""
-    lead = cluster(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    lead = cut_lineage(cluster(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+
+    def of(ids: DataFrame) -> DataFrame:
+        # the ids are the side to hash; sorting would drag the texts along
+        return docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+
+    return of(lead.where("rows = 1")).union(of(lead.where("rows > 1")).dropDuplicates(["doc_id"]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chorale.llm.common import raw
 
 #: Bytes of text that a task holds before it ships its runs, and packed bytes that a bucket is meant to hold.
-FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
+FLUSH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 #: Level of the zstandard compression of what is packed.
 LEVEL = 6
 MARKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])

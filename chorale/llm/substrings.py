@@ -11,6 +11,7 @@ and gives nothing. Rows with equal doc_id do not act on each other. Other column
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ def cut_words(texts: list[bytes]):
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     words = [w for s in split for w in s]
+    del split
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
@@ -95,16 +97,23 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
     buckets, parts = sizes_of(rows, COPIES)
     spans = span_rows(repeated_spans(rows, cut_words, settle_words, buckets, parts)).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-    @F.pandas_udf("string")
-    def cut(texts, starts, ends):  # rows without spans keep their text
-        import pandas as pd
-
-        return pd.Series([t if s is None else strip_words(t.encode(), s, e)[3] for t, s, e in zip(texts, starts, ends, strict=True)])
-
-    own = docs.withColumn("own_key", text_key())
-    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), "spans")
-    joined = own.join(named, (F.col("doc_id") == F.col("span_doc")) & (F.col("own_key") == F.col("span_key")), "left")
-    out = joined.withColumn("text", cut("text", F.col("spans.start"), F.col("spans.end")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    own = docs.select("*", text_key().alias("own_key"))
+    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), F.col("spans.start").alias("span_start"), F.col("spans.end").alias("span_end"))
+    joined = own.join(named.hint("shuffle_hash"), (F.col("doc_id") == F.col("span_doc")) & (F.col("own_key") == F.col("span_key")), "left")
+    names, text, chars = docs.columns, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts, starts, ends = columns[text].to_pylist(), columns[-2].to_pylist(), columns[-1].to_pylist()
+            counts = columns[chars].to_pylist()
+            for i, start in enumerate(starts):
+                if start is not None:
+                    texts[i] = strip_words(texts[i].encode(), start, np.array(ends[i]))[3]
+                    counts[i] = len(texts[i])
+            columns[text] = pa.array(texts, columns[text].type)
+            if chars >= 0:
+                columns[chars] = pa.array(counts, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns[:-2], names=names)
+
+    return joined.select(*(joined[c] for c in names), "span_start", "span_end").mapInArrow(cut, docs.schema)

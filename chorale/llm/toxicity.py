@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chorale.llm.common import cut_lineage, filtered
 from chorale.llm.learning import fit_logistic, labelled
 
 #: Labelled texts to learn from at most; least number of contexts, share of them in toxic texts and log-likelihood ratio of a cue.
-MOST, CONTEXTS, SHARE, RATIO = 8000, 5, 0.9, 24.0
+MOST, CONTEXTS, SHARE, RATIO = 4000, 5, 0.9, 24.0
 STEMS = (4, 5, 6)
 REACH = 4
 INSULTS = ["idiot", "moron", "stupid", "imbecile", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "filth", "vermin", "bastard", "bitch", "asshole"]
@@ -145,8 +146,8 @@ def cues_of(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
         for batch in batches:
             texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
-            for at in range(0, len(texts), 100):
-                out = [(w, s, xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1, y) for w, s, a, b, y in features(texts[at : at + 100], labels[at : at + 100])]
+            for at in range(0, len(texts), 50):
+                out = [(w, s, xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1, y) for w, s, a, b, y in features(texts[at : at + 50], labels[at : at + 50])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int32()), strict=True)], names=["cue", "stem", "near", "label"])
 
@@ -169,8 +170,6 @@ def cues_of(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) -> Model:
     """`learn` picks the label rows to learn from. Clause weights of at most `most` texts come to the driver."""
-    from chorale.llm.common import cut_lineage
-
     rows = cut_lineage(labelled(docs, labels, "toxic", learn, most).select("text", "label"))
     model = Model(*cues_of(rows))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -202,10 +201,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.scores(list(texts)), dtype="float64")
-
-    return docs.where(rate("text") < 0.5)
+    return filtered(docs, lambda texts: (shared.value.scores(texts) < 0.5).tolist())
