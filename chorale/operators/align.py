@@ -148,7 +148,7 @@ def token_posteriors(v: DataFrame, engines: DataFrame, slot: list[str] = SLOT) -
 
     ``engines``: engine, weight, calibrated; unknown engines weigh 1 and keep their raw confidence.
     """
-    d = v.join(F.broadcast(engines), "engine", "left")  # one row per engine
+    d = v.join(engines, "engine", "left")  # one row per engine
     d = attach(d, slot, slot_start=F.min("start_ms"))
     cal = F.when(F.col("calibrated").isNull(), F.col("confidence")).when(
         F.col("confidence") > 0, (F.col("calibrated") + F.col("confidence")) / 2).otherwise(F.col("calibrated"))
@@ -231,7 +231,7 @@ def tidy_text(c: Column | str) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?;:])", "$1"), r"([,.!?;:])\s*", "$1 "), r"\s+", " ")
     pieces = F.regexp_extract_all(t, F.lit(r"([^.!?]+|[.!?]+)"), F.lit(1))
     fixed = F.transform(pieces, lambda s: F.when(s.rlike("^[.!?]") | (F.trim(s) == ""), s).otherwise(
-        F.concat(F.upper(F.substring(F.trim(s), 1, 1)), F.substring(F.trim(s), 2, 1_000_000))))
+        F.concat(F.upper(F.substring(F.trim(s), 1, 1)), F.substr(F.trim(s), F.lit(2)))))
     return F.trim(F.array_join(fixed, ""))
 
 
@@ -295,7 +295,7 @@ def reference_provider(segments: DataFrame, priors: DataFrame, unit: float, widt
     d = scan_over(segments, keys, ["start", "id"], _bucket("start", width), lag={"p_end": F.col("end")})
     gap = F.col("start") - F.col("p_end")
     m = d.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when((gap < -0.1 * unit) | (gap > 5.0 * unit), 1)).alias("bad"))
-    m = m.join(F.broadcast(priors), "provider", "left")
+    m = m.join(priors, "provider", "left")
     steady = F.when(F.col("n") < 2, 1.0).otherwise(1.0 - F.col("bad") / F.greatest(F.col("n") - 1, F.lit(1)))
     score = F.coalesce("prior", F.lit(0.5)) * 0.4 + F.least(F.col("n") / 100, F.lit(1.0)) * 0.3 + steady * 0.3
     return first_by(m.withColumn("score", F.round(score, 9)), KEY, [-F.col("score"), F.col("provider")], ["provider", "score", "n"])

@@ -23,8 +23,11 @@ FILLER_RULES = {
     "phrases": rf"(?i)(^|{NOT_WORD})(?:you\s+know|I\s+mean)({NOT_WORD}|$)",
 }
 COMMA_RULE = r"([^,.!?;:\s])\s+(and|but|or)\s+"
-NAMES = ("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september "
-         "october november december").split()
+# fixed values
+NAMES = [
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march",
+    "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
 NUMBER_WORDS = {"1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine", "10": "ten"}
 EMPHASIS = ["very", "really", "so"]
 READABILITY = {"sentence_length": 0.2, "punctuation_density": 0.15, "disfluency_ratio": 0.25, "capitalization_consistency": 0.15,
@@ -53,7 +56,7 @@ def drop_repeats(words: Column, keep: list[str] = EMPHASIS) -> Column:
 
 
 def capitalise(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100_000_000))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
 def normalize_corpus(df: DataFrame, profile: str, text: str = "text") -> DataFrame:

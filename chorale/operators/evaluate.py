@@ -352,7 +352,7 @@ def ci_report(points: DataFrame, gates: DataFrame) -> DataFrame:
     """Per metric count/avg/min/max/last and the minimum or maximum gate on the last value.  ``gates``: name, low, high (fixed list)."""
     m = points.groupBy("name").agg(F.count("*").alias("n"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"),
                                    F.max_by("value", F.struct("ts", "seq")).alias("last"))
-    d = m.join(F.broadcast(gates), "name", "left")
+    d = m.join(gates, "name", "left")
     ok = (F.col("low").isNull() | (F.col("last") >= F.col("low"))) & (F.col("high").isNull() | (F.col("last") <= F.col("high")))
     return d.withColumn("passed", ok).drop("low", "high")
 

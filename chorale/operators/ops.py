@@ -1,6 +1,8 @@
 """Operations: costs, service reliability, stage budgets, manifests, run comparison, inventories and lineage."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chorale.operators.skew import attach, scan_over
@@ -9,7 +11,7 @@ from chorale.session import cut_lineage
 
 def cost_summary(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost, calls, duration and tokens by service and model with totals (``*``); ``prices`` is the fixed price list."""
-    d = calls.join(F.broadcast(prices), "model", "left")
+    d = calls.join(prices, "model", "left")
     cost = F.coalesce(F.col("audio_seconds") / 60 * F.col("per_minute"), F.lit(0.0)) \
         + F.coalesce(F.col("input_tokens") / 1000 * F.col("per_1k_input") + F.col("output_tokens") / 1000 * F.col("per_1k_output"), F.lit(0.0))
     m = d.withColumn("cost", cost).rollup("service", "model").agg(
@@ -111,19 +113,21 @@ def eviction_plan(inventory: DataFrame, cap: int, order: list[str], bucket: Colu
     return d.where(over | stale).select("project", "key", "bytes", F.when(stale, "stale").otherwise("over_cap").alias("reason"))
 
 
-def lineage(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+def lineage(edges: DataFrame, roots: DataFrame, fold: int = 16) -> DataFrame:
     """Every artifact reachable from the roots with its least depth, level by level.  ``edges``: name, input; ``roots``: name.
 
-    Each step joins only the new frontier and drops what is already known, so cycles end; lineage is cut with reliable
-    checkpoints.
+    Each step joins only the new frontier and drops what is already known, so cycles end and the depth needs no limit;
+    lineage is cut with reliable checkpoints, and the known levels become one table again every ``fold`` levels.
     """
     known = cut_lineage(roots.select(F.col("name").alias("root"), "name").distinct().withColumn("depth", F.lit(0)))
     frontier = known
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = frontier.select("root", "name").join(edges, "name").select("root", F.col("input").alias("name")).distinct() \
             .join(known.select("root", "name"), ["root", "name"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut_lineage(step)
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if depth % fold == 0:
+            known = cut_lineage(known)
     return known

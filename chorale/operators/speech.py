@@ -35,7 +35,7 @@ def normalize_timestamps(words: DataFrame, providers: DataFrame, duration: float
     """
     key = F.regexp_replace(F.lower("provider"), "[- ]", "_")
     table = providers.select(key.alias("_p"), F.col("offset").alias("_o"), F.col("scale").alias("_s"))
-    d = words.withColumn("_p", key).join(F.broadcast(table), "_p", "left")  # one row per provider kind
+    d = words.withColumn("_p", key).join(table, "_p", "left")  # one row per provider kind
     o, s = F.coalesce("_o", F.lit(0.0)), F.coalesce("_s", F.lit(1.0))
     fix = lambda c: F.greatest(F.lit(0.0), (F.col(c) + o) * s)
     a, z = F.least(fix("start"), fix("end")), F.greatest(fix("start"), fix("end"))
@@ -264,11 +264,18 @@ def topic_development(segments: DataFrame, width: float) -> DataFrame:
         .when(F.col("continuity").between(0.1, 0.7), 0.7).otherwise(0.5))
 
 
-FORMAL = ("agenda minutes meeting discussion presentation proposal decision motion second vote approved rejected tabled quarterly "
-          "revenue budget forecast strategy metrics kpi roi deliverable milestone deadline timeline ceo cfo cto vp director "
-          "manager lead coordinator analyst specialist consultant advisor").split()
-INFORMAL = ("yeah yep nope okay ok sure alright gonna wanna kinda sorta dunno anyway basically actually obviously definitely "
-            "totally absolutely exactly right like").split()
+# fixed values
+FORMAL = [
+    "agenda", "minutes", "meeting", "discussion", "presentation", "proposal", "decision", "motion", "second",
+    "vote", "approved", "rejected", "tabled", "quarterly", "revenue", "budget", "forecast", "strategy", "metrics",
+    "kpi", "roi", "deliverable", "milestone", "deadline", "timeline", "ceo", "cfo", "cto", "vp", "director",
+    "manager", "lead", "coordinator", "analyst", "specialist", "consultant", "advisor",
+]
+# fixed values
+INFORMAL = [
+    "yeah", "yep", "nope", "okay", "ok", "sure", "alright", "gonna", "wanna", "kinda", "sorta", "dunno", "anyway",
+    "basically", "actually", "obviously", "definitely", "totally", "absolutely", "exactly", "right", "like",
+]
 
 
 def formality(df: DataFrame, text: str = "text") -> DataFrame:

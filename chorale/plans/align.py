@@ -8,7 +8,7 @@ from chorale.functions.numeric import r6
 from chorale.operators import align as op
 from chorale.plans.registry import query
 from chorale.plans.turns import HS, MS, WIDTH, hs
-from chorale.views import with_views
+from chorale.views import WORDS, with_views
 
 SEG = ["session_id", "turn"]
 KEY_SQL = r"regexp_replace(regexp_replace(lower(trim(word)),'[^\p{L}\p{N}_\s]','','g'),'^0+([0-9]+)$','\1')"
@@ -106,16 +106,16 @@ def _(v):
 
 @query("H1_align_words")
 def _(v):
-    w = v.hyp.select("session_id", F.col("engine").alias("candidate_id"), (F.col("turn") * 100000 + F.col("pos")).alias("word_id"),
+    w = v.hyp.select("session_id", F.col("engine").alias("candidate_id"), (F.col("turn") * WORDS + F.col("pos")).alias("word_id"),
                      F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     return op.align_words(w, WIDTH)
 
 
-@query("H1_alignment_islands", with_views("hyp") + """, a AS (SELECT session_id, engine AS candidate_id, turn*100000+pos AS word_id, start_ms AS start, end_ms AS "end" FROM hyp),
+@query("H1_alignment_islands", with_views("hyp") + """, a AS (SELECT session_id, engine AS candidate_id, turn*4294967296+pos AS word_id, start_ms AS start, end_ms AS "end" FROM hyp),
  b AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start,candidate_id,word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a)
  SELECT session_id, candidate_id, word_id, CAST(sum(CASE WHEN reach IS NULL OR start>reach+300 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start,candidate_id,word_id) AS BIGINT) AS island FROM b""")
 def _(v):
-    w = v.hyp.select("session_id", F.col("engine").alias("candidate_id"), (F.col("turn") * 100000 + F.col("pos")).alias("word_id"),
+    w = v.hyp.select("session_id", F.col("engine").alias("candidate_id"), (F.col("turn") * WORDS + F.col("pos")).alias("word_id"),
                      F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     return op.overlap_islands(w, ["session_id"], "start", "end", ["candidate_id", "word_id"], WIDTH, 300).select(
         "session_id", "candidate_id", "word_id", "island")
@@ -246,7 +246,7 @@ def _(v):
 
 
 def stem_words(v):
-    return v.hyp.select("session_id", F.col("engine").alias("stem"), (F.col("turn") * 100000 + F.col("pos")).alias("word_id"),
+    return v.hyp.select("session_id", F.col("engine").alias("stem"), (F.col("turn") * WORDS + F.col("pos")).alias("word_id"),
                         (F.col("start_ms") + 150 * (F.col("engine") % 2)).alias("start"), F.col("end_ms").alias("end"), "word", "confidence",
                         (0.9 - 0.1 * F.col("engine")).alias("attribution"),
                         F.concat(F.lit("s"), F.col("engine") % 2).alias("speaker"))
@@ -257,7 +257,7 @@ def stem_glossary(v):
     return w.groupBy("term").agg(F.count("*").alias("n")).select("term", (1.0 + F.least(F.col("n"), F.lit(5)) / 10.0).alias("prior"))
 
 
-STEM = with_views("hyp") + r""", sw AS (SELECT session_id, engine AS stem, turn*100000+pos AS word_id, start_ms+150*(engine%2) AS start, end_ms AS "end", word, confidence, 9e-1-1e-1*engine AS att, lower(trim(word)) AS low, concat('s',engine%2) AS speaker FROM hyp),
+STEM = with_views("hyp") + r""", sw AS (SELECT session_id, engine AS stem, turn*4294967296+pos AS word_id, start_ms+150*(engine%2) AS start, end_ms AS "end", word, confidence, 9e-1-1e-1*engine AS att, lower(trim(word)) AS low, concat('s',engine%2) AS speaker FROM hyp),
  gl AS (SELECT w AS low, 1e0+least(count(*),5)/1e1 AS prior FROM (SELECT unnest(string_split_regex(trim(lower(text)),'\s+')) AS w FROM benchmark) GROUP BY 1),
  sj AS (SELECT sw.*, round(greatest(0,least(1,confidence*4e-1+coalesce(prior,1)*2e-1+att*1e-1)),9) AS joint FROM sw LEFT JOIN gl USING (low)),
  sr AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start,stem,word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sj),
@@ -330,7 +330,7 @@ def _(v):
     return d.select("session_id", r6("cut").alias("cut"), "kind", r6("quality").alias("quality"))
 
 
-@query("H47_merge_chunks", with_views("hyp") + """, ch AS (SELECT session_id, turn AS chunk_id, start_ms AS start, end_ms+1500 AS "end" FROM seg), tk AS (SELECT session_id, turn AS chunk_id, turn*100000+pos*10+engine AS word_id, start_ms AS start, end_ms AS "end", word FROM hyp WHERE engine<2),
+@query("H47_merge_chunks", with_views("hyp") + """, ch AS (SELECT session_id, turn AS chunk_id, start_ms AS start, end_ms+1500 AS "end" FROM seg), tk AS (SELECT session_id, turn AS chunk_id, (turn*4294967296+pos)*10+engine AS word_id, start_ms AS start, end_ms AS "end", word FROM hyp WHERE engine<2),
  e AS (SELECT *, lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM ch WINDOW w AS (PARTITION BY session_id ORDER BY start,chunk_id)),
  f AS (SELECT *, CASE WHEN pe-start>10 THEN (pe+start)/2e0 END AS lo, CASE WHEN "end"-ns>10 THEN ("end"+ns)/2e0 END AS hi FROM e),
  k AS (SELECT tk.* FROM tk JOIN f USING (session_id,chunk_id) WHERE (lo IS NULL OR tk.start>lo) AND (hi IS NULL OR tk."end"<=hi)),
@@ -340,6 +340,6 @@ def _(v):
 def _(v):
     chunks = v.seg.select("session_id", F.col("turn").alias("chunk_id"), F.col("start_ms").alias("start"), (F.col("end_ms") + 1500).alias("end"))
     tokens = v.hyp.where("engine < 2").select(
-        "session_id", F.col("turn").alias("chunk_id"), (F.col("turn") * 100000 + F.col("pos") * 10 + F.col("engine")).alias("word_id"),
+        "session_id", F.col("turn").alias("chunk_id"), ((F.col("turn") * WORDS + F.col("pos")) * 10 + F.col("engine")).alias("word_id"),
         F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word")
     return op.merge_chunks(chunks, tokens, MS, WIDTH)

@@ -9,7 +9,7 @@ from chorale.operators import evaluate as op
 from chorale.plans.registry import query
 from chorale.plans.speech import _ent_sql
 from chorale.plans.turns import HOURS4, HS, IV, MS, SG, US, WIDTH, hs, hyp_words, iv, sg
-from chorale.views import with_views
+from chorale.views import WORDS, with_views
 
 
 def text_pairs(v):
@@ -38,7 +38,7 @@ def _(v):
 
 @query("H41_overlap_wer")
 def _(v):
-    ref = v.word.select("session_id", (F.col("turn") * 100000 + F.col("pos")).alias("word_id"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word")
+    ref = v.word.select("session_id", (F.col("turn") * WORDS + F.col("pos")).alias("word_id"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word")
     hyp = hyp_words(v, 1).select("session_id", "word_id", "start", "end", "word")
     regions = v.seg.select("session_id", F.col("turn").alias("region_id"), (F.col("start_ms") + 1000).alias("r0"), (F.col("start_ms") + 9000).alias("r1"))
     d = op.overlap_wer(ref, hyp, regions, WIDTH)

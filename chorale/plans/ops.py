@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chorale.functions.numeric import r6
 from chorale.operators import ops as op
 from chorale.plans.registry import query
-from chorale.views import with_views
+from chorale.views import WORDS, with_views
 
 # fixed values: price list
 PRICES = [("whisper-1", 0.006, 0.0, 0.0), ("gpt-4", 0.0, 0.03, 0.06), ("gpt-3.5-turbo", 0.0, 0.002, 0.002)]
@@ -72,11 +72,11 @@ def _(v):
     return op.totals_mismatch(artifacts(v)[0], runs)
 
 
-RUNS = with_views("word") + """, a AS (SELECT session_id, turn*100000+pos AS ordinal, word, start_ms AS s, end_ms AS e FROM word), b AS (SELECT session_id, turn*100000+pos AS ordinal, CASE WHEN session_id%10=3 AND pos=5 THEN 'x' ELSE word END AS word, start_ms+(session_id%7) AS s, end_ms AS e FROM word WHERE NOT (session_id%10=4 AND pos=2))"""
+RUNS = with_views("word") + """, a AS (SELECT session_id, turn*4294967296+pos AS ordinal, word, start_ms AS s, end_ms AS e FROM word), b AS (SELECT session_id, turn*4294967296+pos AS ordinal, CASE WHEN session_id%10=3 AND pos=5 THEN 'x' ELSE word END AS word, start_ms+(session_id%7) AS s, end_ms AS e FROM word WHERE NOT (session_id%10=4 AND pos=2))"""
 
 
 def two_runs(v):
-    o = F.col("turn") * 100000 + F.col("pos")
+    o = F.col("turn") * WORDS + F.col("pos")
     a = v.word.select("session_id", o.alias("ordinal"), "word", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     b = v.word.where("not (session_id % 10 = 4 and pos = 2)").select(
         "session_id", o.alias("ordinal"), F.when((F.col("session_id") % 10 == 3) & (F.col("pos") == 5), "x").otherwise(F.col("word")).alias("word"),

@@ -9,7 +9,7 @@ from chorale.operators import speech as sp, terms as op
 from chorale.plans.registry import query
 from chorale.plans.speech import CTX, UNIT_SQL, _case_sql, _tech_sql, _type_sql
 from chorale.plans.turns import HS, hs
-from chorale.views import with_views
+from chorale.views import WORDS, with_views
 
 DENY = r"dn AS (SELECT DISTINCT unnest(string_split_regex(trim(lower(text)),'\s+')) AS token FROM benchmark WHERE item_id%4=0)"
 BACK = r"bk AS (SELECT w AS token, count(*)/sum(count(*)) OVER () AS probability FROM (SELECT unnest(string_split_regex(trim(lower(text)),'\s+')) AS w FROM benchmark) GROUP BY 1)"
@@ -167,11 +167,11 @@ def _(v):
     return d.select("session_id", "turn", "engine", "words", "used", "novel", r6("coverage").alias("coverage"), r6("effectiveness").alias("effectiveness"))
 
 
-SPV = with_views("hyp") + ", " + GLOS + """, spn AS (SELECT session_id, turn*100000+pos AS span_id, word AS text, confidence, 2e-1+(engine*3+pos)%7/1e1 AS acoustic FROM hyp), cur AS (SELECT session_id, turn*100000+pos AS span_id, word AS text FROM hyp WHERE engine=2)"""
+SPV = with_views("hyp") + ", " + GLOS + """, spn AS (SELECT session_id, turn*4294967296+pos AS span_id, word AS text, confidence, 2e-1+(engine*3+pos)%7/1e1 AS acoustic FROM hyp), cur AS (SELECT session_id, turn*4294967296+pos AS span_id, word AS text FROM hyp WHERE engine=2)"""
 
 
 def span_rows(v):
-    sid = F.col("turn") * 100000 + F.col("pos")
+    sid = F.col("turn") * WORDS + F.col("pos")
     spans = v.hyp.select("session_id", sid.alias("span_id"), F.col("word").alias("text"), "confidence", (0.2 + (F.col("engine") * 3 + F.col("pos")) % 7 / 10.0).alias("acoustic"))
     cur = v.hyp.where("engine = 2").select("session_id", sid.alias("span_id"), F.col("word").alias("text"))
     return spans, cur
@@ -205,14 +205,14 @@ def _(v):
     return d.groupBy("session_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"))
 
 
-@query("H28_constrain_edits", with_views("seg") + ", " + GLOS + r""", pr AS (SELECT session_id*100+turn AS id, trim(regexp_replace(text,'\s+',' ','g')) AS o, trim(regexp_replace(replace(text,'re','the'),'\s+',' ','g')) AS r FROM seg),
+@query("H28_constrain_edits", with_views("seg") + ", " + GLOS + r""", pr AS (SELECT session_id*4294967296+turn AS id, trim(regexp_replace(text,'\s+',' ','g')) AS o, trim(regexp_replace(replace(text,'re','the'),'\s+',' ','g')) AS r FROM seg),
  w AS (SELECT id, unnest(range(len(string_split(o,' ')))) AS i, string_split(o,' ') AS ow, string_split(r,' ') AS rw FROM pr WHERE len(string_split(o,' '))=len(string_split(r,' '))),
  k AS (SELECT id, i, ow[i+1] AS o, rw[i+1] AS r, regexp_replace(lower(ow[i+1]),'[^\p{L}\p{N}_]','','g') AS ok, regexp_replace(lower(rw[i+1]),'[^\p{L}\p{N}_]','','g') AS rk FROM w),
  f AS (SELECT id, i, CASE WHEN ok=rk THEN r WHEN rk IN (SELECT term FROM gl) THEN r ELSE o END AS w, ok<>rk AND rk NOT IN (SELECT term FROM gl) AS lim FROM k)
  SELECT id, string_agg(w,' ' ORDER BY i) AS text, bool_or(lim) AS constrained FROM f GROUP BY 1 UNION ALL SELECT id, r, false FROM pr WHERE len(string_split(o,' '))<>len(string_split(r,' '))""")
 def _(v):
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    pairs = v.seg.select((F.col("session_id") * 100 + F.col("turn")).alias("id"), flat(F.col("text")).alias("original"), flat(F.replace("text", F.lit("re"), F.lit("the"))).alias("repaired"))
+    pairs = v.seg.select((F.col("session_id") * WORDS + F.col("turn")).alias("id"), flat(F.col("text")).alias("original"), flat(F.replace("text", F.lit("re"), F.lit("the"))).alias("repaired"))
     g = glossary(v).select(F.col("term").alias("form"), F.col("term").alias("canonical"))
     return op.constrain_edits(pairs, g)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chorale.functions.numeric import r6
 from chorale.operators import turns as op
 from chorale.plans.registry import query
-from chorale.views import with_views
+from chorale.views import WORDS, with_views
 
 US, MS = 1_000_000, 1_000
 HOURS4 = 14_400_000_000
@@ -84,7 +84,7 @@ def cut_turns(v):
 
 
 @query("C1_C2_assign_speakers", SGW + """, tu AS (SELECT session_id, id AS turn_id, speaker, start+100*(id%4) AS ts, "end"-300*(id%3) AS te FROM sg WHERE "end"-300*(id%3) > start+100*(id%4)),
- w AS (SELECT session_id, turn*100000+pos AS word_id, start_ms AS ws, end_ms AS we FROM word),
+ w AS (SELECT session_id, turn*4294967296+pos AS word_id, start_ms AS ws, end_ms AS we FROM word),
  hit AS (SELECT w.session_id, word_id, turn_id, speaker, greatest(0,least(we,te)-greatest(ws,ts))/(we-ws) AS ratio, abs((ws+we)/2e0-(ts+te)/2e0) AS off
   FROM w JOIN tu ON w.session_id=tu.session_id AND ws<=te+150 AND we>=ts-150),
  best AS (SELECT session_id, word_id, arg_min(turn_id,(-ratio,off,turn_id)) AS turn_id, arg_min(speaker,(-ratio,off,turn_id)) AS speaker, round(least(1,max(ratio)*12e-1),6) AS confidence,
@@ -92,7 +92,7 @@ def cut_turns(v):
  far AS (SELECT w.session_id, word_id, turn_id, speaker, least(abs(ws-te),abs(we-ts)) AS dist, ts FROM w JOIN tu ON w.session_id=tu.session_id WHERE (w.session_id,word_id) NOT IN (SELECT (session_id,word_id) FROM best))
  SELECT * FROM best UNION ALL SELECT session_id, word_id, arg_min(turn_id,(dist,ts,turn_id)), arg_min(speaker,(dist,ts,turn_id)), round(greatest(1e-1,1-min(dist)/1e3/2),6), 0, false, true FROM far GROUP BY 1,2""")
 def _(v):
-    words = v.word.select("session_id", (F.col("turn") * 100000 + F.col("pos")).alias("word_id"),
+    words = v.word.select("session_id", (F.col("turn") * WORDS + F.col("pos")).alias("word_id"),
                           F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
     return op.assign_speakers(words, cut_turns(v), MS, WIDTH).withColumn("confidence", r6("confidence"))
 
@@ -206,11 +206,11 @@ def _(v):
 
 def hyp_words(v, engine=1):
     return v.hyp.where(F.col("engine") == engine).select(
-        "session_id", F.col("turn").alias("segment"), "speaker", (F.col("turn") * 100000 + F.col("pos")).alias("word_id"),
+        "session_id", F.col("turn").alias("segment"), "speaker", (F.col("turn") * WORDS + F.col("pos")).alias("word_id"),
         F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word", "confidence")
 
 
-HW = with_views("hyp") + """, hw AS (SELECT session_id, turn AS segment, speaker, turn*100000+pos AS word_id, start_ms AS start, end_ms AS "end", word, confidence FROM hyp WHERE engine=1)"""
+HW = with_views("hyp") + """, hw AS (SELECT session_id, turn AS segment, speaker, turn*4294967296+pos AS word_id, start_ms AS start, end_ms AS "end", word, confidence FROM hyp WHERE engine=1)"""
 W2S = """, a AS (SELECT *, lag("end") OVER w AS pe, lag(speaker) OVER w AS ps FROM hw WINDOW w AS (PARTITION BY session_id ORDER BY start, word_id)),
  b AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps<>speaker OR start-pe>{g} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start, word_id) AS segm FROM a)
  SELECT session_id, CAST(segm AS BIGINT) AS segment, speaker, min(start) AS start, max("end") AS "end", count(*) AS words, round(avg(confidence),6) AS confidence, string_agg(word,' ' ORDER BY start, word_id) AS text FROM b GROUP BY ALL"""
@@ -258,7 +258,7 @@ def _(v):
  c AS (SELECT *, adj AND (rn-r0)%2=1 AS dup, coalesce(lead(adj) OVER (PARTITION BY session_id ORDER BY rn),false) AND (rn-r0)%2=0 AS ndup FROM e)
  SELECT session_id, word_id, start, word, round(confidence,6) AS confidence FROM c WHERE CASE WHEN dup THEN confidence>pc WHEN ndup THEN NOT nc>confidence ELSE true END""")
 def _(v):
-    pos = F.col("word_id") % 100000
+    pos = F.col("word_id") % WORDS
     words = hyp_words(v).withColumn("word", F.when((pos % 6).isin(2, 3), "again").otherwise(F.col("word")))
     return op.dedupe_words(words, MS, WIDTH).select("session_id", "word_id", "start", "word", r6("confidence").alias("confidence"))
 

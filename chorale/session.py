@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,20 @@ def build_session(cores: str = "8", partitions: str = "8") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one process that holds driver and tasks may use a scratch folder."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+        return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the session names; a scratch folder only where none is set."""
+    """Reliable checkpoint into the folder the session names."""
     context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

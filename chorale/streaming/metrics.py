@@ -68,7 +68,7 @@ def alerts(events: DataFrame, defs: DataFrame, late: str = "5 minutes") -> DataF
     ``defs`` is the fixed list of metric definitions.
     """
     d = events.withWatermark("ts", late) if events.isStreaming else events
-    j = d.join(F.broadcast(defs), "name")
+    j = d.join(defs, "name")
     v, high, low = F.col("value"), F.col("direction") == "high", F.col("direction") == "low"
     over = lambda t: (high & (v > F.col(t))) | (low & (v < F.col(t)))
     severity = F.when(over("warning"), "WARNING").when(over("critical"), "CRITICAL").when(~high & (v > F.col("info")), "INFO")

@@ -167,6 +167,9 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
 }
 
 
+WORDS = 1 << 32  # turn * WORDS + position is one id per word of a session, whatever the length of a turn
+
+
 def with_views(*names: str) -> str:
     """``WITH a AS (...), b AS (...)`` for the named views and those they read."""
     done: dict[str, str] = {}
