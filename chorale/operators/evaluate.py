@@ -265,13 +265,13 @@ def calibration_alerts(samples: DataFrame, order: list[Column], last: int = 1000
 
 
 def fit_calibrators(samples: DataFrame, minimum: int = 50) -> DataFrame:
-    """Step tables (isotonic) or logistic lines (Platt) per provider, whichever has the lower error on held-out samples.
+    """Knots (isotonic) or logistic lines (Platt) per provider, whichever has the lower error on held-out samples.
 
     ``samples``: provider, doc_id, raw, label.  Raw scores are first folded to (raw, n, positives) rows, so what one
-    provider's fit sees is bounded by its distinct score values (rounded to .001), not by its sample count.
+    provider's fit sees is its distinct score values, not its samples; scores are counted as they are.
     """
     hold = F.col("doc_id") % 5 == 0
-    h = samples.withColumn("raw", F.round("raw", 3)).groupBy("provider", "raw").agg(
+    h = samples.where(F.col("raw").isNotNull()).groupBy("provider", "raw").agg(
         F.count(F.when(~hold, 1)).alias("n"), F.sum(F.when(~hold, F.col("label")).otherwise(0)).alias("k"),
         F.count(F.when(hold, 1)).alias("hn"), F.sum(F.when(hold, F.col("label")).otherwise(0)).alias("hk"))
     h = attach(h, ["provider"], samples=F.sum(F.col("n") + F.col("hn"))).where(F.col("samples") >= minimum)
@@ -281,22 +281,23 @@ def fit_calibrators(samples: DataFrame, minimum: int = 50) -> DataFrame:
         d = pdf.sort_values("raw")
         t = d[d["n"] > 0]
         x, n, k = t["raw"].to_numpy(float), t["n"].to_numpy(float), t["k"].to_numpy(float)
-        blocks = []
+        if not len(x):
+            return pd.DataFrame({"provider": [], "method": [], "from_raw": [], "value": [], "intercept": [], "slope": [], "ece": []})
+        blocks = []  # first and last score, samples, positives
         for xi, ni, ki in zip(x, n, k):
-            blocks.append([xi, ni, ki])
-            while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
+            blocks.append([xi, xi, ni, ki])
+            while len(blocks) > 1 and blocks[-2][3] / blocks[-2][2] >= blocks[-1][3] / blocks[-1][2]:
                 b = blocks.pop()
-                blocks[-1][1] += b[1]
-                blocks[-1][2] += b[2]
-        starts = np.array([b[0] for b in blocks])
-        values = np.clip([b[2] / b[1] for b in blocks], 0.01, 0.99)
+                blocks[-1] = [blocks[-1][0], b[1], blocks[-1][2] + b[2], blocks[-1][3] + b[3]]
+        knots = sorted({(edge, min(0.99, max(0.01, b[3] / b[2]))) for b in blocks for edge in b[:2]})
+        starts, values = np.array(knots).T
         w = np.zeros(2)
         for _ in range(50):  # Newton steps of a weighted logistic fit
             p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
             s = n * p * (1 - p)
             hess = np.array([[s.sum(), (s * x).sum()], [(s * x).sum(), (s * x * x).sum()]]) + 1e-6 * np.eye(2)
             w = w + np.linalg.solve(hess, [(k - n * p).sum(), ((k - n * p) * x).sum()])
-        iso = lambda v: values[np.maximum(np.searchsorted(starts, v, "right") - 1, 0)]
+        iso = lambda v: np.interp(v, starts, values)
         platt = lambda v: 1 / (1 + np.exp(-(w[0] + w[1] * v)))
         e = d[d["hn"] > 0]
         hx, hn, hk = e["raw"].to_numpy(float), e["hn"].to_numpy(float), e["hk"].to_numpy(float)
@@ -317,21 +318,25 @@ def fit_calibrators(samples: DataFrame, minimum: int = 50) -> DataFrame:
     return h.groupBy("provider").applyInPandas(fit, "provider string, method string, from_raw double, value double, intercept double, slope double, ece double")
 
 
-def apply_calibrators(samples: DataFrame, models: DataFrame) -> DataFrame:
+def apply_calibrators(samples: DataFrame, models: DataFrame, width: float = 0.001) -> DataFrame:
     """Calibrated score of each sample; providers without a model keep the clipped raw score.
 
-    The step table is an interval join on ``from_raw``, at .001 resolution at most a thousand rows per provider.
+    Isotonic models are lines between their knots.  Knots and distinct scores are scanned together in score order, in
+    buckets of ``width``, so neither a provider's knots nor its samples meet in one task.
     """
-    nxt = scan_over(models, ["provider"], ["from_raw"], F.lit(0), lead={"until": F.col("from_raw")})
-    lo = nxt.groupBy("provider").agg(F.min("from_raw").alias("least"))
-    steps = nxt.join(lo, "provider").select(
-        "provider", "method", "value", "intercept", "slope",
-        F.explode(F.sequence(F.when(F.col("from_raw") == F.col("least"), 0).otherwise(F.round(F.col("from_raw") * 1000)).cast("int"),
-                             F.coalesce(F.round(F.col("until") * 1000).cast("int") - 1, F.lit(1000)))).alias("milli"))
-    d = samples.withColumn("milli", F.round(F.round("raw", 3) * 1000).cast("int")).join(steps, ["provider", "milli"], "left")
-    line = 1.0 / (1.0 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("raw"))))
-    c = F.when(F.col("method") == "isotonic", F.col("value")).when(F.col("method") == "platt", line).otherwise(F.col("raw"))
-    return d.select(*samples.columns, F.coalesce("method", F.lit("raw")).alias("method"), F.least(F.lit(0.99), F.greatest(F.lit(0.01), c)).alias("calibrated"))
+    d = samples.withColumn("_x", F.when(F.col("raw").isNotNull(), F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("raw").cast("double")))))
+    lines = models.groupBy("provider").agg(F.min("method").alias("method"), F.min("intercept").alias("_i"), F.min("slope").alias("_k"))
+    knots = models.where("method = 'isotonic'").select("provider", F.col("from_raw").alias("_x"), "value", F.lit(0).alias("_o"))
+    asked = d.where("_x is not null").select("provider", "_x").distinct().select("provider", "_x", F.lit(None).cast("double").alias("value"), F.lit(1).alias("_o"))
+    knot = F.when(F.col("_o") == 0, F.struct(F.col("_x").alias("x"), F.col("value").alias("y")))
+    near = scan_over(asked.unionByName(knots), ["provider"], ["_x", "_o"], F.floor(F.col("_x") / F.lit(width)), last_upto={"lo": knot}, next_from={"hi": knot}) \
+        .where("_o = 1").select("provider", "_x", "lo", "hi")
+    share = (F.col("_x") - F.col("lo.x")) / (F.col("hi.x") - F.col("lo.x"))
+    curve = F.coalesce(F.col("lo.y") + share * (F.col("hi.y") - F.col("lo.y")), F.col("lo.y"), F.col("hi.y"))
+    line = 1.0 / (1.0 + F.exp(-(F.col("_i") + F.col("_k") * F.col("_x"))))
+    c = F.when(F.col("method") == "isotonic", curve).when(F.col("method") == "platt", line).otherwise(F.col("raw"))
+    return d.join(lines, "provider", "left").join(near, ["provider", "_x"], "left").select(
+        *samples.columns, F.coalesce("method", F.lit("raw")).alias("method"), F.least(F.lit(0.99), F.greatest(F.lit(0.01), c)).alias("calibrated"))
 
 
 def calibration_labels(segments: DataFrame, gold: DataFrame, width: float, threshold: float = 0.8) -> DataFrame:

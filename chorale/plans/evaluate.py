@@ -187,18 +187,19 @@ def _(v):
 
 
 def grouped_samples(v):
-    return v.calib.withColumn("provider", F.concat(F.lit("g"), F.substring("provider", 4, 1)))
+    """Languages stand for providers: each has dozens of labelled documents or more."""
+    return v.calib.join(v.table("documents").select("doc_id", "lang"), "doc_id").drop("provider").withColumnRenamed("lang", "provider")
 
 
 @query("H15_fit_calibrators")
 def _(v):
-    return op.fit_calibrators(grouped_samples(v), 30)
+    return op.fit_calibrators(grouped_samples(v))
 
 
 @query("H15_apply_calibrators")
 def _(v):
     s = grouped_samples(v)
-    return op.apply_calibrators(s, op.fit_calibrators(s, 30)).withColumn("calibrated", r6("calibrated"))
+    return op.apply_calibrators(s, op.fit_calibrators(s)).withColumn("calibrated", r6("calibrated"))
 
 
 @query("H16_calibration_labels", HS + r""", s AS (SELECT session_id, id, engine, confidence, start, "end", list_distinct(string_split_regex(lower(trim(text)),'\s+')) AS ws FROM hs), g AS (SELECT s.session_id, s.id, s.engine, list_distinct(list(lower(trim(word)))) AS gs FROM s JOIN word w ON w.session_id=s.session_id AND w.start_ms<s."end" AND w.end_ms>s.start GROUP BY 1,2,3),

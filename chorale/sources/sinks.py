@@ -7,15 +7,28 @@ from chorale.functions.strings import fmt_ass, fmt_clock, fmt_srt, fmt_vtt
 from chorale.operators.skew import scan_over
 from chorale.operators.turns import KEY, _bucket
 
+# fixed values: colours of speakers and the head of a caption file with styles
+SPEAKER_COLOURS = ["FF6B6B", "4ECDC4", "45B7D1", "96CEB4", "FFEAA7", "DDA0DD", "98D8C8", "F7DC6F", "BB8FCE", "85C1E9"]
+ASS_HEAD = """[Script Info]
+Title: Ensemble Transcription
+ScriptType: v4.00+
+Collisions: Normal
+PlayDepth: 0
+
+[V4+ Styles]
+Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"""
+ASS_EVENTS = """
+[Events]
+Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"""
+
 
 def rttm_lines(segments: DataFrame, unit: float) -> DataFrame:
     line = F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", F.col("session_id").cast("string"), F.col("start") / unit, (F.col("end") - F.col("start")) / unit, F.col("speaker"))
     return segments.select(*KEY, "start", "id", line.alias("line"))
 
 
-def write_rttm(segments: DataFrame, path: str, unit: float) -> None:
-    rttm_lines(segments, unit).repartitionByRange("session_id", "start").sortWithinPartitions("session_id", "start", "id") \
-        .select("session_id", "line").write.mode("overwrite").partitionBy("session_id").text(path)
+def write_rttm(segments: DataFrame, path: str, unit: float, buckets: int = 64) -> None:
+    write_by_session(rttm_lines(segments, unit), path, ["start", "id"], buckets)
 
 
 def caption_lines(segments: DataFrame, fmt: str, width: float) -> DataFrame:
@@ -40,10 +53,35 @@ def caption_lines(segments: DataFrame, fmt: str, width: float) -> DataFrame:
     return d.select(*KEY, "start", "id", "cue", "slot", cue.alias("line"))
 
 
-def write_captions(segments: DataFrame, fmt: str, path: str, width: float) -> None:
-    lines = caption_lines(segments, fmt, width)
-    lines.repartitionByRange("session_id", "start").sortWithinPartitions("session_id", "start", "id").select("session_id", "line") \
-        .write.mode("overwrite").partitionBy("session_id").text(path)
+def caption_document(segments: DataFrame, fmt: str, width: float) -> DataFrame:
+    """Every line of each session's caption file; (part, start, id) orders them: head, styles, event head, cues."""
+    cues = caption_lines(segments, fmt, width)
+    kinds = dict(cues.dtypes)
+
+    def lines(df: DataFrame, part: int, line: Column, order: Column) -> DataFrame:
+        return df.select(*KEY, F.lit(part).alias("part"), order.cast(kinds["start"]).alias("start"), F.lit(0).cast(kinds["id"]).alias("id"), line.alias("line"))
+
+    out = cues.select(*KEY, F.lit(3).alias("part"), "start", "id", "line")
+    sessions = segments.select(*KEY).distinct()
+    if fmt == "vtt":
+        out = out.unionByName(lines(sessions, 0, F.lit("WEBVTT\n"), F.lit(0)))
+    if fmt == "ass":
+        colour = F.element_at(F.array(*[F.lit(c[4:] + c[2:4] + c[:2]) for c in SPEAKER_COLOURS]), ((F.col("slot") - 1) % len(SPEAKER_COLOURS) + 1).cast("int"))  # blue first
+        style = F.format_string("Style: Speaker%d,Arial,20,&H%s,&H000000,&H000000,&H80000000,0,0,0,0,100,100,0,0,1,2,0,2,10,10,10,1", F.col("slot"), colour)
+        out = out.unionByName(lines(sessions, 0, F.lit(ASS_HEAD), F.lit(0))).unionByName(lines(cues.select(*KEY, "slot").distinct(), 1, style, F.col("slot"))) \
+            .unionByName(lines(sessions, 2, F.lit(ASS_EVENTS), F.lit(0)))
+    return out
+
+
+def write_by_session(lines: DataFrame, path: str, order: list[str], buckets: int) -> None:
+    """Parquet in ``buckets`` folders by session hash: few large files, each session's lines sorted and together."""
+    d = lines.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    keys = ["bucket", "session_id", *order]
+    d.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_captions(segments: DataFrame, fmt: str, path: str, width: float, buckets: int = 64) -> None:
+    write_by_session(caption_document(segments, fmt, width), path, ["part", "start", "id"], buckets)
 
 
 def master_transcript(segments: DataFrame, unit: float) -> DataFrame:
@@ -59,8 +97,8 @@ def master_segments(segments: DataFrame, winners: DataFrame, width: float) -> Da
     return d.withColumn("json", F.to_json(F.struct("ordinal", "start", "end", "speaker", "text", F.struct("candidate_id").alias("provenance"))))
 
 
-def write_master(segments: DataFrame, winners: DataFrame, path: str, width: float) -> None:
-    master_segments(segments, winners, width).select("session_id", "json").withColumnRenamed("json", "value").write.mode("overwrite").partitionBy("session_id").text(path)
+def write_master(segments: DataFrame, winners: DataFrame, path: str, width: float, buckets: int = 64) -> None:
+    write_by_session(master_segments(segments, winners, width).select("session_id", "ordinal", "json"), path, ["ordinal"], buckets)
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:

@@ -1,10 +1,12 @@
 """Hand-computed cases for rules that SQL cannot state, and for the skew helpers on bucket edges."""
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chorale.operators import align, evaluate, quality, skew, speakers, terms, turns
+from chorale.functions import strings
+from chorale.operators import align, evaluate, ops, quality, skew, speakers, terms, turns
 
 
 def rows(df, *cols):
@@ -133,6 +135,34 @@ def test_isotonic_or_platt_is_monotone(spark):
     assert out["calibrated"].is_monotonic_increasing and out["calibrated"].between(.01, .99).all()
 
 
+def test_isotonic_scores_lie_on_lines_between_knots(spark):
+    m = [("p", "isotonic", .2, .1, 0., 0.), ("p", "isotonic", .4, .1, 0., 0.), ("p", "isotonic", .40017, .9, 0., 0.), ("p", "isotonic", .8, .95, 0., 0.), ("q", "platt", 0., 0., -1., 2.)]
+    models = spark.createDataFrame([(*r, .0) for r in m], "provider string, method string, from_raw double, value double, intercept double, slope double, ece double")
+    raw = [.0, .2, .3, .4, .40005, .6, .6, .8, .97, 1.]
+    d = spark.createDataFrame([(p, i, x) for p in "pqr" for i, x in enumerate(raw)] + [("p", 99, None)], "provider string, doc_id long, raw double")
+    got = {(r.provider, r.doc_id): (r.method, r.calibrated) for r in evaluate.apply_calibrators(d, models).collect()}
+    assert len(got) == 31
+    for i, x in enumerate(raw):
+        x = min(.999, max(.001, x))
+        assert abs(got["p", i][1] - np.interp(x, [.2, .4, .40017, .8], [.1, .1, .9, .95])) < 1e-9
+        assert abs(got["q", i][1] - 1 / (1 + np.exp(1 - 2 * x))) < 1e-9
+        assert got["r", i] == ("raw", min(.99, max(.01, raw[i])))
+
+
+def test_lineage_has_no_depth_limit_and_ends_on_cycles(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(60, 0)]
+    edges = spark.createDataFrame(chain, "name long, input long")
+    got = {r.name: r.depth for r in ops.lineage(edges, spark.createDataFrame([(0,)], "name long")).collect()}
+    assert got == {i: i for i in range(61)}
+
+
+def test_long_words_keep_their_rest(spark):
+    word = "a" * 1_000_050 + "B"
+    d = spark.createDataFrame([(word,)], "w string")
+    assert d.select(strings.case_score("w").alias("s")).first().s == .8
+    assert len(d.select(align.tidy_text("w").alias("t")).first().t) == len(word)
+
+
 def test_stem_attribution_moves_speakers(spark):
     s = [(1, 0, ["A", "B"], .9, .9, .9, [1., 0.]), (1, 1, ["A", "B"], .8, .9, .9, [0., 1.]), (1, 2, ["A", "B"], .1, .1, .1, [0., 0.])]
     d = spark.createDataFrame(s, "session_id long, stem long, speakers array<string>, asr double, audio double, text_quality double, consistency array<double>")

@@ -91,11 +91,24 @@ def test_candidate_reader_prefers_recogniser_words(spark, tmp_path):
 def test_sinks_write_what_they_show(spark, tmp_path):
     s = spark.createDataFrame([(1, 1, "x", 0, 1500, "hello"), (1, 2, "y", 1500, 2000, " "), (1, 3, "x", 2000, 3250, "again")], "session_id long, id long, speaker string, start long, end long, text string")
     sinks.write_captions(s, "srt", str(tmp_path / "srt"), 60_000)
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "srt")).collect())
+    text = "\n".join(r.line for r in spark.read.parquet(str(tmp_path / "srt")).orderBy("session_id", "part", "start", "id").collect())
     assert "00:00:02,000 --> 00:00:03,250" in text and "hello" in text
     sinks.write_rttm(s, str(tmp_path / "rttm"), 1000.0)
-    assert "SPEAKER 1 1 0.000 1.500 <NA> <NA> x <NA> <NA>" in [r.value for r in spark.read.text(str(tmp_path / "rttm")).collect()]
+    assert "SPEAKER 1 1 0.000 1.500 <NA> <NA> x <NA> <NA>" in [r.line for r in spark.read.parquet(str(tmp_path / "rttm")).collect()]
     sinks.write_reports({"r": s}, str(tmp_path / "rep"))
     assert spark.read.option("header", True).csv(str(tmp_path / "rep" / "r")).count() == 3
     base = spark.createDataFrame([("p", "t")], "project_id string, term string")
     assert spark.read.parquet(sinks.write_term_base(base, str(tmp_path / "tb"), 3)).collect()[0].term == "t"
+
+
+def test_caption_documents_have_heads(spark):
+    s = spark.createDataFrame([(1, 1, "x", 0, 1500, "hello"), (1, 2, "y", 1500, 2000, "you"), (2, 1, "x", 0, 10, " ")], "session_id long, id long, speaker string, start long, end long, text string")
+
+    def document(fmt, session):
+        return [r.line for r in sinks.caption_document(s, fmt, 60_000).where(F.col("session_id") == session).orderBy("part", "start", "id").collect()]
+
+    assert document("vtt", 1)[0] == "WEBVTT\n" and len(document("vtt", 1)) == 3 and document("vtt", 2) == ["WEBVTT\n"]
+    ass = "\n".join(document("ass", 1)).split("\n")
+    assert ass[0] == "[Script Info]" and ass.index("[V4+ Styles]") < ass.index("[Events]") < ass.index(next(x for x in ass if x.startswith("Dialogue:")))
+    assert [x.split(",")[0] + x.split(",")[3] for x in ass if x.startswith("Style:")] == ["Style: Speaker1&H6B6BFF", "Style: Speaker2&HC4CD4E"]
+    assert len(document("srt", 1)) == 2 and document("srt", 2) == []
