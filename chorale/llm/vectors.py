@@ -5,8 +5,8 @@ code of `BITS` bits. The code is cut into `TABLES` substrings; vectors with equa
 bucket the original vectors decide by cosine in double precision. A pair is counted in the first table that brings it together. Buckets hand on link
 counts and a spanning forest, no pairs; large buckets are cut into units.
 
-Null, zero or non-finite vectors and those with null components link with nothing; so do null labels. Vectors of different length never link. Equal vectors of one
-label are one point with a weight. Rows with null vec_id are returned, kept false if linked. Other columns are ignored.
+Null, zero or non-finite vectors and those with null components link with nothing; so do null labels. Vectors of different length never link; each length in the
+table is a pass with a rotation of its own. Equal vectors of one label are one point with a weight. Rows with null vec_id are returned, kept false if linked. Other columns are ignored.
 """
 from __future__ import annotations
 
@@ -110,7 +110,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, tables: int = TABL
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
     points = cut_lineage(rows.where("use").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("use").alias("use")).drop("use"))
     found = None
-    for length in [r[0] for r in points.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).limit(1024).collect()]:
+    for length in [r[0] for r in points.select(F.size("embedding")).distinct().collect()]:
         own = points.where(F.size("embedding") == length)
         n = own.count()
         chosen = own.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, 2 * SAMPLE / n) * (1 << 20)) + 1).select("embedding").limit(SAMPLE)
