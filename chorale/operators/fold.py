@@ -7,10 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """True on the first row and wherever a column differs from the row before; nulls are equal."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= (c[1:] != c[:-1]) & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
+    return new
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,
                 step: Callable, finish: Callable | None = None) -> DataFrame:
     """``step(state, rows) -> (state, rows out)`` over consecutive rows of one key, ``state`` is None at its start;
@@ -22,11 +32,11 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf[keys].apply(tuple, axis=1) if len(keys) > 1 else pdf[keys[0]]
-            starts = [0] + [i for i in range(1, len(pdf)) if ids.iat[i] != ids.iat[i - 1]] + [len(pdf)]
+            columns = [pdf[k].to_numpy() for k in keys]
+            starts = [*np.flatnonzero(changes(columns)).tolist(), len(pdf)]
             out = []
             for a, b in zip(starts, starts[1:]):
-                key = ids.iat[a]
+                key = tuple(None if pd.isna(c[a]) else c[a] for c in columns)
                 if key != current:
                     if current is not None and finish is not None:
                         out.append(finish(state))
