@@ -4,7 +4,7 @@ Cues are learned from labelled texts: words and word stems that stand in many di
 odds as weight. Contexts are pairs of neighbouring words, so copies of one text count once. A short list of plain insults and threats has weights of its
 own where labels say nothing of them. Five small transducers (insult, threat, target, negation, reported speech) read word classes, each
 keeping its own state; composed they are one table from (state, class) to (state, factor, bonus). A clause is scored by its matched
-path: an insult or threat counts more next to a target, less under negation or in reported speech. A document's score is a logistic function, fitted on the learning
+path, from border to border whatever its length: an insult or threat counts more next to a target, less under negation or in reported speech. A document's score is a logistic function, fitted on the learning
 rows, of its clause weights; clauses without a cue weigh nothing and are not read by the table.
 
 Whole texts are read; nothing else of a row counts. Null and empty texts get the score of no match. Without toxic learning rows the plain list alone decides.
@@ -33,7 +33,8 @@ NEGATIONS = ["not", "no", "never", "without", "isn't", "aren't", "wasn't", "don'
 REPORTS = ["said", "says", "say", "wrote", "writes", "quoted", "quote", "called", "claimed", "reported", "allegedly", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
 PLAIN = 1.0
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-BORDER = re.compile(r"[.!?;:\n\r]")
+BORDERS = ".!?;:\n\r"
+BORDER = re.compile(f"[{BORDERS}]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 
@@ -97,7 +98,8 @@ class Model:
 
     def clause(self, text: str) -> float:
         (state, arcs), total = GRAMMAR, 0.0
-        for word in WORD.findall(text):
+        for m in WORD.finditer(text):
+            word = m[0]
             weight = self.cue(word)
             kind = self.marks.get(word, OTHER) if weight is None else self.kinds.get(word, INSULT)
             state, factor = arcs[state, kind]
@@ -112,10 +114,10 @@ class Model:
             start = end - n + 1
             if start <= done or start and low[start - 1].isalpha():
                 continue
-            # the clause around the hit; white space bounds a clause that is not punctuated
-            a = next((m for m in range(start - 1, max(-1, start - 400), -1) if low[m] in ".!?;:\n\r"), max(-1, start - 400))
+            # the whole clause around the hit, read once however many hits it has: what is searched begins behind the clause read last
+            a = max(low.rfind(mark, done + 1, start) for mark in BORDERS)
             stop = BORDER.search(low, end + 1)
-            b = min(stop.start() if stop else len(low), end + 400)
+            b = stop.start() if stop else len(low)
             total += self.clause(low[max(a, done) + 1 : b])
             done = b
         return total

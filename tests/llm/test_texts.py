@@ -144,3 +144,13 @@ def test_grammar_reads_context():
     assert model.weigh("Der loweischaft.") == 1.0 and model.weigh("clownish trashy") == 0 and model.weigh("") == 0
     two = model.weigh("clown. moron.")
     assert abs(two - 2 * model.weigh("clown.")) < 1e-9 and model.weigh("clown moron") > two
+
+
+def test_grammar_reads_whole_long_clauses():
+    model = toxicity.Model({}, {})
+    gap = "word " * 300
+    assert model.weigh("it was said that " + gap + "clown") == pytest.approx(0.6)
+    assert model.weigh("clown " + gap + "kill " + gap + "moron") == pytest.approx(1 + 1.1 + 1.1 * 1.1)
+    for n in range(1, 12):  # no part of a word is read as a cue or a negation, wherever the hit stands
+        assert model.weigh("skill cannot " + "x" * (385 + n) + " clown") == pytest.approx(1.0)
+        assert model.weigh("clown " + "x" * (385 + n) + " moron") == pytest.approx(2.1)
