@@ -13,12 +13,12 @@ doc_id: the row is returned with its fingerprint and the component of it. Other
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.buckets import forest, units
@@ -51,15 +51,17 @@ def fingerprint(body: bytes) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; then `keys`, longs, as key0, key1 and so on."""
+    names = [f"key{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body")).mapInArrow(run, "doc_id bigint, fp bigint")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    return read.mapInArrow(run, ", ".join(f"{n} bigint" for n in ("doc_id", "fp", *names)))
 
 
 def anchors_of(half: np.ndarray) -> np.ndarray:
@@ -136,26 +138,46 @@ def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
-    prints = cut_lineage(fingerprints(docs))
-    points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+def rooted(points: DataFrame) -> DataFrame:
+    """`points` (one row of each fingerprint fp) with root, the smallest fingerprint reachable over links."""
     dealt = units(covered(points), ["half", "anchor"], "fp").where("u is not null")
     keys = ["half", "anchor", "u", "v"]
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link_units, "a bigint, b bigint")
     roots = components(links)
-    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return points.join(roots, points["fp"] == roots["node"], "left").select(*points.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def cluster(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
+    prints = cut_lineage(fingerprints(docs))
+    placed = rooted(cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"))))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id (of equal ids, one row)."""
-    lead = cut_lineage(cluster(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+def text_keys(body: Column) -> list[Column]:
+    """128 bits that name a text; null differs from empty."""
+    return [F.xxhash64(body), F.xxhash64(F.lit(1), body)]
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of every component: the one with the smallest id, null ids last; of unlike texts with that id in the component the one with the
+    smallest text key; of rows equal in id and text any one. An id that leads two components is kept for both."""
+    prints = fingerprints(docs, text_keys(F.col("text").cast("binary"))).groupBy("fp", "doc_id", "key0", "key1").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key0", "key1", "rows"))
+    placed = rooted(cut_lineage(prints.groupBy("fp").agg(first.alias("low"))))
+    lead = cut_lineage(placed.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.key0", "low.key1", "low.rows"))
 
-    def of(ids: DataFrame) -> DataFrame:
+    def of(some: DataFrame) -> DataFrame:
         # the ids are the side to hash; sorting would drag the texts along
-        return docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+        body = docs["text"].cast("binary")
+        same = docs["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (text_keys(body)[0] == some["key0"]) & (text_keys(body)[1] == some["key1"])
+        return docs.join(some.hint("shuffle_hash"), same, "left_semi")
 
-    return of(lead.where("rows = 1")).union(of(lead.where("rows > 1")).dropDuplicates(["doc_id"]))
+    return of(lead.where("rows = 1")).union(of(lead.where("rows > 1")).dropDuplicates(["doc_id", "text"]))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """`keep_one` for callers that need ids to be keys: rows without an id are left out, of equal ids one row stays. The pipeline does not use it."""
+    return keep_one(docs).where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -145,6 +145,16 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted({x for x in low.values() if x is not None})
 
 
+def test_pipeline_stage_keeps_one_row_of_every_component(spark):
+    from corpus_pipeline import simhash_stage
+
+    one, two, three, four, five = ("lone %s here " % w * 3 + words(40) for w in ("first", "second", "third", "fourth", "fifth"))
+    rows = [(None, one), (None, one), (None, two), (4, two), (7, three), (7, four), (9, four), (7, four), (2, five), (7, five), (None, five)]
+    got = sorted(((r.doc_id, r.text) for r in simhash_stage(spark, frame(spark, rows), "").collect()), key=str)
+    assert got == sorted([(None, one), (4, two), (7, three), (7, four), (2, five)], key=str)
+    assert simhash_stage(spark, frame(spark, []), "").collect() == []
+
+
 def test_anchors_cover_every_pair():
     gen = np.random.default_rng(1)
     half = gen.integers(0, 1 << 32, 400).astype(np.uint64)
