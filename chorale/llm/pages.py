@@ -1,17 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one per block element). Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments carry no weight. Over the weights runs a sliding window of `WINDOW` lines: where its sum rises from zero the text surges,
-where it falls back to zero it dives; the lines that carry weight between the two points are kept. If the page marks an article, only lines within it weigh.
+Markup is stripped to lines (one per block element). A line weighs its characters less those in links. Over the weights runs a sliding window of
+`WINDOW` lines; text surges where a window's sum reaches a threshold and dives where none does. The threshold is `SHARE` of the page's own
+level, the window sum at which half of the page's text lies, but at most `DENSE` characters. So link menus, cookie bars, adverts and the like go
+by their density, whatever their class.
+
+Tags and classes are weights: a line in a class or id of `MARKED` (less of one that also names real content, `NAMES`), or outside the marked article of a page that has one, weighs a fraction and must
+be dense among lines of its own kind; navigation, forms, headers, footers, dialogs and hidden elements weigh nothing; in a marked article
+any text outside links is enough. At the ends of a region lines of another container go, if that part is not dense by itself and
+is neither a heading nor inside the container of a dense part (a notice beside the text); between dense parts of one container all text
+stays. Boilerplate as long and as free of links as the text is beyond this method, if no tag or class tells it.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one newline. Null or empty html, or a
-page without text: empty text. Truncated markup is read to its end. Rows are independent, so repeated rows give equal results.
+page without text outside links: empty text. Truncated markup is read to its end. Rows are independent, so repeated rows give equal results.
 """
 from __future__ import annotations
 
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +27,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+SHARE, DENSE = 0.25, 200
+#: Weight of lines in a marked class, of those whose class also names real content, and of lines outside the article; least window sum of all these.
+MARK, DOUBTFUL, OUTSIDE, FLOOR = 1 / 32, 1 / 8, 1 / 4, 25
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>", re.S | re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form head title button dialog menu label".split())
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|respond|replies|reply|disqus|pagination|pager|tags|toolbar|widget|disclaimer|copyright|legal|skip)(?:$|[\s_\d-])", re.I)
+MARKED = re.compile(r"(?:^|[\s_-])(ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|respond|replies|reply|disqus|pagination|pager|tags|toolbar|widget|disclaimer|copyright|legal|skip)(?:$|[\s_\d-])", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+NAMES = frozenset("tags legal related recommended notice notices alert header banner overlay modal widget disclaimer copyright promotion share sharing social".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of the block around them, not containers of their own.
+PARTS = frozenset("li dd dt tr td th tbody thead tfoot".split())
 SPACE = re.compile(r"\s+")
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+class Place(NamedTuple):
+    """What holds inside an open element."""
+    block: str = ""  # innermost block
+    around: int = 0  # nearest container around that block
+    home: int = 0  # that block, or the container that it is part of
+    marked: int = 0
+    weight: float = 1.0
+
+
+class Line(NamedTuple):
+    text: str
+    own: int  # characters outside links
+    nothing: bool  # in an element that weighs nothing
+    marked: int  # number of the outermost marked element around it, 0 for none
+    weight: float  # the least weight of the elements around it
+    article: bool
+    heading: bool
+    around: int  # the nearest container around its block, 0 for none
+
+
+def weight_of(tag: str, attributes: str, in_article: bool) -> float:
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
+        return 0.0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 1.0
+    weight = 1.0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and MARKED.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
+            return 0.0
+        if name in ("class", "id") and MARKED.search(value):
+            weight = min(weight, DOUBTFUL if all(m.lower() in NAMES for m in MARKED.findall(value)) else MARK)
+    return weight
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Text of each line, whether it is set aside, whether it lies in an article."""
-    lines, aside, article = [], [], []
-    held: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, sets aside, is an article
-    off = inside = 0
+def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
+    """The lines, and the next container around each container."""
+    lines: list[Line] = []
+    held: list[tuple[str, bool]] = []
+    open_tags: list[tuple[str, float, bool, Place]] = []  # tag, weight, is an article, what holds inside
+    above: dict[int, int] = {}
+    nothing = inside = links = number = 0
 
     def end_line() -> None:
         if held:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            text = SPACE.sub(" ", entities.unescape("".join(t for t, _ in held))).strip()
+            linked = SPACE.sub(" ", entities.unescape("".join(t for t, linked in held if linked))).strip()
             held.clear()
             if text:
-                lines.append(text)
-                aside.append(off > 0)
-                article.append(inside > 0)
+                at = open_tags[-1][3] if open_tags else Place()
+                lines.append(Line(text, max(0, len(text) - len(linked)), nothing > 0, at.marked, at.weight, inside > 0, at.block in HEADING, at.around))
+
+    def close() -> str:
+        nonlocal nothing, inside, links
+        t, w, i, _ = open_tags.pop()
+        nothing -= w == 0
+        inside -= i
+        links -= t == "a"
+        return t
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            held.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = m[3]
         if not tag:
@@ -71,49 +117,120 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
         if tag in BLOCK or tag in ASIDE:
             end_line()
         elif tag == "br":
-            held.append(" ")
+            held.append((" ", False))
         if m[2]:
-            if any(t == tag for t, _, _ in open_tags):
-                while True:
-                    t, o, i = open_tags.pop()
-                    off -= o
-                    inside -= i
-                    if t == tag:
-                        break
+            if any(t == tag for t, *_ in open_tags):
+                while close() != tag:
+                    pass
         elif tag not in VOID and not (m[4] or "").endswith("/"):
             if tag == "p":  # an open paragraph ends where the next begins
-                while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "u", "span") and any(t == "p" for t, _, _ in open_tags) and not open_tags[-1][1]:
-                    if open_tags.pop()[0] == "p":
+                while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "u", "span") and any(t == "p" for t, *_ in open_tags) and open_tags[-1][1] == 1:
+                    if close() == "p":
                         break
-            o, i = unwanted(tag, m[4], inside > 0), tag in ("article", "main")
-            open_tags.append((tag, o, i))
-            off += o
+            number += 1
+            w, i = weight_of(tag, m[4], inside > 0), tag in ("article", "main")
+            at_tag = open_tags[-1][3] if open_tags else Place()
+            if tag in BLOCK and tag not in ("html", "body"):
+                home = at_tag.home if tag in PARTS else number
+                above[number] = at_tag.home
+                at_tag = at_tag._replace(block=tag, around=at_tag.home, home=home)
+            if w < 1:
+                at_tag = at_tag._replace(marked=at_tag.marked or (number if w else 0), weight=min(w, at_tag.weight))
+            open_tags.append((tag, w, i, at_tag))
+            nothing += w == 0
             inside += i
+            links += tag == "a"
     rest = page[at:]
     if rest:
-        held.append(rest)
+        held.append((rest, links > 0))
     end_line()
-    return lines, aside, article
+    return lines, above
+
+
+def window_sums(weight: np.ndarray) -> np.ndarray:
+    """The largest sum of a window around each line."""
+    ends = np.cumsum(np.concatenate((np.zeros(WINDOW), weight, np.zeros(WINDOW - 1))))
+    total = ends[WINDOW:] - ends[:-WINDOW] if len(weight) else np.zeros(0)  # of the lines i - WINDOW + 1 .. i
+    return np.lib.stride_tricks.sliding_window_view(total, WINDOW).max(axis=1) if len(weight) else total
+
+
+def level_of(weight: np.ndarray, sums: np.ndarray) -> float:
+    """The window sum at which half of the text lies."""
+    order = np.argsort(sums, kind="stable")
+    reached = np.cumsum(weight[order])
+    return float(sums[order[np.searchsorted(reached, reached[-1] / 2)]]) if len(sums) else 0.0
+
+
+def dense(lines: list[Line], above: dict[int, int], sums: np.ndarray, least: float) -> list[bool]:
+    """Which of the lines of one kind lie in a region between surge and dive, its ends cut at containers."""
+    surged = sums >= least
+    kept = [False] * len(lines)
+    n = len(lines)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], surged.astype(np.int8), [0]))))
+    cores: set[int] = set()
+
+    def within(places: set[int], home: int) -> int:
+        """The nearest of the containers `places` at or around `home`, 0 for none."""
+        while home and home not in places:
+            home = above.get(home, 0)
+        return home
+
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        while a < b and 2 * lines[a].own < len(lines[a].text):  # a region neither begins nor ends with links
+            a += 1
+        while b > a and 2 * lines[b - 1].own < len(lines[b - 1].text):
+            b -= 1
+        cuts = [a, *(i for i in range(a + 1, b) if lines[i].around != lines[i - 1].around), b]
+        parts = [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if lo < hi]
+        own = [window_sums(np.array([x.own for x in lines[lo:hi]], float)).max() >= least for lo, hi in parts]
+        if not any(own):  # only together are they dense
+            own = [True] * len(parts)
+        homes = {lines[lo].around for (lo, _), o in zip(parts, own, strict=True) if o and lines[lo].around}
+        first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
+        while first and (within(homes, lines[parts[first - 1][0]].around) or all(x.heading for x in lines[slice(*parts[first - 1])])):
+            first -= 1
+        while last + 1 < len(parts) and within(homes, lines[parts[last + 1][0]].around):
+            last += 1
+        for i in range(parts[first][0], parts[last][1]) if parts else ():
+            kept[i] = True
+        cores |= homes
+    known: dict[int, int] = {}
+    owner = [known[x.around] if x.around in known else known.setdefault(x.around, within(cores, x.around)) for x in lines]
+    ends: dict[int, list[int]] = {}
+    for i in range(n):
+        if kept[i]:
+            ends.setdefault(owner[i], [i, i])[1] = i
+    for i in range(n):  # between dense parts of one container all text stays
+        if owner[i] in ends and owner[i] and ends[owner[i]][0] < i < ends[owner[i]][1] and 2 * lines[i].own >= len(lines[i].text):
+            kept[i] = True
+    return kept
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, aside, article = lines_of(page)
-    if not lines:
-        return ""
-    weigh = ~np.array(aside, bool)
-    if any(a and not s for a, s in zip(article, aside, strict=True)):
-        weigh &= np.array(article, bool)
-    weight = np.array([len(x) for x in lines], np.int64) * weigh
-    padded = np.concatenate((np.zeros(WINDOW, np.int64), np.cumsum(np.concatenate((weight, np.zeros(WINDOW, np.int64))))))
-    total = padded[WINDOW:] - padded[:-WINDOW]  # of the lines i - WINDOW + 1 .. i
-    surge = np.flatnonzero((total > 0) & (np.concatenate(([0], total[:-1])) == 0))
-    dive = np.flatnonzero((total == 0) & (np.concatenate(([0], total[:-1])) > 0))
-    keep = []
-    for a, b in zip(surge.tolist(), dive.tolist(), strict=True):
-        keep += [i for i in range(a, min(b, len(lines))) if weight[i]]
-    return "\n".join(lines[i] for i in keep)
+    lines, above = lines_of(page)
+    lines = [x for x in lines if not x.nothing]
+    has_article = any(x.article and not x.marked for x in lines)
+    kinds: dict[tuple[int, float, bool], list[int]] = {}  # lines of one kind: unmarked in and out of the article, and each marked element
+    for i, x in enumerate(lines):
+        kinds.setdefault((x.marked, x.weight, has_article and not x.article), []).append(i)
+    share = {kind: kind[1] * (OUTSIDE if kind[2] else 1) for kind in kinds}
+    weights = {kind: np.array([lines[i].own for i in at], float) * share[kind] for kind, at in kinds.items()}
+    sums = {kind: window_sums(w) for kind, w in weights.items()}
+    leading = [k for k in kinds if share[k] == 1] or list(kinds)
+    level = level_of(np.concatenate([weights[k] for k in leading]), np.concatenate([sums[k] for k in leading])) if kinds else 0.0
+    least, keep = max(1e-9, min(SHARE * level, DENSE)), []
+    for kind, at in kinds.items():
+        some = [lines[i] for i in at]
+        if share[kind] == 1 and has_article:
+            good = (sums[kind] > 0).tolist()
+        elif share[kind] == 1:
+            good = dense(some, above, sums[kind], least)
+        else:
+            good = dense(some, above, sums[kind] / share[kind], max(least, FLOOR) / share[kind])
+        keep += [i for i, g in zip(at, good, strict=True) if g]
+    return "\n".join(lines[i].text for i in sorted(keep))
 
 
 def extract(pages: DataFrame) -> DataFrame:

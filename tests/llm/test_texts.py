@@ -77,6 +77,22 @@ def test_pages(spark):
     assert pages.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_density_decides_where_no_class_tells():
+    menu = "".join(f"<div><a href='/{i}'>Topic number {i}</a></div>" for i in range(8))
+    texts = [f"Paragraph {i} " + "of the real text goes on and on, " * 6 + "end." for i in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    cookies = "<div class='x7f'><p>This site stores small files on your device.</p><p>Fine</p></div>"
+    remarks = "<div class='k2'>" + "".join(f"<div><b>Reader {i}</b></div><div>Nice one!</div>" for i in range(4)) + "</div>"
+    want = "\n".join(["Head line", *texts])
+    page = f"<body><div class='q1'>{menu}</div>{cookies}<div class='z9'><h1>Head line</h1>{body}</div><div>{menu}</div>{remarks}"
+    assert pages.main_text(page) == want
+    table = f"<table><tr><td>{menu}</td><td><div><h1>Head line</h1>{body}</div></td><td><ul><li><a href=/a>More</a><li><a href=/b>Less</a></ul></td></tr></table>"
+    assert pages.main_text(table) == want
+    for name in ("tags", "legal", "related", "notice"):  # real content under a name that often marks boilerplate
+        assert pages.main_text(f"<body><div>{menu}</div><div class='{name}'><h1>Head line</h1>{body}</div>") == want
+    assert pages.main_text(f"<body><div class='z9'><h1>Head line</h1>{body}</div><div class='comments'>" + f"<p>{texts[0]}</p>" * 5 + "</div>") == want
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e5])
 def test_topk(spark, scale, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 100)
