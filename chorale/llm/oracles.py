@@ -48,4 +48,40 @@ m AS (SELECT n, min(r) AS r FROM c GROUP BY n), k AS (SELECT a, count(*) AS n_li
 SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, m.r AS component_id, e.vec_id = m.r AS kept FROM embeddings e JOIN m ON m.n = e.vec_id LEFT JOIN k ON k.a = e.vec_id
 """
 
-SQL = {"op1_substring_dedup": SUBSTRINGS, "op10_suffix_dedup": SUFFIXES, "op4_exact_topk": TOP, "op8_embedding_dedup": VECTORS}
+PREFIXES = """
+WITH t AS (SELECT conv_id AS c, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, length(coalesce(text, '')) AS n, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS r FROM t),
+h AS (SELECT DISTINCT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM t),
+b AS (SELECT h.c, k, n, r FROM h JOIN o ON o.c = h.c - h.c % 100 AND r <= h UNION ALL SELECT h.c, k, n, r FROM h JOIN o ON o.c = h.c AND r > h),
+g AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY r) AS d FROM b),
+p AS MATERIALIZED (SELECT c, d, n, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS key FROM g UNION ALL SELECT c, 0, 0, '' FROM h),
+v AS MATERIALIZED (SELECT d, key, min(c) AS c, count(*) AS m, any_value(n) AS n FROM p GROUP BY d, key),
+u AS (SELECT left(key, 32 * (d - 1)) AS key, count(*) AS children FROM v WHERE d > 0 GROUP BY 1),
+w AS MATERIALIZED (SELECT v.*, coalesce(children, 0) AS children FROM v LEFT JOIN u USING (key)),
+s AS (SELECT key, sum(saved) AS saved, sum(leaf) AS leaves FROM (SELECT left(key, CAST(32 * unnest(range(0, d + 1)) AS INTEGER)) AS key, (m - 1) * n AS saved, CAST(children = 0 AS INTEGER) AS leaf FROM w) GROUP BY key),
+e AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(key, d) AS key FROM p GROUP BY c) GROUP BY key)
+SELECT w.c AS conv_id, CAST(w.d AS BIGINT) AS depth, CASE WHEN w.d > 0 THEN x.c END AS parent_conv_id, CAST(w.m AS BIGINT) AS n_convs, CAST(w.children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM w JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN v x ON w.d > 0 AND x.key = left(w.key, 32 * (w.d - 1))
+"""
+
+AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+m AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > low, false)] AS fails,
+ coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+f AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM c GROUP BY part, fails),
+o(filter_order) AS (SELECT '' UNION ALL SELECT concat(filter_order, x) FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, strpos('ABCDE', filter_order[step]) AS own, list_transform(range(1, step), lambda i: strpos('ABCDE', filter_order[i])) AS earlier FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+e AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS hit, coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false) AS gone,
+ list_sum(list_transform(fails, lambda x: CAST(x AS INTEGER))) AS failed FROM f, s),
+a AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (NOT gone AND hit) AS removed, sum(n) FILTER (gone AND hit) AS redundant, sum(n) FILTER (hit AND failed = 1) AS unique_fails,
+ sum(good) FILTER (NOT gone AND hit) AS good_lost, sum(toxic) FILTER (NOT gone AND hit) AS toxic_lost FROM e GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+ CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM a
+"""
+
+SQL = {"op11_prefix_trie": PREFIXES, "op13_filter_audit": AUDIT, "op1_substring_dedup": SUBSTRINGS, "op10_suffix_dedup": SUFFIXES, "op4_exact_topk": TOP, "op8_embedding_dedup": VECTORS}

@@ -103,4 +103,25 @@ def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return dedup_suffixes(table(spark, root, "documents", "doc_id", "text"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    from chorale.llm.prefixes import trie
+
+    return trie(table(spark, root, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op12_document_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    from chorale.llm.fingerprints import compare
+
+    return compare(table(spark, root, "documents", "doc_id", "text"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, root: str) -> DataFrame:
+    from chorale.llm.audit import audit
+
+    return audit(table(spark, root, "documents", "doc_id", "text", "source"), table(spark, root, "labels", "doc_id", "quality", "toxic"))
+
+
 LLM_ORACLES = oracles.SQL
