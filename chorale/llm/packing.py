@@ -115,7 +115,7 @@ def encoder_of(path: str) -> IdTable:
     def encode(known: IdTable, p: str) -> bytes:
         if p.isalpha() and max(p) < "\u0250" and (low := p.lower()).isalpha():  # one word of composed Latin letters: straight to the model
             return packed([t.id for t in model.tokenize(low if p.isascii() else low.encode().decode("latin-1").translate(letters))])
-        if (cut := TAIL.fullmatch(p)) and "<|" not in p:
+        if (cut := TAIL.fullmatch(p)) and "<|" not in p and cut[1].lower().isalpha():  # a letter that becomes letter and mark holds on to a sign
             return known[cut[1]] + known[cut[2]]
         return packed(made.encode(p, add_special_tokens=False).ids)
 
