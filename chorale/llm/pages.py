@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,7 +32,7 @@ WINDOW = 3
 SHARE, DENSE = 0.25, 200
 #: Weight of lines in a marked class, of those whose class also names real content, and of lines outside the article; least window sum of all these.
 MARK, DOUBTFUL, OUTSIDE, FLOOR = 1 / 32, 1 / 8, 1 / 4, 25
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form head title button dialog menu label".split())
@@ -85,6 +87,7 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
     lines: list[Line] = []
     held: list[tuple[str, bool]] = []
     open_tags: list[tuple[str, float, bool, Place]] = []  # tag, weight, is an article, what holds inside
+    opened: Counter[str] = Counter()  # of the open tags
     above: dict[int, int] = {}
     nothing = inside = links = number = 0
 
@@ -100,6 +103,7 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
     def close() -> str:
         nonlocal nothing, inside, links
         t, w, i, _ = open_tags.pop()
+        opened[t] -= 1
         nothing -= w == 0
         inside -= i
         links -= t == "a"
@@ -119,12 +123,12 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
         elif tag == "br":
             held.append((" ", False))
         if m[2]:
-            if any(t == tag for t, *_ in open_tags):
+            if opened[tag]:
                 while close() != tag:
                     pass
         elif tag not in VOID and not (m[4] or "").endswith("/"):
             if tag == "p":  # an open paragraph ends where the next begins
-                while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "u", "span") and any(t == "p" for t, *_ in open_tags) and open_tags[-1][1] == 1:
+                while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "u", "span") and opened["p"] and open_tags[-1][1] == 1:
                     if close() == "p":
                         break
             number += 1
@@ -133,10 +137,11 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
             if tag in BLOCK and tag not in ("html", "body"):
                 home = at_tag.home if tag in PARTS else number
                 above[number] = at_tag.home
-                at_tag = at_tag._replace(block=tag, around=at_tag.home, home=home)
+                at_tag = Place(tag, at_tag.home, home, at_tag.marked, at_tag.weight)
             if w < 1:
                 at_tag = at_tag._replace(marked=at_tag.marked or (number if w else 0), weight=min(w, at_tag.weight))
             open_tags.append((tag, w, i, at_tag))
+            opened[tag] += 1
             nothing += w == 0
             inside += i
             links += tag == "a"
@@ -161,7 +166,26 @@ def level_of(weight: np.ndarray, sums: np.ndarray) -> float:
     return float(sums[order[np.searchsorted(reached, reached[-1] / 2)]]) if len(sums) else 0.0
 
 
-def dense(lines: list[Line], above: dict[int, int], sums: np.ndarray, least: float) -> list[bool]:
+def reach_of(above: dict[int, int]) -> dict[int, int]:
+    """The last container inside each; containers are numbered as they open, so those inside one have the numbers from its own to that."""
+    last: dict[int, int] = {}
+    for x in sorted(above, reverse=True):
+        last[above[x]] = max(last.get(above[x], above[x]), last.setdefault(x, x))
+    return last
+
+
+def spans_of(places: set[int], last: dict[int, int]) -> tuple[list[int], list[int]]:
+    """First and last numbers of the containers in any of `places`, as ranges apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for p in sorted(places):
+        if not ends or p > ends[-1]:
+            starts.append(p)
+            ends.append(last.get(p, p))
+    return starts, ends
+
+
+def dense(lines: list[Line], above: dict[int, int], last_in: dict[int, int], sums: np.ndarray, least: float) -> list[bool]:
     """Which of the lines of one kind lie in a region between surge and dive, its ends cut at containers."""
     surged = sums >= least
     kept = [False] * len(lines)
@@ -169,11 +193,9 @@ def dense(lines: list[Line], above: dict[int, int], sums: np.ndarray, least: flo
     edges = np.flatnonzero(np.diff(np.concatenate(([0], surged.astype(np.int8), [0]))))
     cores: set[int] = set()
 
-    def within(places: set[int], home: int) -> int:
-        """The nearest of the containers `places` at or around `home`, 0 for none."""
-        while home and home not in places:
-            home = above.get(home, 0)
-        return home
+    def within(spans: tuple[list[int], list[int]], home: int) -> bool:
+        i = bisect_right(spans[0], home) - 1
+        return i >= 0 and home <= spans[1][i]
 
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         while a < b and 2 * lines[a].own < len(lines[a].text):  # a region neither begins nor ends with links
@@ -186,16 +208,19 @@ def dense(lines: list[Line], above: dict[int, int], sums: np.ndarray, least: flo
         if not any(own):  # only together are they dense
             own = [True] * len(parts)
         homes = {lines[lo].around for (lo, _), o in zip(parts, own, strict=True) if o and lines[lo].around}
+        inside = spans_of(homes, last_in)
         first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
-        while first and (within(homes, lines[parts[first - 1][0]].around) or all(x.heading for x in lines[slice(*parts[first - 1])])):
+        while first and (within(inside, lines[parts[first - 1][0]].around) or all(x.heading for x in lines[slice(*parts[first - 1])])):
             first -= 1
-        while last + 1 < len(parts) and within(homes, lines[parts[last + 1][0]].around):
+        while last + 1 < len(parts) and within(inside, lines[parts[last + 1][0]].around):
             last += 1
         for i in range(parts[first][0], parts[last][1]) if parts else ():
             kept[i] = True
         cores |= homes
-    known: dict[int, int] = {}
-    owner = [known[x.around] if x.around in known else known.setdefault(x.around, within(cores, x.around)) for x in lines]
+    nearest: dict[int, int] = {}  # of the containers with a core at or around them, that core
+    for x in above if cores else ():  # outer ones come first
+        nearest[x] = x if x in cores else nearest.get(above[x], 0)
+    owner = [nearest.get(x.around, 0) for x in lines]
     ends: dict[int, list[int]] = {}
     for i in range(n):
         if kept[i]:
@@ -215,6 +240,7 @@ def main_text(page: str | None) -> str:
     kinds: dict[tuple[int, float, bool], list[int]] = {}  # lines of one kind: unmarked in and out of the article, and each marked element
     for i, x in enumerate(lines):
         kinds.setdefault((x.marked, x.weight, has_article and not x.article), []).append(i)
+    last_in = reach_of(above)
     share = {kind: kind[1] * (OUTSIDE if kind[2] else 1) for kind in kinds}
     weights = {kind: np.array([lines[i].own for i in at], float) * share[kind] for kind, at in kinds.items()}
     sums = {kind: window_sums(w) for kind, w in weights.items()}
@@ -226,9 +252,9 @@ def main_text(page: str | None) -> str:
         if share[kind] == 1 and has_article:
             good = (sums[kind] > 0).tolist()
         elif share[kind] == 1:
-            good = dense(some, above, sums[kind], least)
+            good = dense(some, above, last_in, sums[kind], least)
         else:
-            good = dense(some, above, sums[kind] / share[kind], max(least, FLOOR) / share[kind])
+            good = dense(some, above, last_in, sums[kind] / share[kind], max(least, FLOOR) / share[kind])
         keep += [i for i, g in zip(at, good, strict=True) if g]
     return "\n".join(lines[i].text for i in sorted(keep))
 

@@ -1,6 +1,7 @@
 """Packing, page extraction, top-k, tokenization and the classifiers."""
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,20 @@ def test_packing_round_trip(spark):
     assert len(sequences) <= 1.05 * -(-sum(map(len, ids)) // 4096) + 1
 
 
+def test_packing_ids_of_any_string():
+    """The shortcuts of the encoder give the ids of the library."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    made, known = Tokenizer.from_file(path), packing.encoder_of(path)
+    r = random.Random(21)
+    letters = "aAbBzZéÉßẞİıIŞşĞğÇöÖΑΣςσдДﬁǅ\u0307\u0301ªº½²Ⅷ日本_'-.,;:!?()[]{}<|>@#$%^&*~`\"/\\+=0123 \t\n\x1c\x85\xa0"
+    texts = ["İ.", "TARİHİ.", "ŞEHRİ,", "İİ!!", "aİ?b", "<|x|>.", *("".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(20_000))]
+    got = known.ids([packing.pieces_in(t) for t in texts])
+    wrong = [t for t, ids in zip(texts, got) if np.frombuffer(ids, "<u4").tolist() != made.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_packing_empty(spark):
     assert packing.pack(frame(spark, []), vocabulary("word_bpe_49k.json")).collect() == []
 
@@ -77,6 +92,59 @@ def test_pages(spark):
     assert pages.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def chain_sums(weight):
+    """The largest sum of three consecutive lines that hold a line, by hand."""
+    n = len(weight)
+    return [max(sum(weight[k] for k in range(j, j + pages.WINDOW) if 0 <= k < n) for j in range(i - pages.WINDOW + 1, i + 1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_window_rule_by_hand(seed):
+    """On plain paragraphs a line stays iff a window around it reaches the threshold; links at the ends go, links between text stay or go with their window."""
+    r = random.Random(seed)
+    sizes = [r.choice([0, 3, 20, 90, 200, 400]) for _ in range(r.randint(1, 25))]
+    page = "<body><main2>" + "".join(f"<p>{'x' * n}</p>" if n else "<p><a href=u>link</a></p>" for n in sizes)
+    lines = [("x" * n, n) if n else ("link", 0) for n in sizes]
+    weight = [n for _, n in lines]
+    sums = chain_sums(weight)
+    order = sorted(range(len(lines)), key=lambda i: sums[i])
+    total, level = 0, 0
+    for i in order:
+        total += weight[i]
+        if 2 * total >= sum(weight):
+            level = sums[i]
+            break
+    least = max(1e-9, min(pages.SHARE * level, pages.DENSE))
+    kept = [False] * len(lines)
+    i = 0
+    while i < len(lines):
+        if sums[i] < least:
+            i += 1
+            continue
+        j = i
+        while j < len(lines) and sums[j] >= least:
+            j += 1
+        a, b = i, j
+        while a < b and 2 * weight[a] < len(lines[a][0]):
+            a += 1
+        while b > a and 2 * weight[b - 1] < len(lines[b - 1][0]):
+            b -= 1
+        kept[a:b] = [True] * (b - a)
+        i = j
+    assert pages.main_text(page) == "\n".join(t for (t, _), k in zip(lines, kept) if k)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 90_000 + "</span>" * 80_000, "<div>" * 8_000 + "</span>" * 8_000 + "text", "".join(f"<div>line {i} of some text here" for i in range(20_000)), "<a '" * 250_001, "<!" * 400_000, "<p><b>" * 100_000, "&" * 900_000, "<script " * 90_000],
+    ids=["stray", "stray then text", "nested lines", "quotes", "marks", "open parts", "references", "scripts"],
+)
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    pages.main_text(page)
+    assert time.process_time() - began < 8e-6 * len(page) + 1
+
+
 def test_density_decides_where_no_class_tells():
     menu = "".join(f"<div><a href='/{i}'>Topic number {i}</a></div>" for i in range(8))
     texts = [f"Paragraph {i} " + "of the real text goes on and on, " * 6 + "end." for i in range(5)]
