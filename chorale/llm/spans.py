@@ -247,18 +247,6 @@ def repeated_spans(docs: DataFrame, cut: Callable, settle: Callable[[pa.Table],
     return shipped.groupBy("kind", "part").applyInArrow(both, "part bigint, packed binary")
 
 
-def span_rows(marks: DataFrame) -> DataFrame:
-    """Packed marks as rows (doc_id, text_key, start, end)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column("packed").to_pylist():
-                doc, key, start, end = unpack_marks(value)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=MARKS)
-
-    return marks.mapInArrow(run, "doc_id bigint, text_key bigint, start int, end int")
-
-
 def with_key(docs: DataFrame) -> DataFrame:
     """doc_id, body (bytes), text_key. Rows are told apart by id and text, so that ids may repeat."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("body"), text_key().alias("text_key"))
@@ -306,6 +294,18 @@ def documents_in(value: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         at += size
 
 
+def spans_by_row(values: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the marks of each (doc_id, text_key)."""
+    columns = [unpack_marks(value) for value in values]
+    if not columns:
+        return {}
+    doc, key, start, end = (np.concatenate(c) for c in zip(*columns, strict=True))
+    by = np.lexsort((key, doc))
+    doc, key, start, end = doc[by], key[by], start[by], end[by]
+    cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(doc)] if len(doc) else [0]
+    return {(int(doc[lo]), int(key[lo])): (start[lo:hi], end[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
 def without_spans(docs: DataFrame, marks: DataFrame, strip: Callable, schema: str, parts: int) -> DataFrame:
     """Bring each document together with its spans and apply `strip(body, starts, ends)`, which returns the output columns after doc_id.
 
@@ -318,12 +318,7 @@ def without_spans(docs: DataFrame, marks: DataFrame, strip: Callable, schema: st
     dealt = docs.mapInArrow(deal_documents(parts), "part bigint, packed binary")
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [unpack_marks(value) for value in right.column("packed").to_pylist()]
-        doc, key, start, end = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else [np.zeros(0, np.int64)] * 4
-        by = np.lexsort((key, doc))
-        doc, key, start, end = doc[by], key[by], start[by], end[by]
-        cuts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(doc)] if len(doc) else [0]
-        found = {(int(doc[lo]), int(key[lo])): (start[lo:hi], end[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)}
+        found = spans_by_row(right.column("packed").to_pylist())
         rows = [(d, *strip(body, *found.get((d, k), (None, None)))) for value in left.column("packed").to_pylist() for d, k, body in documents_in(value)]
         columns = zip(*rows, strict=True) if rows else [()] * len(arrow_schema)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
@@ -331,6 +326,66 @@ def without_spans(docs: DataFrame, marks: DataFrame, strip: Callable, schema: st
     return dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(settle, schema)
 
 
+def deal_rows(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows (row, doc_id, text_key, size), packed by the part that their spans go to."""
+
+    def flush(held: dict[int, list[pa.RecordBatch]]) -> pa.RecordBatch:
+        squeeze, values = zstandard.ZstdCompressor(level=LEVEL), []
+        for batches in held.values():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batches[0].schema) as out:
+                out.write_table(pa.Table.from_batches(batches).combine_chunks())
+            values.append(squeeze.compress(sink.getvalue()))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(values, pa.binary())], schema=DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+        for batch in batches:
+            part = part_of(batch.column("doc_id").fill_null(0).to_numpy(), batch.column("text_key").to_numpy(), parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() + [len(order)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                held.setdefault(int(part[order[lo]]), []).append(batch.select([0, 1, 2]).take(pa.array(order[lo:hi])))
+            size += pc.sum(batch.column("size")).as_py() or 0
+            if size >= 2 * FLUSH_BYTES:
+                yield flush(held)
+                held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def rows_without_spans(docs: DataFrame, marks: DataFrame, strip: Callable[[bytes, np.ndarray, np.ndarray], str], parts: int) -> DataFrame:
+    """The rows of `docs` with `strip(body, starts, ends)` as the text of those that have spans, and n_chars, if there is one, after it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(docs.schema).empty_table()
+    dealt = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.octet_length(raw()).alias("size")).mapInArrow(deal_rows(parts), "part bigint, packed binary")
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = spans_by_row(right.column("packed").to_pylist())
+        tables = []
+        for value in left.column("packed").to_pylist():
+            some = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(value)).read_all().combine_chunks()
+            table = pa.Table.from_struct_array(some.column("row").combine_chunks())
+            text, numbers = table.column("text").to_pylist(), {}
+            for i, at in enumerate(zip(some.column("doc_id").to_pylist(), some.column("text_key").to_pylist(), strict=True)):
+                if at in found:
+                    text[i] = strip(text[i].encode(), *found[at])
+                    numbers[i] = len(text[i])
+            if numbers:
+                table = table.set_column(table.column_names.index("text"), "text", pa.array(text, table.schema.field("text").type))
+                if "n_chars" in table.column_names:
+                    own = table.column("n_chars").to_pylist()
+                    table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array([numbers.get(i, n) for i, n in enumerate(own)], table.schema.field("n_chars").type))
+            tables.append(table)
+        return pa.concat_tables(tables) if tables else empty
+
+    return dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(settle, docs.schema)
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """Flags of the units that removed windows cover."""
     step = np.zeros(n + 1, np.int32)

@@ -10,16 +10,15 @@ and gives nothing. Rows with equal doc_id do not act on each other. Other column
 """
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sizes_of, sliding_least, span_rows, text_key, with_key, without_spans
+from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, rows_without_spans, runs_of, sha, sizes_of, sliding_least, with_key, without_spans
 
 WINDOW, GRAM = 13, 3
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 words more.
@@ -91,29 +90,22 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     return without_spans(rows, marks, strip_words, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string", parts)
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def left_text(body: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the words that removed windows cover; every word takes the white space after it along."""
+    pieces = WORD.findall(body)
+    gone = covered(len(pieces), starts, ends, WINDOW).tolist()
+    lead = body[: len(body) - sum(map(len, pieces))]
+    return (lead + b"".join([p for p, g in zip(pieces, gone, strict=True) if not g])).decode("utf-8", "replace")
+
+
 def rewrite_documents(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages cut out; texts without any stay as they are. Same columns, n_chars follows the text."""
+    """The documents with repeated passages cut out; the other words keep their white space, texts without any passage stay as they are.
+
+    Same columns, whatever their names; n_chars, if there is one, follows the text. Marks and rows stay packed and meet by part.
+    """
     rows = with_key(docs)
     buckets, parts = sizes_of(rows, COPIES)
-    spans = span_rows(repeated_spans(rows, cut_words, settle_words, buckets, parts)).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-    own = docs.select("*", text_key().alias("own_key"))
-    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), F.col("spans.start").alias("span_start"), F.col("spans.end").alias("span_end"))
-    joined = own.join(named.hint("shuffle_hash"), (F.col("doc_id") == F.col("span_doc")) & (F.col("own_key") == F.col("span_key")), "left")
-    names, text, chars = docs.columns, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            texts, starts, ends = columns[text].to_pylist(), columns[-2].to_pylist(), columns[-1].to_pylist()
-            counts = columns[chars].to_pylist()
-            for i, start in enumerate(starts):
-                if start is not None:
-                    texts[i] = strip_words(texts[i].encode(), start, np.array(ends[i]))[3]
-                    counts[i] = len(texts[i])
-            columns[text] = pa.array(texts, columns[text].type)
-            if chars >= 0:
-                columns[chars] = pa.array(counts, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns[:-2], names=names)
-
-    return joined.select(*(joined[c] for c in names), "span_start", "span_end").mapInArrow(cut, docs.schema)
+    return rows_without_spans(docs, repeated_spans(rows, cut_words, settle_words, buckets, parts), left_text, parts)

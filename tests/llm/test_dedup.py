@@ -2,6 +2,7 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,31 @@ def test_rewrite_keeps_columns(spark):
     assert text[4] is not None and text[7] is None and "end" in text[15] or text[15] == "" or text[15]
 
 
+def test_rewrite_by_hand(spark):
+    """Words go as in the operator's own result; the others keep the white space after them; other columns and clashing names pass through."""
+    rows = corpus() + [(30, "  lead\n" + words(20) + "\n\n" + words(6) + "\ttail "), (31, words(3))]
+    rows += [(32, "  new\n" + rows[-2][1][7:] + "\nend\n")]
+    data = [(d, t, 7, "k", b"x", 1.5, None, 3, 4) for d, t in rows]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, n_chars int, text_key string, packed binary, size double, part string, span_start int, row int")
+    least, want = {}, []
+    for d, t in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - 12) if d is not None else ():
+            k = tuple(w[i : i + 13])
+            least[k] = min(least.get(k, d), d)
+    for d, t in rows:
+        pieces = [] if t is None else re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
+        w, gone = (t or "").encode().split(), set()
+        for i in range(len(w) - 12) if d is not None else ():
+            if least[tuple(w[i : i + 13])] < d:
+                gone |= set(range(i, i + 13))
+        kept = t if t is None or not gone else t[: len(t) - len("".join(pieces))] + "".join(p for i, p in enumerate(pieces) if i not in gone)
+        want.append((d, kept, len(kept) if gone else 7, "k", b"x", 1.5, None, 3, 4))
+    out = substrings.rewrite_documents(docs)
+    assert out.schema == docs.schema and sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert any("\n" in (k[1] or "") and k[2] != 7 for k in want)
+
+
 @pytest.mark.parametrize("text", [b"banana" * 30, bytes(range(256)) * 3, b"a" * 300, os.urandom(500), b"", b"xy"])
 def test_suffix_array_and_prefixes(text):
     data = np.frombuffer(text, np.uint8)
