@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chorale.llm import packing, quality, simhash, substrings, toxicity
 from chorale.llm.common import settings, table
 from chorale.llm.queries import vocabulary
+from chorale.session import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +49,9 @@ STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("simhash",
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names for checkpoints, or below the warehouse where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(named, f"pipeline-{uuid.uuid4().hex}")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    """The last stage's rows. Every stage writes below the folder that the cluster names for checkpoints; the folder is left to whoever reads the result."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
