@@ -25,32 +25,28 @@ METRICS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_l
 TEXT_SALT = 997
 
 WALK = """
-WITH RECURSIVE
-letters(letter, bit) AS (VALUES {letters}),
-walk(part, mask, n, good, toxic, prefix, letter, bit, applied, step) AS (
-  SELECT part, mask, n, good, toxic, '', '', 0, 0, 0 FROM {{cells}}
+WITH RECURSIVE walk(part, mask, n, good, toxic, prefix, bit, applied, step) AS (
+  SELECT part, mask, n, good, toxic, '', 0, 0, 0 FROM {cells}
   UNION ALL
-  SELECT w.part, w.mask, w.n, w.good, w.toxic, concat(w.prefix, l.letter), l.letter, l.bit, w.applied | w.bit, w.step + 1
-  FROM walk w JOIN letters l ON (w.applied | w.bit) & l.bit = 0
+  SELECT part, mask, n, good, toxic, concat(prefix, next.letter), next.bit, applied | bit, step + 1
+  FROM walk LATERAL VIEW explode(filter(FILTERS, f -> (applied | bit) & f.bit = 0)) unused AS next
 )
-SELECT part, prefix, letter, step,
+SELECT part, prefix, right(prefix, 1) AS letter, step,
   sum(IF(mask & (applied | bit) = 0, n, 0L)) AS kept,
   sum(IF(mask & applied = 0 AND mask & bit <> 0, n, 0L)) AS removed,
   sum(IF(mask & applied <> 0 AND mask & bit <> 0, n, 0L)) AS redundant,
   sum(IF(mask = bit, n, 0L)) AS unique_fails,
   sum(IF(mask & applied = 0 AND mask & bit <> 0, good, 0L)) AS good_lost,
   sum(IF(mask & applied = 0 AND mask & bit <> 0, toxic, 0L)) AS toxic_lost
-FROM walk WHERE step > 0 GROUP BY part, prefix, letter, step
+FROM walk WHERE step > 0 GROUP BY part, prefix, step
 """
 
 ORDERS = """
-WITH RECURSIVE
-letters(letter) AS (VALUES {letters}),
-orders(prefix) AS (
+WITH RECURSIVE orders(prefix) AS (
   SELECT '' UNION ALL
-  SELECT concat(prefix, letter) FROM orders JOIN letters ON NOT contains(prefix, letter)
+  SELECT concat(prefix, letter) FROM orders LATERAL VIEW explode(filter(LETTERS, f -> NOT contains(prefix, f))) unused AS letter
 )
-SELECT prefix AS filter_order, step, left(prefix, step) AS prefix FROM orders LATERAL VIEW explode(sequence(1, {size})) s AS step WHERE length(prefix) = {size}
+SELECT prefix AS filter_order, step, left(prefix, step) AS prefix FROM orders LATERAL VIEW explode(sequence(1, SIZE)) s AS step WHERE length(prefix) = SIZE
 """
 
 
@@ -93,9 +89,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the walk has 326 rows a cell, however many parts there are
     counted = cut_lineage(cells(docs, labels))  # at most 32 rows a part; every level of the recursion reads it
-    letters = ", ".join(f"('{letter}', {bit})" for letter, bit in FILTERS)
-    steps = cut_lineage(spark.sql(WALK.format(letters=letters), cells=counted))
-    orders = spark.sql(ORDERS.format(letters=", ".join(f"('{letter}')" for letter, _ in FILTERS), size=len(FILTERS)))
+    steps = cut_lineage(spark.sql(WALK.replace("FILTERS", "array(" + ", ".join(f"named_struct('letter', '{x}', 'bit', {bit})" for x, bit in FILTERS) + ")"), cells=counted))
+    orders = spark.sql(ORDERS.replace("LETTERS", "array(" + ", ".join(f"'{x}'" for x, _ in FILTERS) + ")").replace("SIZE", str(len(FILTERS))))
     shares = steps.groupBy("part", "letter").agg(F.sum(F.col("removed") * F.factorial(len(FILTERS) - F.col("step"))).alias("shapley"))
     placed = steps.drop("step").join(F.broadcast(orders), "prefix")  # 600 rows, whatever the input
     return placed.join(shares, ["part", "letter"]).select("part", "filter_order", "step", *METRICS, "shapley")
