@@ -1,17 +1,25 @@
 """Source, sink and stream-twin queries over the driver tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chorale.functions.numeric import r6
 from chorale.operators import ops, turns as tn
 from chorale.plans.registry import query
 from chorale.plans.turns import HS, IV, MS, SG, US, WIDTH, hs, iv, sg
-from chorale.sources import readers as rd, sinks as sk
+from chorale.session import shared_folder
+from chorale.sources import caption_files as cf, readers as rd, session_files as sf, sinks as sk
 from chorale.streaming import metrics as st
 from chorale.views import with_views
 
 
+def new_folder(v) -> str:
+    """A folder of its own below the one that driver and tasks share."""
+    return f"{shared_folder(v.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def candidate_docs(v):
     """Documents as the reader sees them: odd engines carry recogniser words, even ones only segment words."""
     w = F.struct("word", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "confidence")
@@ -27,7 +35,9 @@ def candidate_docs(v):
 
 @query("A1_candidate_words", with_views("hyp") + """ SELECT CAST(session_id AS VARCHAR) AS session_id, concat('c',engine) AS candidate_id, count(*) AS words, round(sum(start_ms/1e3),6) AS starts, round(avg(confidence),6) AS confidence, string_agg(trim(word),' ' ORDER BY turn,pos) AS text FROM hyp WHERE start_ms>=0 AND trim(word)<>'' GROUP BY 1,2""")
 def _(v):
-    w = rd.candidate_tables(candidate_docs(v))["word"]
+    path = new_folder(v)
+    candidate_docs(v).write.json(path)
+    w = rd.read_candidates(v.spark, path)["word"]
     text = F.array_join(F.sort_array(F.collect_list(F.struct("pos", "word")))["word"], " ")
     return w.groupBy("session_id", "candidate_id").agg(F.count("*").alias("words"), r6(F.sum("start")).alias("starts"), r6(F.avg("confidence")).alias("confidence"), text.alias("text"))
 
@@ -37,21 +47,25 @@ def _(v):
     s = F.struct((F.col("start") / 1000.0).alias("start"), (F.col("end") / 1000.0).alias("end"), "speaker", "text", "confidence")
     docs = sg(v).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("id", s.alias("s"))), asc=False)["s"].alias("segments"), (F.max("end") / 1000.0).alias("audio_duration")).select(
         F.concat(F.lit("t"), "session_id").alias("test_id"), "audio_duration", "segments", F.struct(F.lit(0.1).alias("der_expected"), F.lit(0.1).alias("wer_expected")).alias("quality_targets"))
-    return rd.gold_tables(docs)["gold_case"].select("test_id", r6("duration").alias("duration"), "segments", "reference_text")
+    path = new_folder(v)
+    sf.write_session_files(docs.select(F.col("test_id").alias("session_id"), F.to_json(F.struct(*docs.columns)).alias("line")), path, "json", [])
+    return rd.read_gold(v.spark, path)["gold_case"].select("test_id", r6("duration").alias("duration"), "segments", "reference_text")
 
 
 @query("A3_recent_gates", """SELECT ts AS "timestamp", concat('t',user_id) AS test_id, event_type AS gate, value FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAYS""")
 def _(v):
     e = v.table("events")
     reports = e.select(F.col("ts").cast("timestamp").alias("timestamp"), F.array(F.struct(F.concat(F.lit("t"), "user_id").alias("test_id"), F.col("event_type").alias("gate_type"), F.col("value").alias("measured_value"))).alias("gate_results"))
-    return rd.recent_gates(reports, "2024-01-31", 10)
+    path = new_folder(v)
+    rd.write_history(reports, path)
+    return rd.read_history_by_date(v.spark, path, "2024-01-31", 10)
 
 
 @query("A4_retry_log", with_views("retry") + " SELECT service, event, count(*) AS n, max(attempt) AS max_attempt, round(sum(duration_ms),6) AS duration_ms FROM retry GROUP BY 1,2")
 def _(v):
-    schema = "event_id bigint, ts timestamp, service string, event string, attempt bigint, duration_ms double, error string"
-    lines = v.retry.select(F.to_json(F.struct("*")).alias("value"))
-    back = lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+    path = new_folder(v)
+    v.retry.withColumn("error", F.lit(None).cast("string")).write.option("timestampFormat", rd.STAMP).json(path)
+    back = rd.read_retry_events(v.spark, path)
     return back.groupBy("service", "event").agg(F.count("*").alias("n"), F.max("attempt").alias("max_attempt"), r6(F.sum("duration_ms")).alias("duration_ms"))
 
 
@@ -77,6 +91,37 @@ for _fmt, _line in LINES.items():
         return sk.caption_lines(s, fmt, WIDTH).select("session_id", "id", "line")
 
 
+@query("A5_rttm_files", SG + """ SELECT CAST(session_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY start,id) AS ordinal, start AS start_ms, "end" AS end_ms, speaker FROM sg""")
+def _(v):
+    path = new_folder(v)
+    cf.write_rttm_files(sg(v), path, MS)
+    back = sf.read_session_files(v.spark, path, "rttm")
+    return back.select("session_id", "ordinal", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "speaker")
+
+
+FILES = SG + r""", cl AS (SELECT *, regexp_replace(regexp_replace(text,'^\s+|\s+$','','g'),'\s*\n\s*',chr(10),'g') AS said FROM sg),
+ fl AS (SELECT CAST(session_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY start,id) AS ordinal, start, "end", speaker, said FROM cl WHERE said<>'')"""
+PARSED = {"srt": ("start", '"end"', "said"), "vtt": ("start", '"end"', "said"), "ass": ("(start+5)//10*10", '("end"+5)//10*10', "said"), "txt": ("start//1000*1000", "CAST(NULL AS BIGINT)", "replace(said,chr(10),' ')")}
+
+for _fmt, (_start, _end, _text) in PARSED.items():
+    @query(f"A6_files_{_fmt}", FILES + f" SELECT session_id, ordinal, {_start} AS start_ms, {_end} AS end_ms, speaker, {_text} AS text, 0 AS bad FROM fl")
+    def _(v, fmt=_fmt):
+        path = new_folder(v)
+        cf.write_caption_files(sg(v), fmt, path, WIDTH)
+        back = sf.read_session_files(v.spark, path, fmt)
+        return back.select("session_id", "ordinal", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "speaker", "text", F.col("corrupt").isNotNull().cast("int").alias("bad"))
+
+
+@query("A7_master_files", HS + """, w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start,id) AS ordinal FROM hs WHERE engine=session_id%3), t AS (SELECT session_id, max("end")/1e3 AS total, count(*) AS n, count(DISTINCT speaker) AS k FROM w GROUP BY 1)
+ SELECT CAST(session_id AS VARCHAR) AS session_id, round(total,6) AS total_duration, n AS total_segments, k AS speaker_count, CAST(engine AS VARCHAR) AS candidate_id, ordinal, round(start/1e3,6) AS start, round("end"/1e3,6) AS "end", concat('Speaker ',speaker) AS speaker, text, round(confidence,6) AS confidence FROM w JOIN t USING (session_id)""")
+def _(v):
+    path = new_folder(v)
+    cf.write_master_files(hs(v).withColumnRenamed("engine", "candidate_id"), v.seg.select("session_id").distinct().withColumn("candidate_id", F.col("session_id") % 3), path, WIDTH, MS)
+    docs, _ = rd.read_master(v.spark, path)
+    d = docs.select("session_id", "metadata.*", "provenance.candidate_id", F.explode("segments").alias("s"))
+    return d.select("session_id", r6("total_duration").alias("total_duration"), "total_segments", "speaker_count", "candidate_id", "s.ordinal", r6("s.start").alias("start"), r6("s.end").alias("end"), "s.speaker", "s.text", r6("s.confidence").alias("confidence"))
+
+
 @query("A7_master_transcript", SG + """ SELECT session_id, round(max("end")/1e3,6) AS duration, count(*) AS segments, count(DISTINCT speaker) AS speakers, array_to_string(list_sort(list_distinct(list(speaker))),',') AS speaker_map FROM sg GROUP BY 1""")
 def _(v):
     return sk.master_transcript(sg(v), MS).withColumn("duration", r6("duration"))

@@ -9,3 +9,5 @@ GOLD = ("test_id string, audio_duration double, segments array<struct<start:doub
 HISTORY = "timestamp timestamp, gate_results array<struct<test_id:string,gate_type:string,measured_value:double>>"
 CALL_EVENT = "event_id bigint, ts timestamp, service string, event string, attempt bigint, duration_ms double, error string"
 METRIC_EVENT = "event_id bigint, ts timestamp, name string, component string, value double"
+MASTER = ("session_id string, metadata struct<version:string,total_duration:double,total_segments:bigint,speaker_count:bigint>, speaker_map map<string,string>, "
+          "provenance struct<candidate_id:string>, segments array<struct<ordinal:bigint,start:double,end:double,speaker:string,speaker_id:string,text:string,confidence:double>>")

@@ -24,8 +24,24 @@ def candidate_tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {"candidate": cand, "segment": seg, "word": words.where("word <> '' and start >= 0")}
 
 
+CORRUPT = "_corrupt_record"
+#: Time stamps of JSON files keep microseconds.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
+
+
+def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents of the declared schema, and (file, record) of those that are not JSON of that schema."""
+    lines = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "")
+    options = {"columnNameOfCorruptRecord": CORRUPT, "timestampFormat": STAMP}
+    parsed = lines.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("doc"))
+    good, bad = parsed.where(F.col(f"doc.{CORRUPT}").isNull()), parsed.where(F.col(f"doc.{CORRUPT}").isNotNull())
+    return good.select("doc.*").drop(CORRUPT), bad.select("file", F.col(f"doc.{CORRUPT}").alias("record"))
+
+
 def read_candidates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return candidate_tables(spark.read.schema(S.CANDIDATE).json(path))
+    """The tables of ``candidate_tables`` over JSON lines, and ``corrupt`` (file, record)."""
+    docs, corrupt = read_json(spark, path, S.CANDIDATE)
+    return candidate_tables(docs) | {"corrupt": corrupt}
 
 
 def gold_tables(docs: DataFrame) -> dict[str, DataFrame]:
@@ -37,7 +53,14 @@ def gold_tables(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_gold(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return gold_tables(spark.read.schema(S.GOLD).option("multiLine", True).json(path))
+    """The tables of ``gold_tables`` over one JSON document a file, and ``corrupt`` (file, record)."""
+    docs, corrupt = read_json(spark, path, S.GOLD, multi_line=True)
+    return gold_tables(docs) | {"corrupt": corrupt}
+
+
+def read_master(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Master transcripts, one JSON document a file, and what is not one."""
+    return read_json(spark, path, S.MASTER, multi_line=True)
 
 
 def recent_gates(reports: DataFrame, now, days: int = 30) -> DataFrame:
@@ -50,9 +73,21 @@ def read_history(spark: SparkSession, glob: str, now, days: int = 30) -> DataFra
     return recent_gates(spark.read.schema(S.HISTORY).json(glob), now, days)
 
 
+def write_history(reports: DataFrame, path: str) -> None:
+    """Reports as JSON lines in a folder per day, added to those that are there."""
+    reports.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").option("timestampFormat", STAMP).json(path)
+
+
+def read_history_by_date(spark: SparkSession, path: str, now, days: int = 30) -> DataFrame:
+    """As ``read_history`` for folders per day: folders that are too old are not listed among the scanned files."""
+    reports = spark.read.schema(f"{S.HISTORY}, date date").option("timestampFormat", STAMP).json(path)
+    since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
+    return recent_gates(reports.where(F.col("date") >= F.to_date(since)), now, days)
+
+
 def read_retry_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(S.CALL_EVENT).json(path)
+    return reader.schema(S.CALL_EVENT).option("timestampFormat", STAMP).json(path)
 
 
 def read_metric_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
