@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chorale.functions.numeric import r6
 from chorale.functions.text import NOT_WORD
-from chorale.operators import corpus as op
+from chorale.operators import corpus as op, protect as pt
 from chorale.plans.linguistic import _in, _ph, _rx
 from chorale.plans.registry import query
 from chorale.views import with_views
@@ -81,6 +81,50 @@ def _(v):
     return op.readability(v.norm, "text", "score").select("doc_id", r6("score").alias("readability"))
 
 
+def _seen(x):
+    """The text as patterns see it, see ``protect.plain``."""
+    named = f"translate({x},'{pt.NAMED}',concat(chr(1),chr(2),chr(3),chr(4)))"
+    return f"regexp_replace(regexp_replace({named},'[^\\x00-\\x7F\\p{{L}}\\p{{N}}]',' ','g'),'[^\\x00-\\x7F]','x','g')"
+
+
+def _rule_sql(at, r):
+    p = f"'(?s)(.*?)({r.pattern})'"
+    return f"SELECT doc_id, t, {at} AS rule, '{r.category}' AS category, {r.priority} AS priority, {r.quality!r}::DOUBLE AS quality, unnest(regexp_extract_all(t,{p},1)) AS gap, unnest(regexp_extract_all(t,{p},2)) AS token, generate_subscripts(regexp_extract_all(t,{p},2),1) AS i FROM seen"
+
+
+SPANS = f""", seen AS MATERIALIZED (SELECT doc_id, text, {_seen('text')} AS t FROM norm), hit AS ({' UNION ALL '.join(_rule_sql(i, r) for i, r in enumerate(pt.rules()))}),
+ pl AS (SELECT *, CAST(sum(length(gap)+length(token)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS BIGINT) AS b FROM hit), wh AS (SELECT doc_id, t, rule, category, priority, quality, token, b-length(token) AS a, b FROM pl),
+ sc AS (SELECT *, round(priority*5e-1+least(1e0, quality*CASE WHEN b-a<3 THEN 8e-1 WHEN b-a>20 THEN 9e-1 ELSE 1e0 END*CASE WHEN a>0 AND regexp_matches(substr(t,a,1),'[A-Za-z0-9]') THEN 9e-1 ELSE 1e0 END*CASE WHEN regexp_matches(substr(t,b+1,1),'[A-Za-z0-9]') THEN 9e-1 ELSE 1e0 END
+  *CASE WHEN regexp_matches(token,'[0-9]') AND regexp_matches(token,'[A-Za-z]') THEN 11e-1 ELSE 1e0 END)*3e1+quality*2e1,6) AS score FROM wh),
+ gr AS (SELECT *, CASE WHEN a >= coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a,b,rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) THEN 1 ELSE 0 END AS fresh FROM sc),
+ ig AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a,b,rule) AS span FROM gr),
+ sp AS MATERIALIZED (SELECT doc_id, span, min(a) AS a, max(b) AS b, arg_min(category,(-score,a,b,rule)) AS category, array_to_string(list_sort(list_distinct(list(category))),'+') AS categories, count(*) AS matches, max(score) AS score FROM ig GROUP BY 1,2)"""
+
+
+@query("H48_protected_spans", with_views("norm") + SPANS + """ SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(text,a+1,b-a) AS token, category, categories, CAST(matches AS INTEGER) AS matches, round(score,6) AS score FROM sp JOIN norm USING (doc_id)""")
+def _(v):
+    return pt.protected_spans(v.norm, ["doc_id"]).withColumn("score", r6("score"))
+
+
+def _protected_sql(name):
+    """The profile over texts with marks in place of spans, and the spans back."""
+    return _profile_sql(name).replace("FROM norm", "FROM hidden")
+
+
+HIDDEN = with_views("norm") + SPANS + f""", ed AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b, a AS o FROM (SELECT doc_id, a, b FROM sp UNION ALL SELECT doc_id, -1, 0 FROM norm)),
+ mk AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(text,CAST(a+1 AS BIGINT)) ELSE substr(text,CAST(a+1 AS BIGINT),CAST(b-a AS BIGINT)) END, '{pt.MARK}' ORDER BY a, o) AS masked FROM ed JOIN norm USING (doc_id) GROUP BY 1),
+ hd AS (SELECT doc_id, list(substr(text,a+1,b-a) ORDER BY a) AS held FROM sp JOIN norm USING (doc_id) GROUP BY 1),
+ hidden AS MATERIALIZED (SELECT doc_id, lang, masked AS text FROM norm JOIN mk USING (doc_id)), nz AS ({" UNION ALL ".join(_protected_sql(p) for p in op.PROFILES)}),
+ bk AS (SELECT nz.doc_id, profile, norm.text, coalesce(held,[]) AS held, string_split(normalized,'{pt.MARK}') AS gaps FROM nz JOIN norm USING (doc_id) LEFT JOIN hd USING (doc_id)),
+ rs AS (SELECT doc_id, profile, text, len(held) AS protected, array_to_string(list_transform(range(1,len(gaps)+1), lambda i: concat(gaps[i],held[i])),'') AS normalized FROM bk)"""
+
+
+@query("H48_normalize_protected", HIDDEN + f""" SELECT doc_id, profile, normalized, CAST(len(string_split({_sp('text')},' ')) AS INTEGER) AS words_before, CAST(len(string_split({_sp('normalized')},' ')) AS INTEGER) AS words_after, CAST(protected AS INTEGER) AS protected FROM rs""")
+def _(v):
+    done = reduce(DataFrame.unionByName, [pt.normalize_protected(v.norm, p) for p in op.PROFILES])
+    return done.select("doc_id", "profile", "normalized", "words_before", "words_after", "protected")
+
+
 TOKS = "list_distinct(list_filter(string_split_regex(lower({x}),'[^\\p{L}\\p{N}_]+'), lambda q: q<>''))"
 
 
