@@ -330,16 +330,18 @@ def _(v):
     return d.select("session_id", r6("cut").alias("cut"), "kind", r6("quality").alias("quality"))
 
 
-@query("H47_merge_chunks", with_views("hyp") + """, ch AS (SELECT session_id, turn AS chunk_id, start_ms AS start, end_ms+1500 AS "end" FROM seg), tk AS (SELECT session_id, turn AS chunk_id, (turn*4294967296+pos)*10+engine AS word_id, start_ms AS start, end_ms AS "end", word FROM hyp WHERE engine<2),
+@query("H47_merge_chunks", with_views("hyp").replace("WITH ", "WITH RECURSIVE ", 1) + """, ch AS (SELECT session_id, turn AS chunk_id, start_ms AS start, end_ms+1500 AS "end" FROM seg), tk AS (SELECT session_id, turn AS chunk_id, (turn*4294967296+pos)*10+engine AS word_id, start_ms AS start, end_ms AS "end", word FROM hyp),
  e AS (SELECT *, lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM ch WINDOW w AS (PARTITION BY session_id ORDER BY start,chunk_id)),
  f AS (SELECT *, CASE WHEN pe-start>10 THEN (pe+start)/2e0 END AS lo, CASE WHEN "end"-ns>10 THEN ("end"+ns)/2e0 END AS hi FROM e),
  k AS (SELECT tk.* FROM tk JOIN f USING (session_id,chunk_id) WHERE (lo IS NULL OR tk.start>lo) AND (hi IS NULL OR tk."end"<=hi)),
- o AS (SELECT *, lower(trim(word)) AS low, row_number() OVER (PARTITION BY session_id ORDER BY start,chunk_id,word_id) AS rn FROM k),
- g AS (SELECT *, lag(start,1) OVER w AS s1, lag(low,1) OVER w AS l1 FROM o WINDOW w AS (PARTITION BY session_id ORDER BY rn))
- SELECT session_id, chunk_id, word_id, start, "end", word FROM g WHERE NOT coalesce(start-s1<=100 AND low=l1 AND low<>'',false)""")
+ o AS (SELECT *, lower(trim(word)) AS low, coalesce(start-lag(start) OVER w,101)>100 AS fresh FROM k WINDOW w AS (PARTITION BY session_id ORDER BY start,chunk_id,word_id)),
+ g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY session_id ORDER BY start,chunk_id,word_id) AS run FROM o), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id, run ORDER BY start,chunk_id,word_id) AS rn FROM g),
+ z AS (SELECT *, true AS keep, [{'s':start,'w':low}] AS kept FROM n WHERE rn=1 UNION ALL SELECT n.*, NOT t.twin, CASE WHEN t.twin THEN z.kept ELSE list_append(z.kept,{'s':n.start,'w':n.low})[-3:] END
+  FROM z JOIN n ON n.session_id=z.session_id AND n.run=z.run AND n.rn=z.rn+1, LATERAL (SELECT n.low<>'' AND len(list_filter(z.kept, lambda q: abs(n.start-q.s)<=100 AND q.w=n.low))>0 AS twin) t)
+ SELECT session_id, chunk_id, word_id, start, "end", word FROM z WHERE keep""")
 def _(v):
     chunks = v.seg.select("session_id", F.col("turn").alias("chunk_id"), F.col("start_ms").alias("start"), (F.col("end_ms") + 1500).alias("end"))
-    tokens = v.hyp.where("engine < 2").select(
+    tokens = v.hyp.select(
         "session_id", F.col("turn").alias("chunk_id"), ((F.col("turn") * WORDS + F.col("pos")) * 10 + F.col("engine")).alias("word_id"),
         F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word")
     return op.merge_chunks(chunks, tokens, MS, WIDTH)

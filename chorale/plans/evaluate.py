@@ -67,12 +67,12 @@ def _(v):
     return d.select("session_id", *[r6(c).alias(c) for c in ("confusion", "der", "speaker_count_accuracy")])
 
 
-@query("C13_entity_accuracy", _ent_sql() + """, g AS (SELECT doc_id, entity_type, lower(entity) AS e, count(*) AS c FROM e GROUP BY ALL), p AS (SELECT DISTINCT doc_id, entity_type, CASE WHEN doc_id%2=0 THEN replace(lower(entity),'7','1') ELSE lower(entity) END AS q FROM e WHERE doc_id%5<>0),
+@query("C13_entity_accuracy", _ent_sql() + """, g AS (SELECT doc_id, entity_type, lower(entity) AS e, count(*) AS c FROM e GROUP BY ALL), p AS (SELECT DISTINCT doc_id, entity_type, CASE WHEN doc_id%5=0 THEN concat(lower(entity),'~~') WHEN doc_id%2=0 THEN replace(lower(entity),'7','1') ELSE lower(entity) END AS q FROM e),
  h AS (SELECT g.*, EXISTS(SELECT 1 FROM p WHERE p.doc_id=g.doc_id AND p.entity_type=g.entity_type AND (q=e OR (abs(length(q)-length(e))<=1 AND 1-levenshtein(q,e)/greatest(length(q),length(e))>=8e-1))) AS hit FROM g)
  SELECT entity_type, CAST(sum(c) AS BIGINT) AS gold, CAST(sum(CASE WHEN hit THEN c ELSE 0 END) AS BIGINT) AS matched, round(sum(CASE WHEN hit THEN c ELSE 0 END)/sum(c),6) AS accuracy FROM h GROUP BY 1""")
 def _(v):
     e = ent.entity_matches(v.norm.select("doc_id", "text"))
-    pred = e.where("doc_id % 5 <> 0").withColumn("entity", F.when(F.col("doc_id") % 2 == 0, F.replace(F.lower("entity"), F.lit("7"), F.lit("1"))).otherwise(F.col("entity")))
+    pred = e.withColumn("entity", F.when(F.col("doc_id") % 5 == 0, F.concat("entity", F.lit("~~"))).when(F.col("doc_id") % 2 == 0, F.replace(F.lower("entity"), F.lit("7"), F.lit("1"))).otherwise(F.col("entity")))
     return op.entity_accuracy(e, pred, ["doc_id"]).withColumn("accuracy", r6("accuracy"))
 
 

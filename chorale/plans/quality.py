@@ -51,26 +51,29 @@ def _(v):
     return d.withColumn("mean", r6("mean")).withColumn("quality", r6("quality"))
 
 
-@query("F11_repair_plan", QIN + f""", al AS (SELECT session_id, supplier_id AS id, max(a) AS bc, max(l) AS bs FROM cand WHERE supplier_id%2=0 GROUP BY 1,2), p AS (SELECT iss.session_id, iss.id, kind, severity,
+@query("F11_repair_plan", QIN + f""", al AS (SELECT session_id, CASE WHEN supplier_id%2=0 THEN supplier_id ELSE -supplier_id END AS id, max(a) AS bc, max(l) AS bs FROM cand GROUP BY 1,2), p AS (SELECT iss.session_id, iss.id, kind, severity,
  CASE kind WHEN 'low_confidence' THEN 'alternative_candidate' WHEN 'speaker_confusion' THEN 'speaker_reassignment' WHEN 'alignment_issue' THEN 'boundary_adjustment' WHEN 'transcription_error' THEN 'text_correction' ELSE 'manual_review' END AS repair_type,
  CASE WHEN severity='critical' THEN 3 WHEN severity='high' THEN 2 WHEN severity='medium' AND bs>7e-1 THEN 1 END AS priority, round(CASE WHEN bc IS NULL THEN 1e-1 ELSE greatest(0,least(1,bc-score)) END,9) AS im FROM iss LEFT JOIN al ON al.session_id=iss.session_id AND al.id=iss.id)
  SELECT session_id, CAST(id AS BIGINT) AS id, kind, severity, repair_type, CAST(priority AS INTEGER) AS priority, round(im,6) AS improvement FROM p WHERE priority IS NOT NULL""")
 def _(v):
-    alt = v.cand.where("supplier_id % 2 = 0").select("session_id", F.col("supplier_id").alias("id"), F.col("a").alias("confidence"), F.col("l").alias("score"))
+    known = F.when(F.col("supplier_id") % 2 == 0, F.col("supplier_id")).otherwise(-F.col("supplier_id"))  # half of the alternatives are for no issue
+    alt = v.cand.select("session_id", known.alias("id"), F.col("a").alias("confidence"), F.col("l").alias("score"))
     return op.repair_plan(op.quality_issues(*quality_inputs(v)), alt).drop("place").withColumn("improvement", r6("improvement"))
 
 
 def repaired(v):
     c = v.hyp.groupBy("session_id", "turn", "engine").agg(F.sum(F.round(F.col("confidence") * 100).cast("bigint")).alias("s"), F.count("*").alias("n"))
-    w = c.select("session_id", F.col("turn").alias("id"), "engine", (F.col("s") / F.col("n") / 100.0).alias("confidence"))
-    segs = w.where("engine = 1").select("session_id", "id", "confidence", F.concat(F.lit("t"), "id").alias("text"))
-    best = w.where("engine <> 1 and id % 2 = 0").groupBy("session_id", "id").agg(F.max("confidence").alias("new_confidence")) \
-        .select("session_id", "id", F.concat(F.lit("n"), "id").alias("new_text"), (F.col("new_confidence") + F.col("id") / 50.0).alias("new_confidence"))
+    w = c.select("session_id", "turn", "engine", (F.col("turn") * 3 + F.col("engine")).alias("id"), (F.col("s") / F.col("n") / 100.0).alias("confidence"))
+    segs = w.select("session_id", "id", "confidence", F.concat(F.lit("t"), "id").alias("text"))
+    other = w.select("session_id", "turn", F.col("engine").alias("o_engine"), F.col("confidence").alias("o_confidence"))
+    best = w.join(other, ["session_id", "turn"]).where("engine <> o_engine").groupBy("session_id", "turn", "id").agg(F.max("o_confidence").alias("new_confidence"))
+    fix = F.when(F.col("turn") % 2 == 0, F.col("id")).otherwise(-1 - F.col("id"))  # a fix for every other turn; the rest is for no segment
+    best = best.select("session_id", fix.alias("id"), F.concat(F.lit("n"), "id").alias("new_text"), (F.col("new_confidence") + F.col("turn") / 50.0).alias("new_confidence"))
     return op.apply_repairs(segs, best)
 
 
-REP = with_views("hyp") + """, w AS (SELECT session_id, turn AS id, engine, CAST(sum(CAST(round(confidence*100) AS BIGINT)) AS BIGINT)/count(*)/1e2 AS confidence FROM hyp GROUP BY ALL), b AS (SELECT session_id, id, concat('n',id) AS nt, max(confidence)+id/5e1 AS nc FROM w WHERE engine<>1 AND id%2=0 GROUP BY 1,2),
- rp AS (SELECT w.session_id, w.id, coalesce(nt,concat('t',w.id)) AS text, confidence AS old_confidence, coalesce(nc,confidence) AS confidence, nc IS NOT NULL AS repaired FROM w LEFT JOIN b ON b.session_id=w.session_id AND b.id=w.id WHERE engine=1)"""
+REP = with_views("hyp") + """, w AS (SELECT session_id, turn, engine, turn*3+engine AS id, CAST(sum(CAST(round(confidence*100) AS BIGINT)) AS BIGINT)/count(*)/1e2 AS confidence FROM hyp GROUP BY ALL), b AS (SELECT w.session_id, w.id, concat('n',w.id) AS nt, max(x.confidence)+w.turn/5e1 AS nc FROM w JOIN w x ON x.session_id=w.session_id AND x.turn=w.turn AND x.engine<>w.engine WHERE w.turn%2=0 GROUP BY w.session_id, w.id, w.turn),
+ rp AS (SELECT w.session_id, w.id, coalesce(nt,concat('t',w.id)) AS text, confidence AS old_confidence, coalesce(nc,confidence) AS confidence, nc IS NOT NULL AS repaired FROM w LEFT JOIN b ON b.session_id=w.session_id AND b.id=w.id)"""
 
 
 @query("H19_apply_repairs", REP + " SELECT * REPLACE (round(old_confidence,6) AS old_confidence, round(confidence,6) AS confidence) FROM rp")
@@ -199,7 +202,7 @@ def _(v):
     return op.select_hotspots(sg(v), MS)
 
 
-EDITS = SG + r""", ed AS (SELECT session_id, id AS edit_id, text AS original_text, concat('spk',id) AS ns, concat('edited ',id) AS nt FROM sg WHERE id%3=1), tk AS (SELECT session_id, edit_id, list_distinct(string_split_regex(lower(trim(original_text)),'\s+')) AS ws, ns, nt FROM ed),
+EDITS = SG + r""", ed AS (SELECT session_id, id AS edit_id, text AS original_text, concat('spk',id) AS ns, concat('edited ',id) AS nt FROM sg), tk AS (SELECT session_id, edit_id, list_distinct(string_split_regex(lower(trim(original_text)),'\s+')) AS ws, ns, nt FROM ed),
  st AS (SELECT *, list_distinct(string_split_regex(lower(trim(text)),'\s+')) AS ws FROM sg), hit AS (SELECT st.session_id, st.id, edit_id, ns, nt FROM st JOIN tk ON st.session_id=tk.session_id WHERE len(list_intersect(st.ws,tk.ws))>=least(3,len(tk.ws)//2)),
  la AS (SELECT session_id, id, arg_max(ns,edit_id) AS ns, arg_max(nt,edit_id) AS nt, count(*) AS edits FROM hit GROUP BY 1,2), nm AS (SELECT * FROM (VALUES ('user','Guest'),('spk1','Anna')) t(speaker,name))"""
 
@@ -207,7 +210,7 @@ EDITS = SG + r""", ed AS (SELECT session_id, id AS edit_id, text AS original_tex
 @query("H51_apply_edits", EDITS + """, r AS (SELECT sg.session_id, sg.id, coalesce(ns,speaker) AS speaker, coalesce(nt,text) AS text, coalesce(edits,0) AS edits FROM sg LEFT JOIN la ON la.session_id=sg.session_id AND la.id=sg.id) SELECT session_id, id, coalesce(name,r.speaker) AS speaker, text, edits FROM r LEFT JOIN nm ON nm.speaker=r.speaker""")
 def _(v):
     s = sg(v)
-    edits = s.where("id % 3 = 1").select("session_id", F.col("id").alias("edit_id"), F.col("text").alias("original_text"), F.concat(F.lit("spk"), "id").alias("new_speaker"),
+    edits = s.select("session_id", F.col("id").alias("edit_id"), F.col("text").alias("original_text"), F.concat(F.lit("spk"), "id").alias("new_speaker"),
                                          F.concat(F.lit("edited "), "id").alias("new_text"))
     names = v.spark.createDataFrame([("user", "Guest"), ("spk1", "Anna")], "speaker string, name string")
     return op.apply_edits(s, edits, names)

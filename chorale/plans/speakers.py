@@ -113,8 +113,8 @@ def _(v):
     return op.speaker_roles(turns(v)).withColumn("share", r6("share"))
 
 
-@query("H36_relabel", ROLES + " SELECT tu.session_id, tu.id, coalesce(name,CAST(tu.speaker AS VARCHAR)) AS speaker FROM tu LEFT JOIN ro ON ro.session_id=tu.session_id AND ro.speaker=tu.speaker AND tu.speaker%2=0")
+@query("H36_relabel", ROLES + " SELECT tu.session_id, tu.id, CASE WHEN tu.speaker%2=0 THEN name ELSE concat(name,' *') END AS speaker FROM tu LEFT JOIN ro ON ro.session_id=tu.session_id AND ro.speaker=tu.speaker")
 def _(v):
     t = turns(v)
-    names = op.speaker_roles(t).where("speaker % 2 = 0").select("session_id", "speaker", "name")
+    names = op.speaker_roles(t).select("session_id", "speaker", F.when(F.col("speaker") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" *"))).alias("name"))
     return op.relabel(t, names).select("session_id", "id", "speaker")

@@ -121,13 +121,13 @@ def _(v):
                         st.fmt_ass(ms).alias("ass"), st.fmt_duration(ms).alias("spoken"))
 
 
-WORDPAIR = VIEW("hyp") + ", p AS (SELECT DISTINCT a.word AS w1, b.word AS w2 FROM hyp a JOIN hyp b ON a.session_id=b.session_id AND a.turn=b.turn AND a.pos=b.pos+1 AND a.engine=0 AND b.engine=1)"
+WORDPAIR = VIEW("hyp") + ", p AS (SELECT DISTINCT a.word AS w1, b.word AS w2 FROM hyp a JOIN hyp b ON a.session_id=b.session_id AND a.turn=b.turn AND a.pos=b.pos+1 AND b.engine=(a.engine+1)%3)"
 
 
 def word_pairs(v):
-    a = v.hyp.where("engine = 0").select("session_id", "turn", "pos", F.col("word").alias("w1"))
-    b = v.hyp.where("engine = 1").select("session_id", "turn", (F.col("pos") + 1).alias("pos"), F.col("word").alias("w2"))
-    return a.join(b, ["session_id", "turn", "pos"]).select("w1", "w2").distinct()
+    a = v.hyp.select("session_id", "turn", "pos", ((F.col("engine") + 1) % 3).alias("engine"), F.col("word").alias("w1"))
+    b = v.hyp.select("session_id", "turn", (F.col("pos") + 1).alias("pos"), "engine", F.col("word").alias("w2"))
+    return a.join(b, ["session_id", "turn", "pos", "engine"]).select("w1", "w2").distinct()
 
 
 @query("B8_B9_similarity", WORDPAIR + r""", t AS (SELECT w1, w2, regexp_replace(w1,'[^ -~]','?','g') AS m1, regexp_replace(w2,'[^ -~]','?','g') AS m2, list_distinct(string_split_regex(lower(w1),'[\s\-_]+')) AS a, list_distinct(string_split_regex(lower(w2),'[\s\-_]+')) AS b FROM p)

@@ -11,12 +11,13 @@ from chorale.plans.speech import CTX, UNIT_SQL, _case_sql, _tech_sql, _type_sql
 from chorale.plans.turns import HS, hs
 from chorale.views import WORDS, with_views
 
-DENY = r"dn AS (SELECT DISTINCT unnest(string_split_regex(trim(lower(text)),'\s+')) AS token FROM benchmark WHERE item_id%4=0)"
+DENY = r"dn AS (SELECT DISTINCT CASE WHEN item_id%4=0 THEN w ELSE concat(w,'~') END AS token FROM (SELECT item_id, unnest(string_split_regex(trim(lower(text)),'\s+')) AS w FROM benchmark))"
 BACK = r"bk AS (SELECT w AS token, count(*)/sum(count(*)) OVER () AS probability FROM (SELECT unnest(string_split_regex(trim(lower(text)),'\s+')) AS w FROM benchmark) GROUP BY 1)"
 
 
 def deny(v):
-    return v.table("benchmark").where("item_id % 4 = 0").select(F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("token")).distinct()
+    w = v.table("benchmark").select("item_id", F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("w"))
+    return w.select(F.when(F.col("item_id") % 4 == 0, F.col("w")).otherwise(F.concat("w", F.lit("~"))).alias("token")).distinct()  # three in four deny no token
 
 
 def background(v):
@@ -167,13 +168,13 @@ def _(v):
     return d.select("session_id", "turn", "engine", "words", "used", "novel", r6("coverage").alias("coverage"), r6("effectiveness").alias("effectiveness"))
 
 
-SPV = with_views("hyp") + ", " + GLOS + """, spn AS (SELECT session_id, turn*4294967296+pos AS span_id, word AS text, confidence, 2e-1+(engine*3+pos)%7/1e1 AS acoustic FROM hyp), cur AS (SELECT session_id, turn*4294967296+pos AS span_id, word AS text FROM hyp WHERE engine=2)"""
+SPV = with_views("hyp") + ", " + GLOS + """, spn AS (SELECT session_id, turn*4294967296+pos AS span_id, word AS text, confidence, 2e-1+(engine*3+pos)%7/1e1 AS acoustic FROM hyp), cur AS (SELECT session_id, turn*4294967296+pos AS span_id, arg_max(word,engine) AS text FROM hyp GROUP BY session_id, turn, pos)"""
 
 
 def span_rows(v):
     sid = F.col("turn") * WORDS + F.col("pos")
     spans = v.hyp.select("session_id", sid.alias("span_id"), F.col("word").alias("text"), "confidence", (0.2 + (F.col("engine") * 3 + F.col("pos")) % 7 / 10.0).alias("acoustic"))
-    cur = v.hyp.where("engine = 2").select("session_id", sid.alias("span_id"), F.col("word").alias("text"))
+    cur = v.hyp.groupBy("session_id", sid.alias("span_id")).agg(F.max_by("word", "engine").alias("text"))
     return spans, cur
 
 
@@ -195,12 +196,12 @@ def _(v):
     return op.verify_spans(*span_rows(v), g, rules).withColumn("score", r6("score")).withColumn("margin", r6("margin"))
 
 
-@query("G2_allowed_variants", with_views("hyp") + ", " + GLOS + """, se AS (SELECT DISTINCT session_id FROM hyp), tp AS (SELECT term FROM gl ORDER BY weight DESC, term LIMIT 50), al AS (SELECT session_id, word AS text FROM hyp WHERE engine=0 AND trim(word)<>'' UNION SELECT session_id, term FROM se, tp)
- SELECT session_id, count(*) AS candidates, count(*) FILTER ((session_id,word) IN (SELECT (session_id,text) FROM al)) AS allowed FROM hyp WHERE engine>0 GROUP BY 1""")
+@query("G2_allowed_variants", with_views("hyp") + ", " + GLOS + """, se AS (SELECT DISTINCT session_id FROM hyp), tp AS (SELECT term FROM gl ORDER BY weight DESC, term LIMIT 50), al AS (SELECT session_id, word AS text FROM hyp WHERE trim(word)<>'' UNION SELECT session_id, term FROM se, tp), cn AS (SELECT session_id, CASE WHEN (pos+engine)%3=0 THEN concat(word,'~') ELSE word END AS word FROM hyp)
+ SELECT session_id, count(*) AS candidates, count(*) FILTER ((session_id,word) IN (SELECT (session_id,text) FROM al)) AS allowed FROM cn GROUP BY 1""")
 def _(v):
-    spans = v.hyp.where("engine = 0").select("session_id", F.col("word").alias("text"))
+    spans = v.hyp.select("session_id", F.col("word").alias("text"))
     g = glossary(v).select(F.col("term").alias("canonical"), F.array().cast("array<string>").alias("variants"), "weight")
-    c = v.hyp.where("engine > 0").select("session_id", F.col("word").alias("text"))
+    c = v.hyp.select("session_id", F.when((F.col("pos") + F.col("engine")) % 3 == 0, F.concat("word", F.lit("~"))).otherwise(F.col("word")).alias("text"))
     d = op.allowed_variants(spans, op.allowed_forms(g), c)
     return d.groupBy("session_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"))
 
@@ -217,10 +218,10 @@ def _(v):
     return op.constrain_edits(pairs, g)
 
 
-@query("C19_dialect_boost", with_views("hyp") + r""", lx AS (SELECT DISTINCT regexp_replace(lower(word),'[^\p{L}\p{N}_]','','g') AS word FROM hyp WHERE engine=0), pt AS (SELECT * FROM (VALUES ('e.*r',1e-1),('^th',2e-1),('on$',5e-2)) t(pattern,boost)), hi AS (SELECT word, least(15e-2,avg(boost)) AS boost FROM lx, pt WHERE regexp_matches(word,pattern) GROUP BY 1),
+@query("C19_dialect_boost", with_views("hyp") + r""", lx AS (SELECT DISTINCT regexp_replace(lower(word),'[^\p{L}\p{N}_]','','g') AS word FROM hyp), pt AS (SELECT * FROM (VALUES ('e.*r',1e-1),('^th',2e-1),('on$',5e-2)) t(pattern,boost)), hi AS (SELECT word, least(15e-2,avg(boost)) AS boost FROM lx, pt WHERE regexp_matches(word,pattern) GROUP BY 1),
  j AS (SELECT session_id, turn, engine, confidence, boost FROM hyp LEFT JOIN hi ON hi.word=regexp_replace(lower(hyp.word),'[^\p{L}\p{N}_]','','g')) SELECT session_id, turn, engine, count(*) AS words, count(boost) AS matched, round(coalesce(sum(boost),0)/count(*),6) AS boost, round(least(1,avg(confidence)+coalesce(sum(boost),0)/count(*)),6) AS confidence FROM j GROUP BY 1,2,3""")
 def _(v):
-    lex = v.hyp.where("engine = 0").select(F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_]", "").alias("word")).distinct().withColumn("phonemes", F.col("word"))
+    lex = v.hyp.select(F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_]", "").alias("word")).distinct().withColumn("phonemes", F.col("word"))
     pats = v.spark.createDataFrame([("e.*r", 0.1), ("^th", 0.2), ("on$", 0.05)], "pattern string, boost double")
     d = op.dialect_boost(v.hyp, lex, pats, ["session_id", "turn", "engine"])
     return d.withColumn("boost", r6("boost")).withColumn("confidence", r6("confidence"))
