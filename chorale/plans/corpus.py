@@ -168,7 +168,8 @@ def _(v):
     return d.withColumn("mean_change", r6("mean_change")).withColumn("min_confidence", r6("min_confidence"))
 
 
-@query("H49_timing_drift", with_views("hyp") + """ SELECT a.session_id, a.turn, a.pos, greatest(abs(a.start_ms-b.start_ms),abs(a.end_ms-b.end_ms)) AS drift, CASE WHEN greatest(abs(a.start_ms-b.start_ms),abs(a.end_ms-b.end_ms))/3e1<=15e-1 THEN 'minor' WHEN greatest(abs(a.start_ms-b.start_ms),abs(a.end_ms-b.end_ms))/3e1<=3 THEN 'moderate' ELSE 'severe' END AS severity FROM hyp a JOIN hyp b ON a.session_id=b.session_id AND a.turn=b.turn AND a.pos=b.pos AND a.engine=0 AND b.engine=1 WHERE greatest(abs(a.start_ms-b.start_ms),abs(a.end_ms-b.end_ms))>30""")
+@query("H49_timing_drift", with_views("hyp") + """, ed AS MATERIALIZED (SELECT session_id, turn, pos, max(start_ms) FILTER (engine=0) AS s0, max(end_ms) FILTER (engine=0) AS e0, max(start_ms) FILTER (engine=1) AS s1, max(end_ms) FILTER (engine=1) AS e1 FROM hyp GROUP BY 1,2,3),
+ df AS (SELECT *, greatest(abs(s0-s1),abs(e0-e1)) AS drift FROM ed WHERE s0 IS NOT NULL AND s1 IS NOT NULL) SELECT session_id, turn, pos, drift, CASE WHEN drift/3e1<=15e-1 THEN 'minor' WHEN drift/3e1<=3 THEN 'moderate' ELSE 'severe' END AS severity FROM df WHERE drift>30""")
 def _(v):
     side = lambda e: v.hyp.where(F.col("engine") == e).select("session_id", "turn", "pos", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     return op.timing_drift(side(0), side(1), ["session_id", "turn"], 30.0)

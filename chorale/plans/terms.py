@@ -87,8 +87,8 @@ def base_and_session(v):
     return base, session
 
 
-TB = "WITH " + DENY + r""", t AS (SELECT lang AS project_id, doc_id, source, unnest(string_split_regex(trim(text),'\s+')) AS token FROM documents), g AS (SELECT project_id, lower(token) AS term, doc_id%2 AS half, min(token) AS canonical, count(DISTINCT doc_id) AS docs, list_sort(list_distinct(list(source))) AS engines, list_sort(list_distinct(list(token))) AS forms FROM t GROUP BY 1,2,3),
- sc AS (SELECT *, least(1,length(term)/12e0+docs/5e1) AS score, list_sort(list_filter(forms, lambda x: x<>canonical)) AS variants FROM g), ba AS (SELECT *, CASE WHEN length(term)%5=0 THEN 104e-3 ELSE 9e-1 END AS decay FROM sc WHERE half=0), se AS (SELECT *, lower(trim(canonical)) IN (SELECT token FROM dn) OR term='' OR score<2e-1 AS denied FROM sc WHERE half=1),
+TB = "WITH " + DENY + r""", t AS (SELECT lang AS project_id, doc_id, source, unnest(string_split_regex(trim(text),'\s+')) AS token FROM documents), g AS (SELECT project_id, lower(token) AS term, doc_id%2 AS half, min(token) AS canonical, count(DISTINCT doc_id) AS docs, list_sort(list(DISTINCT source)) AS engines, list_sort(list(DISTINCT token)) AS forms FROM t GROUP BY 1,2,3),
+ sc AS MATERIALIZED (SELECT *, least(1,length(term)/12e0+docs/5e1) AS score, list_sort(list_filter(forms, lambda x: x<>canonical)) AS variants FROM g), ba AS MATERIALIZED (SELECT *, CASE WHEN length(term)%5=0 THEN 104e-3 ELSE 9e-1 END AS decay FROM sc WHERE half=0), se AS MATERIALIZED (SELECT sc.*, dn.token IS NOT NULL OR term='' OR score<2e-1 AS denied FROM sc LEFT JOIN dn ON dn.token=lower(trim(canonical)) WHERE half=1),
  mg AS (SELECT coalesce(ba.project_id,se.project_id) AS project_id, coalesce(ba.term,se.term) AS term, coalesce(ba.canonical,se.canonical) AS canonical, ba.term IS NOT NULL AS known, se.term IS NOT NULL AS seen, coalesce(NOT denied,false) AS good, ba.docs, ba.score AS mean, se.score, ba.decay, ba.variants AS bv, se.variants AS sv, ba.engines AS be, se.engines AS sen FROM ba FULL JOIN se ON ba.project_id=se.project_id AND ba.term=se.term),
  mr AS (SELECT project_id, term, canonical, CASE WHEN known AND good THEN 'updated' WHEN good THEN 'added' WHEN NOT known THEN 'denied' WHEN seen THEN 'kept' WHEN round(decay*95e-2,12)<1e-1 THEN 'removed' ELSE 'decayed' END AS status, CASE WHEN known AND good THEN docs+1 WHEN good THEN 1 ELSE docs END AS sessions,
   CASE WHEN known AND good THEN 9e-1*mean+1e-1*score WHEN good THEN score ELSE mean END AS mean, CASE WHEN known AND good THEN 9e-1*1e-2+1e-1*(score-mean)*(score-mean) WHEN good THEN 0 WHEN known THEN 1e-2 END AS variance, CASE WHEN good THEN 1 WHEN seen THEN decay ELSE decay*95e-2 END AS decay,
