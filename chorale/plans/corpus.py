@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chorale.functions.numeric import r6
 from chorale.functions.text import NOT_WORD
-from chorale.operators import corpus as op, protect as pt
+from chorale.operators import corpus as op, protect as pt, token_diff as td
 from chorale.plans.linguistic import _in, _ph, _rx
 from chorale.plans.registry import query
 from chorale.views import with_views
@@ -168,6 +168,16 @@ def _(v):
     return d.withColumn("mean_change", r6("mean_change")).withColumn("min_confidence", r6("min_confidence"))
 
 
+@query("H49_token_diff")
+def _(v):
+    return td.token_diff(pairs(v)).select("doc_id", *td.COUNTS)
+
+
+@query("H49_protection_checks")
+def _(v):
+    return td.protection_checks(pairs(v), ["doc_id"])
+
+
 @query("H49_timing_drift", with_views("hyp") + """, ed AS MATERIALIZED (SELECT session_id, turn, pos, max(start_ms) FILTER (engine=0) AS s0, max(end_ms) FILTER (engine=0) AS e0, max(start_ms) FILTER (engine=1) AS s1, max(end_ms) FILTER (engine=1) AS e1 FROM hyp GROUP BY 1,2,3),
  df AS (SELECT *, greatest(abs(s0-s1),abs(e0-e1)) AS drift FROM ed WHERE s0 IS NOT NULL AND s1 IS NOT NULL) SELECT session_id, turn, pos, drift, CASE WHEN drift/3e1<=15e-1 THEN 'minor' WHEN drift/3e1<=3 THEN 'moderate' ELSE 'severe' END AS severity FROM df WHERE drift>30""")
 def _(v):
