@@ -17,12 +17,6 @@ def text_pairs(v):
     return hs(v).select("session_id", "turn", "engine", "confidence", F.col("text").alias("hyp")).join(ref, ["session_id", "turn"])
 
 
-@query("H41_wer")
-def _(v):
-    d = op.wer(text_pairs(v).drop("confidence"))
-    return d.select("session_id", "turn", "engine", "hits", "subs", "dels", "ins", *[r6(c).alias(c) for c in ("wer", "mer", "wil", "wip")])
-
-
 NORM = r"trim(regexp_replace(regexp_replace(lower({x}),'[^\p{L}\p{N}_\s]','','g'),'\s+',' ','g'))"
 
 
@@ -30,6 +24,38 @@ def _norm(x):
     return "regexp_replace(" + NORM.replace("{x}", x) + ",'[^ -~]','?','g')"
 
 
+def _words(x):
+    n = NORM.replace("{x}", x)
+    return f"CASE WHEN {n}='' THEN [] ELSE string_split({n},' ') END"
+
+
+def edits_sql(pairs: str, keys: str) -> str:
+    """``we``: keys, n, m, hits, subs, dels, ins and rates of the rows (keys, ref, hyp) of the table ``pairs``: what both share at their
+    ends is cut off, then the table of edits row by row; an edit weighs 100000 and a substitution one more."""
+    shared = "coalesce(list_position(list_transform(range(1,least(len({a}),len({b}))+1), lambda i: {a}[i]={b}[i]),false)-1,least(len({a}),len({b})))"
+    return f""", t0 AS MATERIALIZED (SELECT {keys}, row_number() OVER () AS pid, {_words('ref')} AS a, {_words('hyp')} AS b FROM {pairs}), t1 AS (SELECT {keys}, pid, len(a) AS n, len(b) AS m, list_reverse(a[{shared.format(a='a', b='b')}+1:]) AS a, list_reverse(b[{shared.format(a='a', b='b')}+1:]) AS b FROM t0),
+ tp AS MATERIALIZED (SELECT {keys}, pid, n, m, a[{shared.format(a='a', b='b')}+1:] AS a, b[{shared.format(a='a', b='b')}+1:] AS b FROM t1), aw AS MATERIALIZED (SELECT pid, unnest(range(1,len(a)+1)) AS i, unnest(a) AS w FROM tp),
+ bw AS MATERIALIZED (SELECT pid, 0 AS j, CAST(NULL AS VARCHAR) AS w FROM tp UNION ALL SELECT pid, unnest(range(1,len(b)+1)), unnest(b) FROM tp), dp AS (SELECT pid, CAST(0 AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(j*100000 AS BIGINT) AS v FROM bw
+ UNION ALL SELECT pid, i, j, CAST(min(x) OVER (PARTITION BY pid ORDER BY j)+j*100000 AS BIGINT) FROM (SELECT dp.pid, aw.i, dp.j, least(v+100000, coalesce(lag(v) OVER (PARTITION BY dp.pid ORDER BY dp.j)+CASE WHEN bw.w=aw.w THEN 0 ELSE 100001 END, 1000000000000))-dp.j*100000 AS x
+  FROM dp JOIN aw ON aw.pid=dp.pid AND aw.i=dp.i+1 JOIN bw ON bw.pid=dp.pid AND bw.j=dp.j) q),
+ de AS MATERIALIZED (SELECT {keys}, n, m, v//100000 AS c, v%100000 AS subs FROM dp JOIN tp USING (pid) WHERE i=len(a) AND j=len(b)), dd AS (SELECT *, (c-subs+n-m)//2 AS dels FROM de),
+ we AS MATERIALIZED (SELECT *, n-subs-dels AS hits, c-subs-dels AS ins, c/greatest(n,1) AS wer, c/greatest(c+n-subs-dels,1) AS mer, (n-subs-dels)/greatest(n,1)*(n-subs-dels)/greatest(m,1) AS wip FROM dd)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+OWN = HS + ", own AS (SELECT hs.session_id, hs.turn, hs.engine, hs.confidence, seg.text AS ref, hs.text AS hyp FROM hs JOIN seg ON seg.session_id=hs.session_id AND seg.turn=hs.turn)"
+
+
+@query("H41_wer", recursive(OWN) + edits_sql("own", "session_id, turn, engine") + """ SELECT session_id, turn, engine, CAST(hits AS INTEGER) AS hits, CAST(subs AS INTEGER) AS subs, CAST(dels AS INTEGER) AS dels, CAST(ins AS INTEGER) AS ins,
+ round(wer,6) AS wer, round(mer,6) AS mer, round(1-wip,6) AS wil, round(wip,6) AS wip FROM we""")
+def _(v):
+    d = op.wer(text_pairs(v).drop("confidence"))
+    return d.select("session_id", "turn", "engine", "hits", "subs", "dels", "ins", *[r6(c).alias(c) for c in ("wer", "mer", "wil", "wip")])
+
+
 @query("H41_cer", HS + f" SELECT hs.session_id, hs.turn, engine, round(levenshtein({_norm('seg.text')},{_norm('hs.text')})/greatest(length({_norm('seg.text')}),1),6) AS cer FROM hs JOIN seg ON seg.session_id=hs.session_id AND seg.turn=hs.turn")
 def _(v):
     mask = lambda c: F.regexp_replace(op.clean_text(F.col(c)), "[^ -~]", "?")  # noqa: E731  (DuckDB counts bytes)
@@ -76,7 +102,12 @@ def _(v):
     return op.entity_accuracy(e, pred, ["doc_id"]).withColumn("accuracy", r6("accuracy"))
 
 
-@query("H43_ensemble_metrics")
+BOTH = recursive(OWN) + ", cross_pairs AS (SELECT x.session_id, x.turn, x.engine*10+y.engine AS engine, x.hyp AS ref, y.hyp AS hyp FROM own x JOIN own y ON x.session_id=y.session_id AND x.turn=y.turn AND x.engine<y.engine), ap AS (SELECT session_id, turn, engine, ref, hyp FROM own UNION ALL SELECT session_id, turn, 1000+engine, ref, hyp FROM cross_pairs)"
+
+
+@query("H43_ensemble_metrics", BOTH + edits_sql("ap", "session_id, turn, engine") + """, o AS (SELECT we.*, own.confidence FROM we JOIN own USING (session_id,turn,engine)), ac AS (SELECT session_id, engine, avg(wer) AS w FROM o GROUP BY 1,2), be AS (SELECT session_id, arg_min(engine,(w,engine)) AS best_engine, min(w) AS best_wer FROM ac GROUP BY 1),
+ ag AS (SELECT session_id, avg(greatest(0,1-wer)) AS agreement FROM we WHERE engine>=1000 GROUP BY 1), co AS (SELECT session_id, corr(confidence,1-wer) AS calibration FROM o GROUP BY 1)
+ SELECT session_id, best_engine, round(best_wer,6) AS best_wer, round(agreement,6) AS agreement, round(coalesce(CASE WHEN isfinite(calibration) THEN calibration END,0),6) AS calibration FROM be LEFT JOIN ag USING (session_id) JOIN co USING (session_id)""")
 def _(v):
     d = op.ensemble_metrics(text_pairs(v), ["session_id", "turn"])
     return d.select("session_id", "best_engine", *[r6(c).alias(c) for c in ("best_wer", "agreement", "calibration")])
