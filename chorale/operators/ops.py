@@ -131,3 +131,55 @@ def lineage(edges: DataFrame, roots: DataFrame, fold: int = 16) -> DataFrame:
         if depth % fold == 0:
             known = cut_lineage(known)
     return known
+
+
+def cycles(edges: DataFrame, keys: list[str], steps: int = 3) -> DataFrame:
+    """Artifacts that depend on themselves: keys, name, cycle (the least name of the strongly connected component), size.
+
+    ``edges``: keys, name, input.  Edges that no cycle can use (nothing comes in, or nothing goes out) are trimmed first.  Then every node takes the
+    greatest name that reaches it as its colour; of the nodes of one colour, those that reach the one the colour is named after are a component.
+    Components leave the graph and the rest goes on.  Every join is by (keys, name), ``steps`` of them between two checkpoints; only counts come to
+    the driver.
+    """
+    keys = list(keys)
+    e = cut_lineage(edges.where("name is not null and input is not null").select(*keys, F.col("name").alias("a"), F.col("input").alias("b")).distinct())
+    loops = e.where("a = b").select(*keys, F.col("a").alias("name"), F.lit(True).alias("self"))
+    found, left = None, e.count()
+    while left:
+        before = left + 1
+        while left and left < 0.9 * before or before == left + 1:  # as long as trimming takes a tenth away
+            before = left
+            e = cut_lineage(e.join(e.select(*keys, F.col("a").alias("b")).distinct(), [*keys, "b"], "left_semi").join(e.select(*keys, F.col("b").alias("a")).distinct(), [*keys, "a"], "left_semi").select(*keys, "a", "b"))
+            left = e.count()
+        if not left:
+            break
+        nodes = e.select(*keys, F.col("a").alias("name")).union(e.select(*keys, "b")).distinct()
+        colour = settled(nodes.withColumn("c", F.col("name")), lambda d: d.select(*keys, "name", "c").unionByName(
+            d.join(e.select(*keys, F.col("a").alias("name"), "b"), [*keys, "name"]).select(*keys, F.col("b").alias("name"), "c")).groupBy(*keys, "name").agg(F.max("c").alias("c")), keys, steps)
+        inner = e.join(colour.select(*keys, F.col("name").alias("a"), F.col("c").alias("ca")), [*keys, "a"]).join(colour.select(*keys, F.col("name").alias("b"), F.col("c").alias("cb")), [*keys, "b"]).where("ca = cb")
+        inner = cut_lineage(inner.select(*keys, F.col("b").alias("name"), "a", "ca"))
+        members = settled(colour.where("name = c"), lambda d: d.unionByName(d.join(inner, [*keys, "name"]).select(*keys, F.col("a").alias("name"), F.col("ca").alias("c"))).distinct(), keys, steps)
+        found = members if found is None else found.unionByName(members)
+        gone = members.select(*keys, "name")
+        for side in ("a", "b"):
+            e = e.join(gone.withColumnRenamed("name", side), [*keys, side], "left_anti")
+        e = cut_lineage(e.select(*keys, "a", "b"))
+        left = e.count()
+    if found is None:
+        return loops.select(*keys, "name", F.col("name").alias("cycle"), F.lit(1).cast("bigint").alias("size")).limit(0)
+    groups = found.groupBy(*keys, "c").agg(F.min("name").alias("cycle"), F.count("*").alias("size"))
+    d = found.join(groups, [*keys, "c"]).join(loops, [*keys, "name"], "left")
+    return d.where("size > 1 or self").select(*keys, "name", "cycle", "size")
+
+
+def settled(d: DataFrame, step, keys: list[str], steps: int) -> DataFrame:
+    """Apply ``step`` until the rows (keys, name, c) stay the same."""
+    state = None
+    while True:
+        for _ in range(steps):
+            d = step(d)
+        d = cut_lineage(d)
+        now = d.agg(F.count("*"), F.sum(F.xxhash64(*keys, "name", "c").cast("decimal(38,0)"))).first()
+        if now == state:
+            return d
+        state = now

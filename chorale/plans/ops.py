@@ -122,3 +122,9 @@ def _(v):
     edges = v.table("lineitem").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("input")).distinct()
     roots = v.table("nation").select(F.col("n_nationkey").cast("bigint").alias("name"))
     return op.lineage(edges, roots).select("root", "name")
+
+
+@query("H52_cycles", ART.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT run_id, name, input FROM ed), r AS (SELECT run_id, name, input FROM e UNION SELECT r.run_id, r.name, e.input FROM r JOIN e ON e.run_id=r.run_id AND e.name=r.input)
+ SELECT x.run_id, x.name, min(y.name) AS cycle, count(DISTINCT y.name) AS size FROM r x JOIN r y ON x.run_id=y.run_id AND x.name=y.input AND x.input=y.name GROUP BY 1,2""")
+def _(v):
+    return op.cycles(artifacts(v)[1], ["run_id"])
