@@ -109,25 +109,49 @@ def resolve_confusions(v: DataFrame, slot: list[str] = SLOT, minimum: float = 0.
     return first_by(k, slot, [-F.col("score"), F.col("key")], ["key", "score"]).withColumnRenamed("key", "word")
 
 
+def slot_votes(v: DataFrame, slot: list[str] = SLOT, minimum: float = 0.1) -> DataFrame:
+    """What ``slot_quality``, ``slot_consensus`` and ``resolve_confusions`` say of a slot, and the votes for its commonest number, in one
+    aggregation.  A slot holds at most one variant of each candidate, so its variants fit into an array."""
+    digits = F.transform(F.regexp_extract_all("word", F.lit("([0-9]+)"), F.lit(1)), lambda d: F.regexp_replace(d, "^0+([0-9])", "$1"))
+    sec = lambda c: F.col(c) / 1000.0
+    q = v.groupBy(*slot).agg(
+        F.count("*").alias("variants"), F.var_pop(sec("start_ms")).alias("vs"), F.var_pop(sec("end_ms")).alias("ve"), F.var_pop("confidence").alias("vc"),
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.avg("confidence").alias("cavg"),
+        F.collect_list(F.struct("key", "confidence")).alias("_v"), F.flatten(F.collect_list(F.when(F.col("word").rlike("[0-9]"), digits))).alias("_d"))
+
+    def counted(key: Column) -> Column:
+        mine = F.filter("_v", lambda x: x["key"] == key)
+        good = F.filter(mine, lambda x: x["confidence"] >= minimum)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x["confidence"])
+        return F.struct(F.size(mine).alias("n"), total(mine).alias("c"), F.size(good).alias("gn"), total(good).alias("gc"))
+
+    q = q.withColumn("_k", F.transform(F.array_distinct(F.transform("_v", lambda x: x["key"])), counted))
+    n = F.col("variants")
+    q = q.withColumn("words", F.size("_k")).withColumn("top", F.array_max(F.transform("_k", lambda x: x["n"]))) \
+        .withColumn("_g", F.aggregate("_k", F.lit(0), lambda acc, x: acc + x["gn"]))
+    vote = lambda c, m, t: F.round(0.7 * c / m + 0.3 * m / t, 9)
+    strong = F.array_max(F.transform(F.filter("_k", lambda x: x["gn"] > 0), lambda x: vote(x["gc"], x["gn"], F.col("_g"))))
+    consensus = F.array_max(F.transform("_k", lambda x: vote(x["c"], x["n"], n)))
+    steady = 0.4 / (1.0 + F.sqrt(F.col("vs") + F.col("ve"))) + 0.3 / (1.0 + F.col("vc")) + 0.3 * (F.col("top") / n)
+    return q.select(
+        *slot, "variants", "words", "top", "start_ms", "end_ms", "cavg", consensus.alias("consensus"),
+        F.when(F.col("words") > 1, F.when(F.col("_g") > 0, strong).otherwise(consensus)).alias("resolved"),
+        F.size(F.filter("_k", lambda x: x["n"] == F.col("top"))).alias("tied"),
+        F.array_max(F.transform(F.array_distinct("_d"), lambda d: F.size(F.filter("_d", lambda x: x == d)))).alias("number_votes"),
+        F.when(n <= 1, 1.0).otherwise(F.least(F.lit(1.0), steady)).alias("quality"))
+
+
 def alignment_metrics(v: DataFrame, keys: list[str], slot: list[str] = SLOT) -> DataFrame:
     """Per session: perfect slots, confusion counts and gains, oscillation, numbers, coverage, overall confidence."""
-    q = slot_quality(v, slot)
-    cons = slot_consensus(v, slot).select(*slot, F.col("score").alias("consensus"))
-    res = resolve_confusions(v, slot).select(*slot, F.col("score").alias("resolved"))
-    digits = F.regexp_extract_all("word", F.lit("([0-9]+)"), F.lit(1))
-    num = v.where(F.col("word").rlike("[0-9]")).select(*slot, F.explode(digits).alias("d")) \
-        .withColumn("d", F.regexp_replace("d", "^0+([0-9])", "$1")).groupBy(*slot, "d").agg(F.count("*").alias("k")) \
-        .groupBy(*slot).agg(F.max("k").alias("number_votes"))
-    s = q.join(cons, slot).join(res, slot, "left").join(num, slot, "left")
+    s = slot_votes(v, slot)
     conf, spread = F.col("words") > 1, (F.col("end_ms") - F.col("start_ms")) / 1000.0
     m = s.groupBy(*keys).agg(
         F.count("*").alias("slots"), F.count(F.when(~conf, 1)).alias("perfect"), F.count(F.when(conf, 1)).alias("confusions"),
         F.count("resolved").alias("resolved"), F.avg(F.when(conf & (spread > 0), spread)).alias("spread"),
         F.avg(F.col("resolved") - F.col("cavg")).alias("gain"), F.count(F.when(conf & (F.col("tied") > 1), 1)).alias("oscillating"),
         F.count("number_votes").alias("numeric"), F.count(F.when(F.col("number_votes") >= F.col("variants") * 0.6, 1)).alias("numeric_ok"),
-        F.sum(spread).alias("covered"), F.avg("quality").alias("quality"), F.avg("consensus").alias("consensus"))
-    total = v.groupBy(*keys).agg((F.max("end_ms") / 1000.0).alias("duration"))
-    d = m.join(total, keys)
+        F.sum(spread).alias("covered"), (F.max("end_ms") / 1000.0).alias("duration"), F.avg("quality").alias("quality"), F.avg("consensus").alias("consensus"))
+    d = m
     some = F.col("confusions") > 0
     rate = F.col("resolved") / F.greatest("confusions", F.lit(1))
     d = d.withColumn("coverage", F.when(F.col("duration") > 0, F.col("covered") / F.col("duration")).otherwise(0.0)) \
