@@ -8,6 +8,7 @@ from chorale.functions.strings import seq_ratio, set_jaccard
 from chorale.operators.fold import fold_sorted
 from chorale.operators.skew import attach, first_by, interval_join, overlap_islands, scan_over, top_n
 from chorale.operators.turns import KEY, _bucket
+from chorale.session import cut_lineage
 
 # fixed values: level -> minimum final, d, a, l, r, o, segment confidence, outlier width in standard deviations
 LEVELS = {
@@ -112,14 +113,16 @@ def uncertain_spans(segments: DataFrame, unit: float, width: float, entropy_min:
     ``segments``: session_id, id, start, end, text, confidence.
     """
     d = overlap_islands(segments, KEY, "start", "end", ["id"], width, 0.5 * unit, ).withColumnRenamed("island", "grp")
+    d = cut_lineage(d.select(*KEY, "grp", "id", "start", "end", "text", "confidence"))  # read by three aggregations
     g = [*KEY, "grp"]
     base = d.groupBy(*g).agg(
         F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("text").alias("texts"),
         (F.max("confidence") - F.min("confidence")).alias("gap")).where("n > 1")
     words = d.select(*g, "id", F.posexplode(F.split(F.trim(F.lower("text")), r"\s+")).alias("p", "w"))
-    counts = words.groupBy(*g, "w").agg(F.count("*").alias("c"))
+    placed = words.groupBy(*g, "p", "w").agg(F.count("*").alias("c"))
+    counts = placed.groupBy(*g, "w").agg(F.sum("c").alias("c"))
     ent = counts.groupBy(*g).agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
-    per_pos = words.groupBy(*g, "p").agg(F.countDistinct("w").alias("k"), F.count("*").alias("held")).join(base.select(*g, "n"), g)
+    per_pos = placed.groupBy(*g, "p").agg(F.count("*").alias("k"), F.sum("c").alias("held")).join(base.select(*g, "n"), g)
     dis = per_pos.groupBy(*g).agg(F.avg(F.when((F.col("k") > 1) | (F.col("held") < F.col("n")), 1.0).otherwise(0.0)).alias("disagreement"))
     s = base.join(ent, g).join(dis, g).withColumn("gap", F.round("gap", 9))
     cross = F.round(F.least(F.lit(1.0), (F.col("texts") - 1) * 0.3 + F.col("gap") * 0.4 + F.col("disagreement") * 0.3), 9)
@@ -128,7 +131,7 @@ def uncertain_spans(segments: DataFrame, unit: float, width: float, entropy_min:
         F.when((F.col("texts") > 1) & (cross >= score_min) & (F.col("gap") >= gap_min), F.struct(F.lit("disagreement").alias("method"), cross.alias("score"), F.lit(0.0).alias("e"))),
         F.when(F.col("entropy") >= entropy_min, F.struct(F.lit("entropy").alias("method"), F.least(F.lit(1.0), F.col("entropy") / 5.0).alias("score"), F.col("entropy").alias("e"))),
         F.when(F.col("gap") >= gap_min, F.struct(F.lit("confidence_gap").alias("method"), F.least(F.lit(1.0), F.col("gap") / 0.5).alias("score"), F.lit(0.0).alias("e")))))
-    spans = s.where(long_enough).select(*KEY, "grp", "start", "end", "gap", F.inline(found))
+    spans = cut_lineage(s.where(long_enough).select(*KEY, "grp", "start", "end", "gap", F.inline(found)))  # few rows, scanned four times
     merged = overlap_islands(spans, KEY, "start", "end", ["method"], width, 0.5 * unit, ).groupBy(*KEY, "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.max("e").alias("entropy"),
         F.max("gap").alias("gap"), F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"))
