@@ -7,7 +7,7 @@ from chorale.functions.numeric import r6
 from chorale.operators import calibration as cal, terms as tm
 from chorale.plans.consensus import CONTEXT_SQL, _UNPIVOT, in_context
 from chorale.plans.evaluate import ECE
-from chorale.plans.io import new_folder
+from chorale.plans.io import WIN, new_folder
 from chorale.plans.registry import query
 from chorale.plans.terms import TB, base_and_session, deny
 from chorale.streaming import metrics as st, replay as rp
@@ -81,3 +81,17 @@ def _(v):
     marker = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/base/version=3/_SUCCESS")
     marker.getFileSystem(v.spark._jsc.hadoopConfiguration()).delete(marker, False)
     return rp.read_snapshot(v.spark, f"{folder}/base").groupBy("project_id", "status").agg(F.count("*").alias("n"), r6(F.sum("mean")).alias("mean"))
+
+
+@query("I1_metric_stream", WIN + " SELECT name, CAST(epoch(ws) AS BIGINT) AS start, n, round(av,6) AS avg, round(sm,6) AS sum, mx AS max, mn AS min, round(p95,6) AS p95, round(p99,6) AS p99 FROM q")
+def _(v):
+    """Three deliveries in order of time, and one value long after them that closes every window."""
+    d = v.metric
+    span = d.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    third = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(span.a))) * 3 / (F.unix_micros(F.lit(span.b)) - F.unix_micros(F.lit(span.a)) + 1)), F.lit(2))
+    end = d.select(F.max(F.col("event_id")).alias("event_id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("~end").alias("name"), F.lit("~").alias("component"), F.lit(0.0).alias("value"))
+    rows = d.withColumn("slot", third).unionByName(end.withColumn("slot", F.lit(3).cast("bigint")))
+    folder = new_folder(v)
+    rp.deliver(rows, F.col("slot"), range(4), folder, lambda s: st.metric_windows_final(s, "86400 seconds", "8640 seconds", "1 hour"), rp.twice(rp.window_batches(f"{folder}/out")))
+    w = v.spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    return w.select("name", F.unix_timestamp("start").alias("start"), "n", "max", "min", *[r6(c).alias(c) for c in ("avg", "sum", "p95", "p99")])

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chorale.operators.calibration import merge_moments, CONTEXT, score_statistics
 from chorale.operators.evaluate import calibration_alerts
@@ -31,7 +31,7 @@ def definitions(spark: SparkSession) -> DataFrame:
 
 def metric_windows(events: DataFrame, size: str = "300 seconds", step: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
     """Sliding aggregates; values later than ``late`` are dropped by the watermark.  p95 is approximate here and only
-    used from 20 values, p99 from 100, the maximum before that."""
+    used from 20 values, p99 from 100, the maximum before that; it can be updated before a window closes.  ``metric_windows_final`` waits and is exact."""
     n, v = F.count("*"), F.col("value")
     d = events.withWatermark("ts", late) if events.isStreaming else events
     w = d.groupBy("name", F.window("ts", size, step).alias("w")).agg(
@@ -62,6 +62,34 @@ def metric_windows_exact(events: DataFrame, size: str, step: str) -> DataFrame:
                                F.when(F.col("n") >= 100, F.col("q99")).otherwise(F.col("max")).alias("p99"))
 
 
+def metric_windows_final(events: DataFrame, size: str = "300 seconds", step: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
+    """Closed sliding windows with exact quantiles, as ``metric_windows_exact`` gives them, for append mode and for batches.
+
+    Two aggregations with state: events are counted by value, which merges over any number of batches, and when the watermark closes a window
+    its counts come together.  A window's state is its distinct values.
+    """
+    d = events.withWatermark("ts", late) if events.isStreaming else events
+    h = d.groupBy("name", F.window("ts", size, step).alias("w"), "value").agg(F.count("*").alias("c"))
+    c, v = F.col("c"), F.col("value")
+    m = h.groupBy("name", "w").agg(F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("avg"), F.sum(c * v).alias("sum"), F.max("value").alias("max"), F.min("value").alias("min"),
+                                   F.sort_array(F.collect_list(F.struct("value", "c"))).alias("h"))
+
+    def at(p: float) -> Column:
+        pos = (F.col("n") + 1) * p
+        lo = F.floor(pos)
+        none = F.lit(None).cast("double")
+
+        def step_on(acc: Column, x: Column) -> Column:
+            cum = acc["cum"] + x["c"]
+            return F.struct(cum.alias("cum"), F.coalesce(acc["low"], F.when(cum >= lo, x["value"])).alias("low"), F.coalesce(acc["high"], F.when(cum >= lo + 1, x["value"])).alias("high"))
+
+        found = F.aggregate("h", F.struct(F.lit(0).cast("bigint").alias("cum"), none.alias("low"), none.alias("high")), step_on)
+        return found["low"] + (pos - lo) * (F.coalesce(found["high"], found["low"]) - found["low"])
+
+    return m.select("name", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "avg", "sum", "max", "min", F.when(F.col("n") >= 20, at(0.95)).otherwise(F.col("max")).alias("p95"),
+                    F.when(F.col("n") >= 100, at(0.99)).otherwise(F.col("max")).alias("p99"))
+
+
 def alerts(events: DataFrame, defs: DataFrame, late: str = "5 minutes") -> DataFrame:
     """One alert per metric, component and second: the first severity whose threshold is crossed.
 
