@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chorale.operators.skew import attach, first_by, interval_join, islands, overlap_islands, scan_over
+from chorale.session import cut_lineage
 
 KEY = ["session_id"]
 
@@ -369,30 +370,42 @@ def smooth_turns(turns: DataFrame, tick: int, width: float, size: int = 5, ratio
                  per_bucket: int = 100_000) -> DataFrame:
     """Grid of ticks, most confident active speaker per tick, majority filter over ``size`` ticks, back to runs.
 
-    Ticks are numbered without a per-session task, and each index bucket gets a halo of its neighbours' ticks, so
-    the frame ``rowsBetween(-half, half)`` never has to see a whole session.
+    No row per tick: between two turn edges the same turns are active, so such a cell has one speaker, and the filter can
+    change only ticks within half a window of a cell's ends.  Those are laid out, four half windows a cell at most; the inside
+    of a cell stays one row.  The cost follows the number of turns, however fine the grid.  Ticks count on over gaps without a
+    turn; each bucket of ticks gets a halo of its neighbours', so no window sees a whole session.
     """
+    half = size // 2
     first = turns.groupBy(*KEY).agg(F.min("start").alias("origin"))
-    step = turns.join(first, KEY)
     lo = F.ceil((F.col("start") - F.col("origin")) / tick)
-    hi = F.floor((F.col("end") - F.col("origin")) / tick)
-    points = step.where(hi >= lo).select(*KEY, "start", "id", "speaker", "confidence", F.explode(F.sequence(lo, hi)).alias("tick"))
-    active = first_by(points, [*KEY, "tick"], [-F.col("confidence"), F.col("start"), F.col("id")], ["speaker"])
-    line = scan_over(active, KEY, ["tick"], _bucket("tick", width), upto={"n": ("sum", F.lit(1).cast("bigint"))})
-    half = size // 2
+    hi = F.floor((F.col("end") - F.col("origin")) / tick) + 1
+    ranges = turns.join(first, KEY).select(*KEY, F.col("start").alias("at"), "id", "speaker", "confidence", lo.alias("lo"), hi.alias("hi")).where("hi > lo")
+    edges = ranges.select(*KEY, F.col("lo").alias("start"), F.col("hi").alias("end"))
+    cells = elementary_intervals(edges, 1, width, 0.0).where("end > start").select(*KEY, F.col("start").alias("c0"), F.col("end").alias("c1"))
+    active = first_by(interval_join(cells, ranges, KEY, ("c0", "c1"), ("lo", "hi"), width).where("lo < c1 and hi > c0"), [*KEY, "c0", "c1"], [-F.col("confidence"), F.col("at"), F.col("id")], ["speaker"])
+    cells = scan_over(active.withColumn("len", F.col("c1") - F.col("c0")), KEY, ["c0"], _bucket("c0", width), before={"skip": ("sum", F.col("len"))})
+    cells = cut_lineage(cells.select(*KEY, "c0", "len", "speaker", (F.coalesce("skip", F.lit(0)) + 1).alias("n0")))
+
+    last = F.col("len") - 1
+    near = F.when(F.col("len") <= 4 * half, F.sequence(F.lit(0).cast("bigint"), last)).otherwise(
+        F.concat(F.sequence(F.lit(0).cast("bigint"), F.lit(2 * half - 1).cast("bigint")), F.sequence(F.col("len") - 2 * half, last)))
+    points = cells.select("*", F.explode(near).alias("o")).select(
+        *KEY, (F.col("n0") + F.col("o")).alias("n"), (F.col("c0") + F.col("o")).alias("tick"), "speaker", ((F.col("o") < half) | (F.col("o") >= F.col("len") - half)).alias("open"))
     own = F.floor(F.col("n") / per_bucket)
-    halo = line.withColumn("own", own).withColumn("b", F.explode(F.array_distinct(F.array(
+    halo = points.withColumn("own", own).withColumn("b", F.explode(F.array_distinct(F.array(
         F.floor((F.col("n") - half) / per_bucket), own, F.floor((F.col("n") + half) / per_bucket)))))
     w = Window.partitionBy(*KEY, "b").orderBy("n").rowsBetween(-half, half)
     votes = F.collect_list("speaker").over(w)
-    d = halo.withColumn("votes", votes).where("b = own")
+    d = halo.withColumn("votes", votes).where("b = own and open")
     major = F.filter(F.array_distinct("votes"), lambda s: F.size(F.filter("votes", lambda v: v == s)) / F.size("votes") >= ratio)
-    d = d.select(*KEY, "tick", "n", F.coalesce(F.try_element_at(major, F.lit(1)), F.col("speaker")).alias("speaker"))
+    ends = d.select(*KEY, "n", "tick", F.lit(1).cast("bigint").alias("ticks"), F.coalesce(F.try_element_at(major, F.lit(1)), F.col("speaker")).alias("speaker"))
+    inside = cells.where(F.col("len") > 2 * half).select(*KEY, (F.col("n0") + half).alias("n"), (F.col("c0") + half).alias("tick"), (F.col("len") - 2 * half).alias("ticks"), "speaker")
+    d = cut_lineage(ends.unionByName(inside))
     b = _bucket("n", per_bucket)
     d = scan_over(d, KEY, ["n"], b, lag={"p": F.col("speaker")}, lead={"next_tick": F.col("tick")})
     d = islands(d, KEY, ["n"], b, F.col("p").isNull() | (F.col("p") != F.col("speaker")), "run")
     runs = d.groupBy(*KEY, "run", "speaker").agg(
-        F.min("tick").alias("t0"), F.max_by(F.coalesce("next_tick", "tick"), "n").alias("t1"), F.count("*").alias("ticks"))
+        F.min("tick").alias("t0"), F.max_by(F.coalesce("next_tick", F.col("tick") + F.col("ticks") - 1), "n").alias("t1"), F.sum("ticks").alias("ticks"))
     return runs.join(first, KEY).select(
         *KEY, F.col("run").alias("id"), "speaker", (F.col("origin") + F.col("t0") * tick).alias("start"),
         (F.col("origin") + F.col("t1") * tick).alias("end"), "ticks")
