@@ -120,13 +120,16 @@ def preparer(model: dict):
     return prepare
 
 
+#: Ids that are decoded together.
+DECODED = 200_000
+
+
 class Codec:
     """Encode texts to ids and back."""
 
     def __init__(self, path: str):
         model = read_model(path)
         self.made, self.prepare = build(model), preparer(model)
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in model["pieces"]]
         self.prefix = model["prefix"]
         self.control = {i for i, p in enumerate(model["pieces"]) if p[2] == CONTROL}
         self.known = IdTable(lambda pieces: [e.ids for at in range(0, len(pieces), 5000) for e in self.made.encode_batch_fast(pieces[at : at + 5000], add_special_tokens=False)])
@@ -138,11 +141,16 @@ class Codec:
         """By the library's decoder."""
         return self.made.decode_batch([[i for i in x if i not in self.control] for x in ids], skip_special_tokens=False)
 
-    def joined(self, ids: list[int]) -> bytes:
-        """The bytes of the pieces, without the marker put before a text: what decoding gives where ids come from a text."""
-        data = b"".join(map(self.bytes_of.__getitem__, ids))
-        return data[1:] if self.prefix and data[:1] == b" " else data
-
+    def decode_bounded(self, ids: list[np.ndarray]) -> Iterator[str]:
+        """`decode` of many texts, some DECODED ids at a time."""
+        held, size = [], 0
+        for x in ids:
+            held.append(x.tolist())
+            size += len(x)
+            if size >= DECODED:
+                yield from self.decode(held)
+                held, size = [], 0
+        yield from self.decode(held) if held else ()
 
     def plain(self, text: str) -> bytes:
         """The normalised text, as decoding should give it back."""
@@ -189,7 +197,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = codec.encode(texts)
-            same = [codec.joined(x.tolist()) == codec.plain(t) for t, x in zip(texts, ids, strict=True)]
+            same = [back.encode() == codec.plain(t) for t, back in zip(texts, codec.decode_bounded(ids), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "same"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, same boolean")
