@@ -5,18 +5,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that share the bounded sample.
+LEARNERS = 16
+
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:
     """doc_id, text, label (0/1) of at most about `most` labelled rows that `learn` admits: an even sample by hash of the id.
 
-    Equal texts are taken once. `most` bounds what the fit reads, whatever the size of the table.
+    Equal texts are taken once, with the label of the smallest id; rows that share that id take the larger label. The choice depends on ids and texts
+    alone, so a task that runs again learns from the same rows. `most` bounds what the fit reads, whatever the size of the table.
     """
     # one label for each document; where labels of a document differ, the larger
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     n = marks.count()
-    if n > most:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id").dropDuplicates(["text"]).limit(most)
+    if n > most:  # the same rows every time; four deviations below `most`, so that the sample does not exceed it
+        marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int((most - 4 * most**0.5) / n * (1 << 20)))
+    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
+    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("d"))
+    return first.select("d.doc_id", "text", "d.label").repartition(LEARNERS, "doc_id")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

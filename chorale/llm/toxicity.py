@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([shared.value.weigh(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("label")], names=["weight", "label"])
 
-    points = rows.mapInArrow(run, "weight double, label int").collect()
+    points = sorted(rows.mapInArrow(run, "weight double, label int").collect())  # in one order, so that sums do not depend on tasks
     y = np.array([p["label"] for p in points], float)
     if 0 < y.sum() < len(y):
         model.line = fit_logistic(np.log1p([p["weight"] for p in points]), y)
