@@ -9,6 +9,7 @@ from chorale.functions.strings import edit_sim, set_jaccard
 from chorale.operators.fold import fold_sorted
 from chorale.operators.skew import attach, first_by, interval_join, scan_over, top_n
 from chorale.operators.turns import KEY, _bucket, elementary_intervals
+from chorale.session import cut_lineage
 
 # fixed values: WER % by scenario, DER %, entity %, calibration, processing ratio (normal, challenging)
 HARD = ["challenging_diarization", "challenging_asr", "challenging_audio"]
@@ -94,7 +95,7 @@ def overlap_wer(ref: DataFrame, hyp: DataFrame, regions: DataFrame, width: float
 
 def _activity(ref: DataFrame, hyp: DataFrame, unit: float, width: float) -> DataFrame:
     edges = ref.select(*KEY, "start", "end").unionByName(hyp.select(*KEY, "start", "end"))
-    cells = elementary_intervals(edges, unit, width, 0.0).where("end > start").select(*KEY, F.col("start").alias("c0"), F.col("end").alias("c1"))
+    cells = cut_lineage(elementary_intervals(edges, unit, width, 0.0).where("end > start").select(*KEY, F.col("start").alias("c0"), F.col("end").alias("c1")))  # read for both sides
 
     def active(d: DataFrame, name: str) -> DataFrame:
         near = interval_join(cells, d.select(*KEY, "speaker", "start", "end"), KEY, ("c0", "c1"), ("start", "end"), width).where("start < c1 and end > c0")
@@ -105,7 +106,10 @@ def _activity(ref: DataFrame, hyp: DataFrame, unit: float, width: float) -> Data
 
 def der_parts(ref: DataFrame, hyp: DataFrame, unit: float, width: float) -> DataFrame:
     """Missed and false-alarm speaker time over reference speaker time, from active-speaker counts per elementary interval."""
-    r, h = _activity(ref, hyp, unit, width)
+    return _time_parts(*_activity(ref, hyp, unit, width), unit)
+
+
+def _time_parts(r: DataFrame, h: DataFrame, unit: float) -> DataFrame:
     k = [*KEY, "c0", "c1"]
     n = r.groupBy(*k).agg(F.count("*").alias("nr")).join(h.groupBy(*k).agg(F.count("*").alias("nh")), k, "full_outer")
     nr, nh, dur = F.coalesce("nr", F.lit(0)), F.coalesce("nh", F.lit(0)), (F.col("c1") - F.col("c0")) / unit
@@ -129,7 +133,7 @@ def der(ref: DataFrame, hyp: DataFrame, unit: float, width: float) -> DataFrame:
 
     matched = shared.groupBy(*KEY).applyInPandas(best, "session_id bigint, correct double")
     counts = ref.groupBy(*KEY).agg(F.countDistinct("speaker").alias("rn")).join(hyp.groupBy(*KEY).agg(F.countDistinct("speaker").alias("hn")), KEY, "left")
-    d = der_parts(ref, hyp, unit, width).join(matched, KEY, "left").join(counts, KEY)
+    d = _time_parts(r, h, unit).join(matched, KEY, "left").join(counts, KEY)
     confusion = F.col("both") - F.coalesce("correct", F.lit(0.0))
     ok = F.col("reference") > 0
     return d.select(

@@ -100,7 +100,8 @@ def assign_speakers(words: DataFrame, turns: DataFrame, unit: float, width: floa
         (F.count(F.when(ratio > 0.3, 1)) >= 2).alias("conflict"),
     ).select(*KEY, "word_id", "best.turn_id", "best.speaker", F.least(F.lit(1.0), F.col("ratio") * 1.2).alias("confidence"),
              "candidates", "conflict", F.lit(False).alias("gap"))
-    lost = words.join(hit, [*KEY, "word_id"], "left_anti")
+    hit = cut_lineage(hit)  # half of the result, and what tells the unmatched words
+    lost = cut_lineage(words.join(hit, [*KEY, "word_id"], "left_anti"))  # few words, read by both scans and the last join
 
     def edge(word_time: str, turn_time: str, kind: int) -> DataFrame:
         tie = -F.col("turn_id") if kind == 0 else F.col("turn_id")
