@@ -57,6 +57,20 @@ def _(v):
     return d.select("session_id", "candidate_id", r6("final").alias("final"), r6("confidence").alias("confidence"), "tied")
 
 
+TWINS = SCORED + """, tw AS (SELECT session_id, candidate_id, final, a, r, CAST(supplier_id%7 AS DOUBLE) AS sw FROM sc UNION ALL SELECT session_id, concat(candidate_id,'-b'), final, a, r, CAST((supplier_id*3+1)%7 AS DOUBLE) FROM sc),
+ tt AS (SELECT *, max(final) OVER (PARTITION BY session_id) AS top FROM tw QUALIFY top-final<1e-3), ta AS (SELECT *, max(a) OVER (PARTITION BY session_id) AS e FROM tt QUALIFY e-a<1e-3), tr AS (SELECT * EXCLUDE (e), max(r) OVER (PARTITION BY session_id) AS e2 FROM ta QUALIFY abs(e2-r)<1e-3),
+ ts AS (SELECT *, min(sw) OVER (PARTITION BY session_id) AS e3 FROM tr QUALIFY abs(e3-sw)<1e-1), tn AS (SELECT session_id, count(*) AS tied, max(top) AS confidence FROM tt GROUP BY 1)"""
+
+
+@query("F1_best_candidate_switches", TWINS + """ SELECT session_id, candidate_id, round(final,6) AS final, round(confidence,6) AS confidence, tied FROM ts JOIN tn USING (session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY candidate_id)=1""")
+def _(v):
+    """Every candidate has a twin with the same scores, so speaker switches an hour decide."""
+    d = scored(v)
+    twins = d.withColumn("candidate_id", F.concat("candidate_id", F.lit("-b"))).withColumn("switches_per_hour", ((F.col("supplier_id") * 3 + 1) % 7).cast("double"))
+    best = con.best_candidate(d.withColumn("switches_per_hour", (F.col("supplier_id") % 7).cast("double")).unionByName(twins))
+    return best.select("session_id", "candidate_id", r6("final").alias("final"), r6("confidence").alias("confidence"), "tied")
+
+
 @query("F1_best_candidate_lexical", SCORED + """ SELECT session_id, candidate_id, round(final,6) AS final,
  count(*) OVER (PARTITION BY session_id) AS tied FROM (SELECT *, max(final) OVER (PARTITION BY session_id) AS top FROM sc)
  WHERE top-final < 1e-3 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY final DESC, candidate_id)=1""")
