@@ -62,7 +62,13 @@ def _(v):
     return text_pairs(v).select("session_id", "turn", "engine", r6(op.cer(mask("ref"), mask("hyp"))).alias("cer"))
 
 
-@query("H41_overlap_wer")
+REGIONS = recursive(with_views("hyp")) + """, rg AS (SELECT session_id, turn AS region_id, start_ms+1000 AS r0, start_ms+9000 AS r1 FROM seg),
+ rt AS (SELECT rg.session_id, region_id, string_agg(word,' ' ORDER BY w.start_ms, w.turn*4294967296+w.pos) AS ref FROM rg JOIN word w ON w.session_id=rg.session_id AND w.start_ms<r1 AND w.end_ms>r0 GROUP BY 1,2),
+ ht AS (SELECT rg.session_id, region_id, string_agg(word,' ' ORDER BY w.start_ms, w.turn*4294967296+w.pos) AS hyp FROM rg JOIN hyp w ON w.session_id=rg.session_id AND w.start_ms<r1 AND w.end_ms>r0 AND w.engine=1 GROUP BY 1,2),
+ rh AS (SELECT session_id, region_id, coalesce(ref,'') AS ref, coalesce(hyp,'') AS hyp FROM rt FULL JOIN ht USING (session_id, region_id))"""
+
+
+@query("H41_overlap_wer", REGIONS + edits_sql("rh", "session_id, region_id") + """ SELECT session_id, region_id, CAST(hits AS INTEGER) AS hits, CAST(subs AS INTEGER) AS subs, CAST(dels AS INTEGER) AS dels, CAST(ins AS INTEGER) AS ins, round(wer,6) AS wer FROM we""")
 def _(v):
     ref = v.word.select("session_id", (F.col("turn") * WORDS + F.col("pos")).alias("word_id"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "word")
     hyp = hyp_words(v, 1).select("session_id", "word_id", "start", "end", "word")
