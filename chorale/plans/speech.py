@@ -58,9 +58,19 @@ def _(v):
                                                   F.sum(F.length("entity")).alias("chars"))
 
 
-@query("B4_entity_spans")
+def _span_sql(at, kind, pattern):
+    p = f"'(?s)(.*?)((?i){pattern.replace(chr(39), chr(39) * 2)})'"
+    return f"SELECT doc_id, {at} AS rule, '{kind}' AS entity_type, unnest(regexp_extract_all(text,{p},1)) AS gap, unnest(regexp_extract_all(text,{p},2)) AS entity, generate_subscripts(regexp_extract_all(text,{p},2),1) AS i FROM norm"
+
+
+_CONTEXT = " ".join(f"WHEN '{kind}' THEN regexp_matches(before,'{'|'.join(words)}')" for kind, words in ent.CONTEXT_WORDS.items())
+
+
+@query("B4_entity_spans", VIEW("norm") + ", h AS (" + " UNION ALL ".join(_span_sql(i, k, p) for i, (k, p) in enumerate(ent.PATTERNS)) + f"""), pl AS (SELECT *, CAST(sum(length(gap)+length(entity)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS BIGINT) AS b FROM h),
+ c AS (SELECT pl.*, b-length(entity) AS a, lower(substr(text, greatest(b-length(entity)-20,0)+1, least(b-length(entity),20))) AS before FROM pl JOIN norm USING (doc_id))
+ SELECT doc_id, entity_type, entity, CAST(a AS INTEGER) AS start_char, CAST(b AS INTEGER) AS end_char, round(least(1,5e-1+CASE WHEN coalesce(CASE entity_type {_CONTEXT} END,false) THEN 3e-1 ELSE 0 END+CASE WHEN entity_type='phone_number' AND length(regexp_replace(entity,'[^0-9]','','g'))=10 THEN 2e-1 ELSE 0 END),6) AS validation FROM c""")
 def _(v):
-    return ent.entity_spans(v.norm.select("doc_id", "text"))
+    return ent.entity_spans(v.norm.select("doc_id", "text")).withColumn("validation", r6("validation"))
 
 
 @query("B4_fusion_entity_type", VIEW("term") + ", t AS (SELECT token, count(*) AS n FROM term GROUP BY 1), x AS (SELECT token, n, CASE " + " ".join(
