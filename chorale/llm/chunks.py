@@ -5,7 +5,7 @@ import struct
 from collections.abc import Callable
 
 #: Pieces whose ids a worker keeps; the table is emptied when it is full, which only costs time.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 #: Tables of this worker by tokenizer file; a worker serves many tasks.
 TABLES: dict[tuple, IdTable] = {}
 
