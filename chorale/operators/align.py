@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chorale.functions.entities import fusion_type
 from chorale.functions.strings import edit_sim, seq_ratio, word_key
-from chorale.operators.fold import fold_sorted
+from chorale.operators.fold import fold_rows, fold_sorted
 from chorale.operators.skew import attach, first_by, interval_join, islands, overlap_islands, scan_over, top_n
 from chorale.operators.turns import KEY, _bucket
 
@@ -649,19 +649,14 @@ def merge_chunks(chunks: DataFrame, tokens: DataFrame, unit: float, width: float
     lone = attach(t, [*KEY, "run"], size=F.count("*"))
     limit = near * unit
 
-    def step(state, pdf):
-        kept = state or []
-        flags = []
-        for s, w in zip(pdf["start"].tolist(), pdf["low"].tolist()):
-            twin = w != "" and any(abs(s - k) <= limit and w == x for k, x in kept[-3:])
-            flags.append(not twin)
-            if not twin:
-                kept = (kept + [(s, w)])[-3:]
-        return kept, pdf.assign(keep=flags)
+    def step(kept, s, w):
+        kept = kept or []
+        if w != "" and any(abs(s - k) <= limit and w == x for k, x in kept):
+            return kept, False
+        return (kept + [(s, w)])[-3:], True
 
     cols = [*KEY, "run", "chunk_id", "word_id", "start", "end", "word", "low"]
     single = lone.where("size = 1").select(*KEY, "chunk_id", "word_id", "start", "end", "word")
     many = lone.where("size > 1").select(*cols)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in many.schema.fields) + ", keep boolean"
-    folded = fold_sorted(many, [*KEY, "run"], ["start", "chunk_id", "word_id"], fields, step)
+    folded = fold_rows(many, [*KEY, "run"], order, ["start", "low"], "keep boolean", step)
     return single.unionByName(folded.where("keep").select(*single.columns))

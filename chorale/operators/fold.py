@@ -55,3 +55,29 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
     # as redundant, and adaptive execution may later read that exchange locally, tearing keys apart.
     sorted_rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInPandas(run, schema)
+
+
+def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str, step: Callable) -> DataFrame:
+    """``fold_sorted`` for many short keys: ``step(state, *values) -> (state, value of out)`` of each row, ``out`` is ``name type``.
+
+    Keys are told apart by one comparison a batch, so a key of few rows costs no frame of its own.
+    """
+    keys, columns, name = list(keys), list(columns), out.split()[0]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            held = [pdf[k].to_numpy() for k in keys]
+            fresh = changes(held)
+            fresh[0] = tuple(None if pd.isna(c[0]) else c[0] for c in held) != current
+            values = []
+            for new, row in zip(fresh.tolist(), zip(*[pdf[c].tolist() for c in columns])):
+                state, value = step(None if new else state, *row)
+                values.append(value)
+            current = tuple(None if pd.isna(c[-1]) else c[-1] for c in held)
+            yield pdf.assign(**{name: values})
+
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *list(order)).mapInPandas(run, fields)
