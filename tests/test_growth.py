@@ -4,8 +4,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from chorale.operators import align, evaluate as ev
+from chorale.operators import align, evaluate as ev, terms
 
 DATA = "/root/testdata/sf0.1"
 
@@ -54,3 +55,20 @@ def test_many_short_runs_are_folded(spark):
     began = time.time()
     got = align.merge_chunks(chunks, d, 1000, 60_000).groupBy("word").count().collect()
     assert {r["word"]: r["count"] for r in got} == {"w0": 30_000, "w1": 15_000, "w2": 30_000} and time.time() - began < 60
+
+
+def test_project_terms_of_repeated_and_missing_ids(spark):
+    rows = [("x", 2, "s", "A a b a"), ("x", 2, "t", "a"), ("x", 4, "s", "a B"), ("x", 3, "s", "b"), ("x", None, "s", "b"), ("x", 6, "s", None)]
+    for part in (rows, rows[2:]):
+        d = spark.createDataFrame(part, "project_id string, doc_id long, source string, text string")
+        got = {(r.term, r.half): (r.canonical, r.docs, r.engines, r.forms) for r in terms.project_terms(d).collect()}
+        d = d.selectExpr("project_id", "doc_id", "source", "explode(split(trim(text), ' ')) token").groupBy(F.lower("token").alias("term"), (F.col("doc_id") % 2).alias("half")).agg(
+            F.min("token"), F.countDistinct("doc_id"), F.sort_array(F.collect_set("source")), F.sort_array(F.collect_set("token")))
+        assert got == {(r[0], r[1]): tuple(r)[2:] for r in d.collect()}
+
+
+def test_terms_of_documents_combine_before_the_shuffle(spark):
+    d = spark.range(50).selectExpr("'x' project_id", "id doc_id", "'s' source", "repeat('to be or not ', 200) text")
+    plan = terms.project_terms(d)._jdf.queryExecution().sparkPlan().toString()
+    exchanged = plan.split("collect_set")[-1]
+    assert "doc_id" not in exchanged[exchanged.index("HashAggregate(keys=["):].split("functions")[0]  # no row for each term of a document
