@@ -1,8 +1,10 @@
 """Time slots over competing hypotheses: alignment, votes, confusion networks, best paths and fusion."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chorale.functions.entities import fusion_type
 from chorale.functions.strings import edit_sim, seq_ratio, word_key
@@ -441,48 +443,67 @@ def fuse_stems(words: DataFrame, glossary: DataFrame, unit: float, width: float,
     """Words of several stems in time groups (shared time >= 0.1 s); the best joint score wins its group.
 
     ``words``: session_id, stem, word_id, start, end, word, confidence, attribution; ``glossary``: term, prior.
-    The context bonus needs only the few hint words, which are sent to the word numbers within ``reach`` of them.
+    Words travel once, to their (session, time bucket).  One row per bucket carries what a bucket has to know of the others:
+    the hints of the nearest ``reach`` words on each side, how far the words before it last, the number of groups before it.
+    A group travels once more, as one row, because it may lie across the edge of a bucket.
     """
-    order, b = ["start", "stem", "word_id"], _bucket("start", width)
-    d = scan_over(words, KEY, order, b, upto={"n": ("sum", F.lit(1).cast("bigint"))})
-    low = F.lower(F.trim("word"))
-    d = d.withColumn("low", low)
-    hints = sorted({h for _, hs in CONTEXT_RULES for h in hs})
-    marked = d.where(F.col("low").isin(hints)).select(*KEY, F.col("low").alias("hint"), F.explode(
-        F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("n"), F.col("n").alias("own")).where("n <> own")
-    near = marked.groupBy(*KEY, "n").agg(*[F.max(F.col("hint").isin(h)).alias(f"h{i}") for i, (_, h) in enumerate(CONTEXT_RULES)])
-    d = d.join(near, [*KEY, "n"], "left").join(glossary.select(F.lower("term").alias("low"), "prior"), "low", "left")
-    bonus = F.lit(1.0)
-    for i, (ws, _) in enumerate(CONTEXT_RULES):
-        bonus = F.when(F.col("low").isin(ws) & F.coalesce(f"h{i}", F.lit(False)), 1.2).otherwise(bonus)
-    prior = F.when(F.col("low") == "", 1.0).otherwise(F.coalesce("prior", F.lit(1.0)) * bonus)
+    part, share, low = [*KEY, "b"], 0.1 * unit, F.lower(F.trim("word"))
+    row = Window.partitionBy(*part).orderBy("start", "stem", "word_id")
+    upto, before = row.rowsBetween(Window.unboundedPreceding, 0), row.rowsBetween(Window.unboundedPreceding, -1)
+    some = lambda c: F.coalesce(c, F.lit(0))
+    d = words.select(*KEY, "stem", "word_id", "start", "end", "word", "confidence", "attribution", _bucket("start", width).alias("b"))
+    mask = reduce(Column.bitwiseOR, [F.when(low.isin(hs), 1 << i).otherwise(0) for i, (_, hs) in enumerate(CONTEXT_RULES)])
+    # a word shorter than 0.1 s shares too little with anything: it opens a group, and what came before it counts no more
+    d = d.withColumn("hint", some(mask)).withColumn("brief", some((F.col("end") - F.col("start") < share).cast("int")))
+    d = d.withColumn("rn", F.row_number().over(row)).withColumn("left", F.count("*").over(Window.partitionBy(*part)) - F.col("rn") + 1)
+    d = d.withColumn("near", some(F.bit_or("hint").over(row.rowsBetween(-reach, -1))).bitwiseOR(some(F.bit_or("hint").over(row.rowsBetween(1, reach)))))
+    d = d.withColumn("block", F.sum("brief").over(upto))
+    d = d.withColumn("past", F.max(F.struct("block", "end")).over(before))
+    d = d.withColumn("last", F.when(F.col("past.block") == F.col("block"), F.col("past.end")))
+    d = d.withColumn("opens", F.col("last").isNull() | (F.col("last") < F.col("start") + share))
+    d = d.withColumn("local", F.sum(F.col("opens").cast("bigint")).over(upto))
+
+    edges = [F.max(F.when(F.col(side) == k + 1, F.col("hint"))).alias(f"{side}{k}") for side in ("rn", "left") for k in range(reach)]
+    e = d.groupBy(*part).agg(F.max(F.struct("block", "end")).alias("end"), F.max("local").alias("n"), F.collect_list(
+        F.when(F.col("opens") & (F.col("block") == 0), F.col("start"))).alias("starts"), *edges)
+    by = Window.partitionBy(*KEY).orderBy("b")
+    e = e.withColumn("blocks", F.sum("end.block").over(by))
+    e = e.withColumn("lasts", F.max("end.end").over(Window.partitionBy(*KEY, "blocks").orderBy("b"))).withColumn("carried", F.lag("lasts").over(by))
+    # the groups of a bucket that belong to the last one before it
+    e = e.withColumn("taken", F.when(F.col("carried").isNull(), 0).otherwise(F.size(F.filter("starts", lambda x: x + share <= F.col("carried")))))
+    e = e.withColumn("base", some(F.sum(F.col("n") - F.col("taken")).over(by.rowsBetween(Window.unboundedPreceding, -1))))
+    beside = lambda side, step: F.slice(F.array_compact(F.array(*[
+        step(f"{side}{k}", j).over(by) for j in range(1, reach + 1) for k in range(reach)])), 1, reach)
+    e = e.select(*part, "taken", "base", beside("left", F.lag).alias("earlier"), beside("rn", F.lead).alias("later"))
+
+    d = d.join(e.hint("shuffle_hash"), part)
+    beyond = lambda hints, at: F.when(F.col(at) <= reach, F.aggregate(
+        F.slice(hints, 1, F.lit(reach + 1) - F.col(at).cast("int")), F.lit(0), lambda a, x: a.bitwiseOR(x))).otherwise(0)
+    d = d.withColumn("near", F.col("near").bitwiseOR(beyond("earlier", "rn")).bitwiseOR(beyond("later", "left")))
+    d = d.withColumn("grp", F.col("base") + F.greatest(F.col("local") - F.col("taken"), F.lit(0).cast("bigint")))
+    d = d.withColumn("low", low).join(glossary.select(F.lower("term").alias("low"), "prior"), "low", "left")
+    apt = reduce(Column.__or__, [F.col("low").isin(ws) & (F.col("near").bitwiseAND(1 << i) != 0) for i, (ws, _) in enumerate(CONTEXT_RULES)])
+    prior = F.when(F.col("low") == "", 1.0).otherwise(F.coalesce("prior", F.lit(1.0)) * F.when(apt, 1.2).otherwise(1.0))
     joint = F.col("confidence") * 0.4 + prior * 0.2 + F.col("attribution") * 0.1
-    d = d.withColumn("joint", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), joint)), 9))
-    # a word shorter than 0.1 s shares too little with anything and always opens a group
-    brief = F.col("end") - F.col("start") < 0.1 * unit
-    d = scan_over(d, KEY, order, b, upto={"block": ("sum", F.when(brief, 1).otherwise(0).cast("bigint"))})
-    d = scan_over(d, [*KEY, "block"], order, b, before={"reach": ("max", F.col("end"))})
-    fresh = F.col("reach").isNull() | (F.col("reach") < F.col("start") + 0.1 * unit)
-    d = islands(d, KEY, order, b, fresh, "grp")
-    g = [*KEY, "grp"]
-    win = d.groupBy(*g).agg(
-        F.min_by(F.struct("stem", "word_id", "word", "low", "start", "end", "joint"), F.struct((-F.col("joint")).alias("j"), "start", "stem", "word_id")).alias("win"),
-        F.count("*").alias("size")).select(*g, "size", *[F.col(f"win.{c}").alias(f"w_{c}") for c in ("stem", "word_id", "word", "low", "start", "end", "joint")])
-    rest = d.join(win.where("size > 1").select(*g, "w_stem", "w_word_id", "w_low"), g) \
-        .where((F.col("stem") != F.col("w_stem")) | (F.col("word_id") != F.col("w_word_id")))
-    same = F.when((F.col("low") == "") | (F.col("w_low") == ""), 0.0).when(F.col("low") == F.col("w_low"), 1.0).otherwise(
-        F.greatest(F.lit(0.0), edit_sim("low", "w_low")))
-    comp = rest.withColumn("sim", same).groupBy(*g).agg(
-        F.count("*").alias("k"), F.count(F.when(F.col("low") == F.col("w_low"), 1)).alias("exact"),
-        F.count(F.when(F.col("sim") >= 0.7, 1)).alias("partial"),
-        (F.sum(F.col("sim") * F.col("confidence")) / F.sum("confidence")).alias("weighted"),
-        F.array_join(F.sort_array(F.collect_list(F.struct("start", "stem", "word")))["word"], " ").alias("competing"))
-    agree = F.when(F.col("k").isNull(), 0.5).when(F.col("exact") >= F.col("k") * 0.7, 1.0).when(F.col("partial") >= F.col("k") * 0.7, 1.1) \
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weighted"))))
-    return win.join(comp, g, "left").select(
-        *KEY, "grp", F.col("w_stem").alias("stem"), F.col("w_word_id").alias("word_id"), F.col("w_word").alias("word"),
-        F.col("w_start").alias("start"), F.col("w_end").alias("end"), F.col("w_joint").alias("joint"), "size",
-        agree.alias("agreement"), F.coalesce("competing", F.lit("")).alias("competing"))
+    joint = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), joint)), 9)
+
+    g = d.groupBy(*KEY, "grp").agg(F.collect_list(F.struct((-joint).alias("less"), "start", "stem", "word_id", "end", "word", "confidence")).alias("ws"))
+    g = g.withColumn("win", F.array_min("ws"))
+    g = g.withColumn("rest", F.filter("ws", lambda x: (x["stem"] != F.col("win.stem")) | (x["word_id"] != F.col("win.word_id"))))
+    lowered = lambda w: F.lower(F.trim(w))
+    top = lowered(F.col("win.word"))
+    g = g.withColumn("others", F.transform("rest", lambda x: F.struct((lowered(x["word"]) == top).alias("exact"), F.when((lowered(x["word"]) == "") | (top == ""), 0.0).when(
+        lowered(x["word"]) == top, 1.0).otherwise(F.greatest(F.lit(0.0), edit_sim(lowered(x["word"]), top))).alias("sim"), x["confidence"].alias("weight"))))
+    k = F.size("rest")
+    total = lambda f: F.aggregate("others", F.lit(0.0), lambda a, x: a + F.coalesce(f(x), F.lit(0.0)))
+    many = lambda test: F.size(F.filter("others", test)) >= k * 0.7
+    agree = F.when(k == 0, 0.5).when(many(lambda x: x["exact"]), 1.0).when(many(lambda x: x["sim"] >= 0.7), 1.1).otherwise(F.greatest(
+        F.lit(0.0), F.least(F.lit(1.0), total(lambda x: x["sim"] * x["weight"]) / total(lambda x: x["weight"]))))
+    competing = F.transform(F.array_sort(F.transform("rest", lambda x: F.struct(x["start"], x["stem"], x["word"].alias("word")))), lambda x: x["word"])
+    return g.select(
+        *KEY, "grp", F.col("win.stem").alias("stem"), F.col("win.word_id").alias("word_id"), F.col("win.word").alias("word"), F.col("win.start").alias("start"),
+        F.col("win.end").alias("end"), (-F.col("win.less")).alias("joint"), F.size("ws").cast("bigint").alias("size"), agree.alias("agreement"),
+        F.array_join(competing, " ").alias("competing"))
 
 
 def overlap_regions(words: DataFrame, regions: DataFrame, width: float) -> DataFrame:

@@ -72,3 +72,46 @@ def test_terms_of_documents_combine_before_the_shuffle(spark):
     plan = terms.project_terms(d)._jdf.queryExecution().sparkPlan().toString()
     exchanged = plan.split("collect_set")[-1]
     assert "doc_id" not in exchanged[exchanged.index("HashAggregate(keys=["):].split("functions")[0]  # no row for each term of a document
+
+
+def _fused(words, share, reach):
+    """Groups of one session in order: (winner, agreement, competing words), by the rule as written."""
+    words, out, last = sorted(words, key=lambda w: (w["start"], w["stem"], w["word_id"])), [], None
+    for i, w in enumerate(words):
+        brief = w["end"] - w["start"] < share
+        if brief or last is None or last < w["start"] + share:
+            out.append([])
+            last = w["end"] if brief or last is None else max(last, w["end"])
+        else:
+            last = max(last, w["end"])
+        around = {x["word"] for x in words[max(0, i - reach):i] + words[i + 1:i + 1 + reach]}
+        bonus = any(w["word"] in ws and around & set(hs) for ws, hs in align.CONTEXT_RULES)
+        out[-1].append((-round(w["confidence"] * 0.4 + (1.2 if bonus else 1.0) * 0.2 + w["attribution"] * 0.1, 9), w["start"], w["stem"], w["word_id"], w["word"]))
+    return [(g + 1, len(ws), min(ws)[2:], " ".join(x[4] for x in sorted(ws, key=lambda x: (x[1], x[2], x[4])) if x != min(ws))) for g, ws in enumerate(out)]
+
+
+def test_fused_groups_across_buckets(spark):
+    rng, rows = random.Random(37), []
+    for session in range(40):
+        at = 0
+        for i in range(rng.randrange(1, 60)):
+            at += rng.choice([0, 30, 90, 400, 400, 2500])
+            length = rng.choice([50, 150, 400, 400, 400, 3500])
+            rows.append((session, i % 3, i, float(at), float(at + length), rng.choice(["api", "system", "meeting", "agenda", "call", "x", "y"]), rng.randrange(1, 9) / 10, 0.5))
+    cols = "session_id long, stem long, word_id long, start double, end double, word string, confidence double, attribution double"
+    d = spark.createDataFrame(rows, cols)
+    glossary = spark.createDataFrame([], "term string, prior double")
+    for width in (1000, 60_000):  # a second: words and groups lie across many buckets
+        got = align.fuse_stems(d, glossary, 1000, width)
+        got = sorted((r.session_id, r.grp, r["size"], (r.stem, r.word_id, r.word), r.competing) for r in got.collect())
+        names = [c.split()[0] for c in cols.split(", ")]
+        want = [(s, *g) for s in range(40) for g in _fused([w for w in (dict(zip(names, r)) for r in rows) if w["session_id"] == s], 100, 3)]
+        assert got == want
+
+
+def test_words_of_stems_travel_once(spark):
+    d = spark.range(3000).selectExpr("id % 7 as session_id", "id % 3 as stem", "id as word_id", "id * 100.0D as start", "id * 100.0D + 350 as end",
+                                     "concat('w', id % 11) as word", "0.5D as confidence", "0.5D as attribution")
+    glossary = spark.createDataFrame([("w1", 1.5)], "term string, prior double")
+    plan = align.fuse_stems(d, glossary, 1000, 60_000)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Generate") == 0  # one row per bucket and the glossary; before: ten joins of all words
