@@ -306,28 +306,31 @@ DIGIT_MIX = rf"{NOT_WORD}([a-zA-Z]+[0-9]+[a-zA-Z]*|[0-9]+[a-zA-Z]+){NOT_WORD}"
 
 
 def session_vocabulary(segments: DataFrame, text: str = "text", common: list[str] | None = None) -> DataFrame:
-    """Terms of a session by kind: frequent words, acronyms, camel case, digit mixes, proper nouns and phrases."""
-    low = F.lower(text)
+    """Terms of a session by kind: frequent words, acronyms, camel case, digit mixes, proper nouns and phrases.
+
+    A word and the two after it are counted as one run; words and phrases are summed from the counts of the runs.
+    """
+    low, grams = F.lower(text), "[a-zA-Z]+"
 
     def bag(kind: str, source: Column, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
-    grams = F.regexp_extract_all(low, F.lit("[a-zA-Z]+"), F.lit(0))
-    d = segments.withColumn("_g", grams).withColumn("_s", spaced(text))
-    two = F.zip_with("_g", F.slice("_g", 2, F.greatest(F.size("_g"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    d = d.withColumn("_two", F.array_compact(two))
-    three = F.array_compact(F.zip_with("_two", F.slice("_g", 3, F.greatest(F.size("_g"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
-    named = lambda kind, c: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-    terms = F.concat(
-        named("word", F.col("_g")), bag("acronym", F.col("_s"), ACRONYM),
-        bag("compound", F.col("_s"), COMPOUND), bag("digits", F.col("_s"), DIGIT_MIX),
-        named("phrase2", F.col("_two")), named("phrase3", three))
-    rows = d.select(*KEY, F.inline(terms))
-    freq = rows.groupBy(*KEY, "kind", "term").agg(F.count("*").alias("freq"))
-    total = freq.where(F.col("kind") == "word").groupBy(*KEY).agg(F.sum("freq").alias("total"))
+    d = segments.withColumn("_g", F.regexp_extract_all(low, F.lit(grams), F.lit(0))).withColumn("_s", spaced(text))
+    runs = F.transform("_g", lambda w, i: F.struct(F.lit("run").alias("kind"), F.concat_ws(" ", w, F.get("_g", i + 1)).alias("term"), F.get("_g", i + 2).alias("third")))
+    bags = F.transform(F.concat(bag("acronym", F.col("_s"), ACRONYM), bag("compound", F.col("_s"), COMPOUND), bag("digits", F.col("_s"), DIGIT_MIX)),
+                       lambda x: F.struct(x["kind"], x["term"], F.lit(None).cast("string").alias("third")))
+    counted = d.select(*KEY, F.inline(F.concat(runs, bags))).groupBy(*KEY, "kind", "term", "third").agg(F.count("*").alias("freq"))
+    first = F.substring_index("term", " ", 1)
+    part = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
+    parts = F.when(F.col("kind") == "run", F.array(
+        part("word", first), part("phrase2", F.when(first != F.col("term"), F.col("term"))),
+        part("phrase3", F.when(F.col("third").isNotNull() & (F.col("freq") > 1), F.concat_ws(" ", "term", "third"))))).otherwise(F.array(F.struct("kind", "term")))
     n = F.length("term")
-    keep = (F.col("kind").isin("acronym", "compound", "digits")) | ((F.col("kind") == "word") & (F.col("freq") > 2) & (n > 4)
-            & ~F.col("term").isin(common or FLOW_STOP)) | ((F.col("kind") == "phrase2") & (F.col("freq") > 2)) \
+    word = (n > 4) & ~F.col("term").isin(common or FLOW_STOP)
+    rows = counted.select(*KEY, "freq", parts.alias("parts")).select(*KEY, "freq", F.inline("parts")).where(F.col("term").isNotNull() & ((F.col("kind") != "word") | word))
+    freq = rows.groupBy(*KEY, "kind", "term").agg(F.sum("freq").alias("freq"))
+    total = segments.groupBy(*KEY).agg(F.sum(F.regexp_count(low, F.lit(grams))).alias("total"))
+    keep = F.col("kind").isin("acronym", "compound", "digits") | (F.col("kind").isin("word", "phrase2") & (F.col("freq") > 2)) \
         | ((F.col("kind") == "phrase3") & (F.col("freq") > 1))
     score = F.least(F.col("freq") / F.col("total") * 100, F.lit(1.0)) * 0.7 + F.least(n / 10.0, F.lit(1.0)) * 0.3
     return freq.where(keep).join(total, KEY, "left").select(

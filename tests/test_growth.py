@@ -115,3 +115,23 @@ def test_words_of_stems_travel_once(spark):
     glossary = spark.createDataFrame([("w1", 1.5)], "term string, prior double")
     plan = align.fuse_stems(d, glossary, 1000, 60_000)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 2 and plan.count("Generate") == 0  # one row per bucket and the glossary; before: ten joins of all words
+
+
+def test_words_and_phrases_from_counts_of_runs(spark):
+    from collections import Counter
+
+    rng = random.Random(13)
+    rows = [(i % 3, " ".join(rng.choice(["alphabet", "Gamma", "go", "API", "x9", "camelCase", "tone,"]) for _ in range(rng.randrange(12)))) for i in range(90)] + [(5, None), (6, "")]
+    d = spark.createDataFrame(rows, "session_id long, text string")
+    from chorale.operators import speech
+
+    got = {(r.session_id, r.kind, r.term): r.freq for r in speech.session_vocabulary(d, common=["gamma"]).collect() if r.kind in ("word", "phrase2", "phrase3")}
+    want = Counter()
+    for session, text in rows:
+        g = "".join(c if c.isascii() and c.isalpha() else " " for c in (text or "").lower()).split()
+        want.update((session, "word", w) for w in g if len(w) > 4 and w != "gamma")
+        want.update((session, "phrase2", " ".join(g[i:i + 2])) for i in range(len(g) - 1))
+        want.update((session, "phrase3", " ".join(g[i:i + 3])) for i in range(len(g) - 2))
+    assert got == {k: n for k, n in want.items() if n > (1 if k[1] == "phrase3" else 2)}
+    plan = speech.session_vocabulary(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1  # the words are taken out once; before, once more for the totals
