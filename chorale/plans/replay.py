@@ -77,7 +77,7 @@ def _(v):
     rp.write_snapshot(session, f"{folder}/session", 1, "project_id")
     merged = tm.merge_term_base(rp.read_snapshot(v.spark, f"{folder}/base"), rp.read_snapshot(v.spark, f"{folder}/session"), deny(v))
     rp.write_snapshot(merged, f"{folder}/base", 2, "project_id")
-    rp.write_snapshot(base, f"{folder}/base", 3, "project_id")
+    rp.write_snapshot(rp.read_snapshot(v.spark, f"{folder}/base", 1), f"{folder}/base", 3, "project_id")
     marker = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/base/version=3/_SUCCESS")
     marker.getFileSystem(v.spark._jsc.hadoopConfiguration()).delete(marker, False)
     return rp.read_snapshot(v.spark, f"{folder}/base").groupBy("project_id", "status").agg(F.count("*").alias("n"), r6(F.sum("mean")).alias("mean"))

@@ -134,4 +134,29 @@ def test_words_and_phrases_from_counts_of_runs(spark):
         want.update((session, "phrase3", " ".join(g[i:i + 3])) for i in range(len(g) - 2))
     assert got == {k: n for k, n in want.items() if n > (1 if k[1] == "phrase3" else 2)}
     plan = speech.session_vocabulary(d)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all(lower(text") == 1  # the words are taken out once; before, once more for the totals
+    assert plan.count("[A-Z]{2,6}") == 1  # the terms are taken out once; before, once more for the totals
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the table of documents")
+def test_last_version_is_copied_not_made_again(spark, monkeypatch):
+    from chorale.plans import QUERIES
+    from chorale.streaming import replay
+
+    made, write = [], replay.write_snapshot
+    monkeypatch.setattr(replay, "write_snapshot", lambda df, path, version, by: (made.append((version, " ".join(df.inputFiles()))), write(df, path, version, by))[1])
+    assert QUERIES["A9_term_snapshots"].run(spark, "/root/testdata/sf0.001").count()
+    assert [v for v, files in made if "documents" in files] == [1, 1]  # base and session
+
+
+def test_entities_are_found_once(spark):
+    from chorale.functions import entities as ent
+
+    texts = ["call 555-123-4567 at 7:30 pm, $1,700.50 or 7 dollars, 17% and 7 percent on 7/17/2027", "no figures here", "Jan 7, 2027 seventy USD 7 usd B7 77AB AB77 mail x7@y.org", "\u017fix s\u0131x 5 o'cloc\u212a 9 u\u017fd", "Six, ONE_two twenty-one", None, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.entity_type, r.entity, r.start_char, r.end_char) for r in ent.entity_spans(d).collect())
+    import re
+    want = sorted((i, kind, m.group(), *m.span()) for i, t in enumerate(texts) for kind, p in ent.PATTERNS for m in re.finditer(p, t or "", re.IGNORECASE))
+    assert got == want
+    spans = ent.entity_spans(spark.range(200).selectExpr("id as doc_id", "repeat('plain words without any figure at all ', 2000) as text"))
+    began = time.time()
+    assert spans.count() == 0 and time.time() - began < 20  # 15 million characters; 19 patterns over all of them took longer
