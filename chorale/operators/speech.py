@@ -327,7 +327,8 @@ def session_vocabulary(segments: DataFrame, text: str = "text", common: list[str
         part("phrase3", F.when(F.col("third").isNotNull() & (F.col("freq") > 1), F.concat_ws(" ", "term", "third"))))).otherwise(F.array(F.struct("kind", "term")))
     n = F.length("term")
     word = (n > 4) & ~F.col("term").isin(common or FLOW_STOP)
-    rows = counted.select(*KEY, "freq", parts.alias("parts")).select(*KEY, "freq", F.inline("parts")).where(F.col("term").isNotNull() & ((F.col("kind") != "word") | word))
+    # the outer form, because the inner one makes the parts once more to see that there are some
+    rows = counted.select(*KEY, "freq", parts.alias("parts")).select(*KEY, "freq", F.inline_outer("parts")).where(F.col("term").isNotNull() & ((F.col("kind") != "word") | word))
     freq = rows.groupBy(*KEY, "kind", "term").agg(F.sum("freq").alias("freq"))
     total = segments.groupBy(*KEY).agg(F.sum(F.regexp_count(low, F.lit(grams))).alias("total"))
     keep = F.col("kind").isin("acronym", "compound", "digits") | (F.col("kind").isin("word", "phrase2") & (F.col("freq") > 2)) \
