@@ -62,31 +62,34 @@ def capitalise(c: Column) -> Column:
 def normalize_corpus(df: DataFrame, profile: str, text: str = "text") -> DataFrame:
     """One profile over a corpus: ``normalized`` plus audit columns; the change limit is reported by the guardrails."""
     p = PROFILES[profile]
-    d = df.withColumn("_t", tidy_spaces(as_col(text)))
+    d = df.withColumn("_t", tidy_spaces(as_col(text))).withColumn("_n", F.size(F.split("_t", " ")))
     for rule in p["fillers"]:
-        d = d.withColumn("_t", tidy_spaces(drop_twice(F.col("_t"), FILLER_RULES[rule])))
-    d = d.withColumn("_w", F.split("_t", " "))
-    if p["repeats"]:
-        d = d.withColumn("_w", drop_repeats(F.col("_w")))
-    if p["names"]:
-        d = d.withColumn("_w", F.transform("_w", lambda w: F.when(F.lower(w).isin(NAMES), capitalise(F.lower(w))).otherwise(w)))
-    if p["numbers"]:
-        def spell(w: Column) -> Column:
-            out = F
-            for k, v in NUMBER_WORDS.items():
-                out = out.when(w == k, v)
-            return out.otherwise(w)
-
-        d = d.withColumn("_w", F.transform("_w", spell))
-    d = d.withColumn("_t", F.array_join("_w", " "))
+        # a tidy text without a match is as it was
+        d = d.withColumn("_u", F.regexp_replace("_t", FILLER_RULES[rule], "$1$2")).withColumn("_t", F.when(F.col("_u") == F.col("_t"), F.col("_t")).otherwise(
+            tidy_spaces(F.regexp_replace("_u", FILLER_RULES[rule], "$1$2")))).drop("_u")
+    if p["repeats"] or p["names"] or p["numbers"]:  # the text is lowered once, not word by word
+        d = d.withColumn("_l", F.split(F.lower("_t"), " ")).withColumn("_w", F.zip_with(F.split("_t", " "), "_l", lambda w, low: F.struct(w.alias("w"), low.alias("l"))))
+        if p["repeats"]:
+            d = d.withColumn("_w", F.filter("_w", lambda x, i: ~F.coalesce((x["l"] == F.get("_l", i - 1)) & ~x["w"].rlike(NOT_WORD) & ~x["l"].isin(EMPHASIS), F.lit(False))))
+
+        def word(x: Column) -> Column:
+            out = x["w"]
+            if p["numbers"]:
+                spelled = F
+                for k, v in NUMBER_WORDS.items():
+                    spelled = spelled.when(x["w"] == k, v)
+                out = F.when(F.length(x["w"]) <= 2, spelled.otherwise(x["w"])).otherwise(out)
+            return F.when(x["l"].isin(NAMES), capitalise(x["l"])).otherwise(out) if p["names"] else out
+
+        d = d.withColumn("_t", F.array_join(F.transform("_w", word), " "))
     if p["commas"]:
         d = d.withColumn("_t", F.regexp_replace("_t", COMMA_RULE, "$1, $2 "))
     if p["quotes"]:
         d = d.withColumn("_t", F.regexp_replace(F.regexp_replace("_t", "[“”]", '"'), "[‘’]", "'"))
     if p["sentences"]:
         d = d.withColumn("_s", sentences_of("_t")).withColumn("_t", F.array_join(F.transform("_s", capitalise), ". ")).drop("_s")
-    words = lambda c: F.size(F.split(tidy_spaces(as_col(c)), " "))
-    return d.select(*df.columns, F.lit(profile).alias("profile"), F.col("_t").alias("normalized"), words(text).alias("words_before"), words("_t").alias("words_after"))
+    return d.select(*df.columns, F.lit(profile).alias("profile"), F.col("_t").alias("normalized"), F.col("_n").alias("words_before"),
+                    F.size(F.split(tidy_spaces(F.col("_t")), " ")).alias("words_after"))
 
 
 def readability(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -160,3 +160,31 @@ def test_entities_are_found_once(spark):
     spans = ent.entity_spans(spark.range(200).selectExpr("id as doc_id", "repeat('plain words without any figure at all ', 2000) as text"))
     began = time.time()
     assert spans.count() == 0 and time.time() - began < 20  # 15 million characters; 19 patterns over all of them took longer
+
+
+def test_texts_are_lowered_once_for_a_profile(spark):
+    from chorale.operators import corpus
+
+    d = spark.createDataFrame([(1, "Um  uh so so the the MONDAY 3 Monday's and and 10 um"), (2, None), (3, "")], "doc_id long, text string")
+    done = corpus.normalize_corpus(d, "executive")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [(r.normalized, r.words_before, r.words_after) for r in done.orderBy("doc_id").collect()] == [("So so the Monday three Monday's, and ten", 13, 8), (None, None, None), ("", 1, 1)]
+
+
+def test_rules_that_need_a_digit_are_left_out():
+    from chorale.operators import protect as pt
+
+    rng = random.Random(23)
+    kept = {at for at, _, _ in pt.without_figures()}
+    assert 0 < len(kept) < len(pt.compiled()) / 4
+    for _ in range(3000):
+        t = "".join(rng.choice("aBC xQ-_./@#,%v g") for _ in range(30))
+        assert not [r.pattern for at, (r, c) in enumerate(pt.compiled()) if at not in kept and c.search(t)]
+
+
+def test_token_counts_are_read_back_not_made_again(spark):
+    from chorale.plans import terms as plans
+    from chorale.views import Views
+
+    plan = plans.mined(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # the tokens of the documents are counted before
