@@ -72,6 +72,14 @@ def compiled() -> list[tuple[Rule, re.Pattern]]:
 
 
 FOREIGN = re.compile(r"[^\x00-\x7f]")
+FIGURE = re.compile("[0-9]")
+
+
+@cache
+def without_figures() -> list[tuple[int, Rule, re.Pattern]]:
+    """The rules that can match a text without a digit, with their places."""
+    figure = re.compile(r"\[0-9\](?!\*)|\\d")
+    return [(at, r, c) for at, (r, c) in enumerate(compiled()) if not figure.search(r.pattern)]
 
 
 def plain(text: str) -> str:
@@ -88,7 +96,8 @@ def spans_in(text: str | None) -> list[tuple[int, int, str, str, int, float]]:
         return []
     seen = plain(text)
     found = []
-    for at, (rule, pattern) in enumerate(compiled()):
+    held = [(at, r, c) for at, (r, c) in enumerate(compiled())] if FIGURE.search(seen) else without_figures()
+    for at, rule, pattern in held:
         for m in pattern.finditer(seen):
             a, b = m.span()
             size, token = b - a, seen[a:b]
