@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chorale import words as W
-from chorale.functions.text import (NOT_WORD, WORD, bare, band, count_if, gaps_between, literal_n, lowered, mean, moments, n_words, pairs_if,
-                                    phrases_n, positions, regexp_n, sentences_of, spaced, std, within, words_of)
+from chorale.functions.marks import COUNTS, marks_of
+from chorale.functions.text import (bare, band, count_if, literal_n, lowered, mean, moments, n_words, pairs_if, phrases_n, regexp_n, sentences_of,
+                                    spaced, std, within, words_of)
 
 
 def _clip01(c):
@@ -92,85 +93,45 @@ def score_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 def score_punctuation(df: DataFrame, text: str = "text") -> DataFrame:
     """Boundaries, missing marks, placement, pairing and capitals -> ``l_punct``."""
-    t, n = F.col(text), F.col("n")
-    d = df.withColumn("w", words_of(text)).withColumn("n", F.size("w")).withColumn("sent", sentences_of(text))
-    d = d.withColumn("capital", count_if(F.col("sent"), lambda s: s.rlike(r"^\p{Lu}")) / F.greatest(F.size("sent"), F.lit(1))) \
-        .withColumn("sizes", moments(F.transform("sent", n_words))).withColumn("low_text", F.lower(t)) \
-        .withColumn("sp", spaced("low_text")).withColumn("bare", F.transform("w", bare))
-    capital = F.col("capital")
-    counts = {"dots": ".", "asks": "?", "shouts": "!", "commas": ","}
-    for name, mark in counts.items():
-        d = d.withColumn(name, literal_n(text, mark))
-    dots, asks, shouts, commas = (F.col(name) for name in counts)
+    d = df.withColumn("_m", marks_of(text))
+    m = {name: F.col(f"_m.{name}") for name in COUNTS}
+    n, sentences = m["n"], m["sentences"]
+    dots, asks, shouts, commas = (m[name] for name in ("dots", "asks", "shouts", "commas"))
+    capital = m["capitals"] / F.greatest(sentences, F.lit(1))
     total = dots + asks + shouts + commas
     spread = F.when(total == 0, 0.5).otherwise(
         (band(dots / total, 0.6, 0.8, 0.5, 0.7, 2) + band(commas / total, 0.15, 0.3, 0.7, 0.22, 3)) / 2)
-    boundary = F.when((dots + asks + shouts == 0) | (F.size("sent") == 0), 0.3).otherwise(
-        0.5 * capital + 0.3 * band(mean("sizes"), 5, 25, 0.4, 15, 0.05) + 0.2 * spread)
-
-    d = d.withColumn("ends", positions(F.col("w"), lambda x: x.rlike("[.!?]")))
-    long_runs = F.aggregate(gaps_between(F.col("ends"), n), F.lit(0), lambda s, g: s + F.greatest(g["length"] - 30, F.lit(0)))
-    d = d.withColumn("lists", regexp_n(text, rf"{WORD}+\s+{WORD}+\s+and\s+{WORD}+"))
-    lists = F.col("lists")
-    d = d.withColumn("listed", regexp_n(text, rf"{WORD}+,\s+{WORD}+\s+and\s+{WORD}+"))
-    listed = F.col("listed")
-    d = d.withColumn("questions", phrases_n("sp", W.QUESTION_WORDS))
-    questions = F.col("questions")
+    boundary = F.when((dots + asks + shouts == 0) | (sentences == 0), 0.3).otherwise(
+        0.5 * capital + 0.3 * band(m["sentence_words"] / sentences, 5, 25, 0.4, 15, 0.05) + 0.2 * spread)
+
     missing = F.when(n < 10, 0.7).otherwise(
-        0.5 * F.greatest(F.lit(0.0), 1.0 - long_runs * 0.02)
-        + 0.3 * F.when(lists > 0, listed / lists).otherwise(0.8)
-        + 0.2 * F.when(questions > 0, F.least(F.lit(1.0), asks / questions)).otherwise(0.8))
-
-    errors = regexp_n(text, r"\s+[.!?]")
-    for p in (f"[.!?]{WORD}", r"\s+,", r",[^\s]", r"[.!?]{2,}", r"\s+[;:]"):
-        errors = errors + regexp_n(text, p)
-    d = d.withColumn("abbr", phrases_n("sp", W.ABBREVIATIONS))
-    abbr = F.col("abbr")
-    dotted = regexp_n(F.concat(F.lit(" "), F.col("low_text")), f"{NOT_WORD}(?:{'|'.join(W.ABBREVIATIONS)})\\.{WORD}")
-    d = d.withColumn("proper", regexp_n(text, W.CONTRACTED))
-    proper = F.col("proper")
-    d = d.withColumn("loose", regexp_n(text, W.UNCONTRACTED))
-    loose = F.col("loose")
-    placement = 0.5 * F.greatest(F.lit(0.0), 1.0 - errors / n * 10) \
-        + 0.25 * F.when(abbr == 0, 0.8).otherwise(dotted / abbr) \
-        + 0.25 * F.when(proper + loose == 0, 0.8).otherwise(proper / (proper + loose))
+        0.5 * F.greatest(F.lit(0.0), 1.0 - m["long_runs"] * 0.02)
+        + 0.3 * F.when(m["lists"] > 0, m["listed"] / m["lists"]).otherwise(0.8)
+        + 0.2 * F.when(m["questions"] > 0, F.least(F.lit(1.0), asks / m["questions"])).otherwise(0.8))
+
+    contractions = m["proper"] + m["loose"]
+    placement = 0.5 * F.greatest(F.lit(0.0), 1.0 - m["errors"] / n * 10) \
+        + 0.25 * F.when(m["abbr"] == 0, 0.8).otherwise(m["dotted"] / m["abbr"]) \
+        + 0.25 * F.when(contractions == 0, 0.8).otherwise(m["proper"] / contractions)
 
     def balanced(a, b):
-        off = F.abs(literal_n(text, a) - literal_n(text, b))
+        off = F.abs(m[a] - m[b])
         return F.when(off == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - off * 0.2))
 
-    double, single = literal_n(text, '"'), literal_n(text, "'")
-    quoted = regexp_n(text, r'"[^"]*"')
-    quote = F.when(quoted == 0, 0.9).otherwise(F.greatest(F.lit(0.3), 1.0 - regexp_n(text, r'"[.!?,]') / quoted))
-    matching = 0.3 * balanced("(", ")") + 0.2 * balanced("[", "]") + 0.2 * F.when(double % 2 == 0, 1.0).otherwise(0.7) \
-        + 0.1 * F.when((single - regexp_n(text, f"{WORD}+'{WORD}+")) % 2 == 0, 1.0).otherwise(F.when(single > 0, 0.8).otherwise(1.0)) \
+    single, quoted = m["single"], F.floor(m["double"] / 2)  # every second mark closes a quotation
+    quote = F.when(quoted == 0, 0.9).otherwise(F.greatest(F.lit(0.3), 1.0 - m["hard_quotes"] / quoted))
+    matching = 0.3 * balanced("opened", "closed") + 0.2 * balanced("opened_square", "closed_square") \
+        + 0.2 * F.when(m["double"] % 2 == 0, 1.0).otherwise(0.7) \
+        + 0.1 * F.when((single - m["apostrophes"]) % 2 == 0, 1.0).otherwise(F.when(single > 0, 0.8).otherwise(1.0)) \
         + 0.2 * quote
 
-    marks = F.transform("w", lambda x, i: F.struct(
-        x.alias("x"), F.get("bare", i).alias("b"),
-        ((i == 0) | F.coalesce(F.get("w", i - 1).rlike("[.!?]"), F.lit(False))).alias("start")))
-    d = d.withColumn("marks", marks)
-    inner = F.transform(F.filter("marks", lambda m: (F.length(m["b"]) > 1) & m["b"].rlike(r"^\p{Lu}") & ~m["start"]),
-                        lambda m: F.lower(m["b"]))
-    d = d.withColumn("inner", inner)
-    named = F.when(F.size("inner") == 0, 0.8).otherwise(
-        count_if(F.col("inner"), lambda x: x.rlike(W.PLACE_NAMES) | ~x.isin(W.COMMON_LOWER)) / F.size("inner"))
-    d = d.withColumn("lower_at", positions(F.col("bare"), lambda x: ~x.rlike(r"^\p{Lu}")))
-    d = d.withColumn("runs", F.filter(gaps_between(F.col("lower_at"), n), lambda g: g["length"] >= 2))
-    titled = count_if(F.col("runs"), lambda g: (g["length"] <= 6) & F.exists(
-        F.slice("w", g["first"], g["length"]), lambda x: ~x.isin(W.TITLE_FUNCTION)))
-    title = F.when(F.size("runs") == 0, 0.8).otherwise(titled / F.size("runs"))
-    d = d.withColumn("caps", count_if(F.col("w"), lambda x: x.rlike(r"^\p{Lu}")))
-    caps = F.col("caps")
-    wrong = count_if(F.col("marks"), lambda m: m["x"].rlike(r"^\p{Lu}") & F.lower(m["b"]).isin(W.LOWER_CASE_WORDS) & ~m["start"])
-    misplaced = F.when(n < 10, 0.8).when(caps == 0, 0.8).otherwise(F.greatest(F.lit(0.0), 1.0 - wrong / caps * 2))
-    acr = F.filter("bare", lambda x: F.length(x).between(2, 6) & x.rlike(r"\p{Lu}") & (x == F.upper(x)))
-    d = d.withColumn("acr", acr)
-    fine = count_if(F.col("acr"), lambda x: x.isin(W.ACRONYMS) | (F.length(x) == 2)
-                    | ~x.rlike("^([AEIOU]+|[BCDFGHJKLMNPQRSTVWXYZ]+)$"))
-    acronym = F.when(F.size("acr") == 0, 0.8).otherwise(fine / F.size("acr"))
+    def share(part, whole):
+        return F.when(m[whole] == 0, 0.8).otherwise(m[part] / m[whole])
+
+    misplaced = F.when(n < 10, 0.8).when(m["caps"] == 0, 0.8).otherwise(F.greatest(F.lit(0.0), 1.0 - m["wrong"] / m["caps"] * 2))
     case = F.when(n < 5, 0.6).otherwise(
-        0.25 * F.when(F.size("sent") == 0, 0.5).otherwise(capital) + 0.25 * named + 0.20 * title + 0.15 * misplaced + 0.15 * acronym)
+        0.25 * F.when(sentences == 0, 0.5).otherwise(capital) + 0.25 * share("named", "inner") + 0.20 * share("titled", "runs")
+        + 0.15 * misplaced + 0.15 * share("fine", "acronyms"))
     parts = {"boundary": boundary, "missing": missing, "placement": placement, "matching": matching, "capitals": case}
     d = d.select(*df.columns, *[x.alias(k) for k, x in parts.items()])
     return d.withColumn("l_punct", _clip01(0.25 * F.col("boundary") + 0.20 * F.col("missing") + 0.20 * F.col("placement")

@@ -6,7 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from chorale.operators import align, evaluate as ev, terms
+from chorale import words as words_of_lists
+from chorale.functions import marks, text
+from chorale.operators import align, evaluate as ev, linguistic, terms
 
 DATA = "/root/testdata/sf0.1"
 
@@ -188,3 +190,25 @@ def test_token_counts_are_read_back_not_made_again(spark):
 
     plan = plans.mined(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan  # the tokens of the documents are counted before
+
+
+def test_marks_are_counted_by_distinct_words(spark):
+    rng = random.Random(5)
+    words = ["and", "and", "x", "yy", "Foo", "z-y", "z,", "zy,", "z-y,", "What", "who?", "mr.Bean", "Mr.", "end.", "A.B", "don't", "cant", "it's", "'ll", '"Hi', '".', "(a)",
+             "NASA", "XQZ", "The", "...", ".", ";", ",,", "é", "ß", "İeg", "𝐀b", "a𝐀s", "The-", "—", "i.e.y", "n't", "ss", "an't'll", "s"]
+    texts = [None, "", "  ", " a", "\n\tb. c", "x y and z and w and v", "x y and and z and and", "x, y and z-q, b and c", "x-, y-z, w and q"]
+    texts += [rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(1, 60))) + rng.choice(["", " ", "."]) for _ in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    sp = text.spaced(F.lower("text"))
+    errors = sum((text.regexp_n("text", p) for p in (f"[.!?]{text.WORD}", r"\s+,", r",[^\s]", r"[.!?]{2,}", r"\s+[;:]")), text.regexp_n("text", r"\s+[.!?]"))
+    want = {"n": F.size(text.words_of("text")), "sentences": F.size(text.sentences_of("text")), "errors": errors,
+            "capitals": text.count_if(text.sentences_of("text"), lambda s: s.rlike(r"^\p{Lu}")),
+            "lists": text.regexp_n("text", rf"{text.WORD}+\s+{text.WORD}+\s+and\s+{text.WORD}+"), "listed": text.regexp_n("text", rf"{text.WORD}+,\s+{text.WORD}+\s+and\s+{text.WORD}+"),
+            "proper": text.regexp_n("text", words_of_lists.CONTRACTED), "loose": text.regexp_n("text", words_of_lists.UNCONTRACTED),
+            "apostrophes": text.regexp_n("text", f"{text.WORD}+'{text.WORD}+"), "questions": text.phrases_n(sp, words_of_lists.QUESTION_WORDS), "abbr": text.phrases_n(sp, words_of_lists.ABBREVIATIONS)}
+    got = d.withColumn("m", marks.marks_of("text")).select("id", "text", *[F.col(f"m.{c}").alias(f"got_{c}") for c in want], *[c.alias(n) for n, c in want.items()]).collect()
+    wrong = [(r["text"], n, r[f"got_{n}"], r[n]) for r in got for n in want if r[f"got_{n}"] != r[n]]
+    assert not wrong and len(got) == len(texts)
+    assert {r["n"] for r in d.where("id < 3").coalesce(1).select(marks.marks_of("text")["n"].alias("n")).collect()} == {None, 1}
+    plan = linguistic.score_punctuation(d)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan  # no pattern over whole texts
