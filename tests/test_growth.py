@@ -212,3 +212,21 @@ def test_marks_are_counted_by_distinct_words(spark):
     assert {r["n"] for r in d.where("id < 3").coalesce(1).select(marks.marks_of("text")["n"].alias("n")).collect()} == {None, 1}
     plan = linguistic.score_punctuation(d)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in plan  # no pattern over whole texts
+
+
+def test_character_edits_are_worked_off_by_columns(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    pairs = [tuple("".join(rng.choice("abc? é") for _ in range(rng.randrange(n))) for _ in range(2)) for n in (1, 2, 14, 90) for _ in range(100)] + [("", "ab"), ("ab", ""), ("", "")]
+    assert [ev.char_edits(ev.char_marks(a), len(a), b) for a, b in pairs] == [plain(a, b) for a, b in pairs]
+    d = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "r string, h string").select("*", ev.cer(F.col("r"), F.col("h")).alias("cer"))
+    assert [r.cer for r in d.collect()] == [*(plain(a, b) / max(len(a), 1) for a, b in pairs), None, None]
+    assert "levenshtein" not in d._jdf.queryExecution().optimizedPlan().toString().lower()  # a cell at a time
