@@ -58,18 +58,17 @@ def slot_consensus(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
     return first_by(k, slot, [-F.col("score"), F.col("key")], ["key", "score", "total"]).withColumnRenamed("key", "word")
 
 
-def slot_quality(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
+def slot_quality(v: DataFrame, slot: list[str] = SLOT, *more: Column) -> DataFrame:
+    """Spread and agreement of each slot in one pass over its variants, of which there is one a candidate; ``more`` are further aggregates."""
     sec = lambda c: F.col(c) / 1000.0
-    base = v.groupBy(*slot).agg(
+    q = v.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in slot])).groupBy(*slot).agg(
         F.count("*").alias("variants"), F.var_pop(sec("start_ms")).alias("vs"), F.var_pop(sec("end_ms")).alias("ve"),
         F.var_pop("confidence").alias("vc"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-        F.max("confidence").alias("cmax"), F.min("confidence").alias("cmin"), F.avg("confidence").alias("cavg"))
-    share = v.groupBy(*slot, "key").agg(F.count("*").alias("n")).groupBy(*slot).agg(
-        F.max("n").alias("top"), F.count("*").alias("words"),
-        F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.max(F.struct("n", F.col("key"))).alias("m"))
-    ties = v.groupBy(*slot, "key").agg(F.count("*").alias("n"))
-    tied = ties.groupBy(*slot, "n").agg(F.count("*").alias("k")).groupBy(*slot).agg(F.max_by("k", "n").alias("tied"))
-    q = base.join(share.drop("m", "single"), slot).join(tied, slot)
+        F.max("confidence").alias("cmax"), F.min("confidence").alias("cmin"), F.avg("confidence").alias("cavg"),
+        F.collect_list(F.struct("key")).alias("_keys"), *more)  # a struct, so that missing words count too
+    q = q.withColumn("_n", F.transform(F.array_distinct("_keys"), lambda k: F.size(F.filter("_keys", lambda x: x.eqNullSafe(k)))))
+    q = q.withColumn("top", F.array_max("_n").cast("bigint")).withColumn("words", F.size("_n").cast("bigint"))
+    q = q.withColumn("tied", F.size(F.filter("_n", lambda n: n == F.col("top"))).cast("bigint")).drop("_keys", "_n")
     temporal = 1.0 / (1.0 + F.sqrt(F.col("vs") + F.col("ve")))
     steady = 1.0 / (1.0 + F.col("vc"))
     agree = F.col("top") / F.col("variants")
@@ -289,18 +288,23 @@ def segment_decisions(v: DataFrame, candidates: DataFrame, keys: list[str], slot
 
     ``candidates``: keys, engine, confidence, processing_time, length (characters).
     """
-    q = slot_quality(v, slot)
-    agree = q.groupBy(*keys).agg((0.7 * F.count(F.when(F.col("words") == 1, 1)) / F.count("*") + 0.3 * F.avg("quality")).alias("agreement"))
-    temporal = v.select(*slot, "engine").join(q.select(*slot, "quality"), slot).groupBy(*keys, "engine").agg(F.avg("quality").alias("temporal"))
+    engine = F.col("engine")
+    q = slot_quality(v, slot, F.collect_list("engine").alias("engines"))
+    # a slot counts for each of its engines and once, without an engine, for its segment
+    per = q.select(*keys, "words", "quality", F.explode(F.concat(F.array(F.lit(None)), "engines")).alias("engine")).groupBy(*keys, "engine").agg(
+        F.avg("quality").alias("temporal"), F.count(F.when(F.col("words") == 1, 1)).alias("same"), F.count("*").alias("slots"))
+    agreement = 0.7 * F.col("same") / F.col("slots") + 0.3 * F.col("temporal")
+    s = per.groupBy(*keys).agg(F.max(F.when(engine.isNull(), agreement)).alias("agreement"),
+                               F.map_from_entries(F.collect_list(F.when(engine.isNotNull(), F.struct("engine", "temporal")))).alias("heard"))
     c = attach(candidates, keys, n=F.count("*"), s1=F.sum("confidence"), s2=F.sum(F.col("confidence") * F.col("confidence")),
                var=F.var_pop("confidence"), slowest=F.max("processing_time"), avg_len=F.avg("length"))
-    c = c.join(temporal, [*keys, "engine"], "left")
+    c = c.join(s, keys, "left").withColumn("temporal", F.try_element_at("heard", engine))
     score = 0.5 * F.col("confidence") + 0.3 * F.coalesce("temporal", F.lit(0.8)) \
         + 0.1 * F.when(F.col("slowest") > 0, 1.0 - F.col("processing_time") / F.greatest("slowest", F.lit(1e-9))).otherwise(1.0) \
         + 0.1 / (1.0 + F.abs(F.col("length") - F.col("avg_len")) / (F.col("avg_len") + 1))
     c = c.withColumn("score", F.round(score, 9))
-    best = first_by(c, keys, [-F.col("score"), F.col("engine")], ["engine", "score", "n", "s1", "s2", "var"])
-    d = best.join(agree, keys, "left").withColumn("agreement", F.when(F.col("n") < 2, 1.0).otherwise(F.coalesce("agreement", F.lit(0.0))))
+    best = first_by(c, keys, [-F.col("score"), engine], ["engine", "score", "n", "s1", "s2", "var", "agreement"])
+    d = best.withColumn("agreement", F.when(F.col("n") < 2, 1.0).otherwise(F.coalesce("agreement", F.lit(0.0))))
     d = d.withColumn("confidence", F.col("s2") / F.col("s1") / (1.0 + F.col("var")))
     decision = F.when((F.col("confidence") >= 0.92) & (F.col("agreement") >= 0.85), "stop_early") \
         .when(F.col("confidence") < 0.75, "expand_maximum").otherwise("expand_standard")
