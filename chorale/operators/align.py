@@ -42,9 +42,9 @@ def align_words(words: DataFrame, width: float, unit: float = 1000.0, tol: float
 
 def variants(words: DataFrame, slot: list[str] = SLOT, candidate: str = "engine") -> DataFrame:
     """Best word of each candidate in a slot.  One shuffle by slot serves every later per-slot aggregate."""
-    best = F.max_by(F.struct("word", "start_ms", "end_ms", "confidence"), F.struct("confidence", (-F.col("start_ms")).alias("s"), "word"))
-    return words.repartition(*slot).groupBy(*slot, candidate).agg(best.alias("v")).select(*slot, candidate, "v.*") \
-        .withColumn("key", word_key("word"))
+    best = Window.partitionBy(*slot, candidate).orderBy(F.desc("confidence"), F.asc_nulls_last("start_ms"), F.desc("word"))
+    return words.repartition(*slot).withColumn("_r", F.row_number().over(best)).where("_r = 1") \
+        .select(*slot, candidate, "word", "start_ms", "end_ms", "confidence").withColumn("key", word_key("word"))
 
 
 def slot_keys(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
@@ -58,22 +58,29 @@ def slot_consensus(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
     return first_by(k, slot, [-F.col("score"), F.col("key")], ["key", "score", "total"]).withColumnRenamed("key", "word")
 
 
-def slot_quality(v: DataFrame, slot: list[str] = SLOT, *more: Column) -> DataFrame:
-    """Spread and agreement of each slot in one pass over its variants, of which there is one a candidate; ``more`` are further aggregates."""
+def _quality() -> Column:
+    temporal = 1.0 / (1.0 + F.sqrt(F.col("vs") + F.col("ve")))
+    steady = 1.0 / (1.0 + F.col("vc"))
+    agree = F.col("top") / F.col("variants")
+    return F.when(F.col("variants") <= 1, 1.0).otherwise(F.least(F.lit(1.0), 0.4 * temporal + 0.3 * steady + 0.3 * agree))
+
+
+def _key_counts(keys: str) -> Column:
+    return F.transform(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x.eqNullSafe(k))))
+
+
+def slot_quality(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
+    """Spread and agreement of each slot in one pass over its variants, of which there is one a candidate."""
     sec = lambda c: F.col(c) / 1000.0
     q = v.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in slot])).groupBy(*slot).agg(
         F.count("*").alias("variants"), F.var_pop(sec("start_ms")).alias("vs"), F.var_pop(sec("end_ms")).alias("ve"),
         F.var_pop("confidence").alias("vc"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.max("confidence").alias("cmax"), F.min("confidence").alias("cmin"), F.avg("confidence").alias("cavg"),
-        F.collect_list(F.struct("key")).alias("_keys"), *more)  # a struct, so that missing words count too
-    q = q.withColumn("_n", F.transform(F.array_distinct("_keys"), lambda k: F.size(F.filter("_keys", lambda x: x.eqNullSafe(k)))))
+        F.collect_list(F.struct("key")).alias("_keys"))  # a struct, so that missing words count too
+    q = q.withColumn("_n", _key_counts("_keys"))
     q = q.withColumn("top", F.array_max("_n").cast("bigint")).withColumn("words", F.size("_n").cast("bigint"))
     q = q.withColumn("tied", F.size(F.filter("_n", lambda n: n == F.col("top"))).cast("bigint")).drop("_keys", "_n")
-    temporal = 1.0 / (1.0 + F.sqrt(F.col("vs") + F.col("ve")))
-    steady = 1.0 / (1.0 + F.col("vc"))
-    agree = F.col("top") / F.col("variants")
-    return q.withColumn("quality", F.when(F.col("variants") <= 1, 1.0).otherwise(
-        F.least(F.lit(1.0), 0.4 * temporal + 0.3 * steady + 0.3 * agree)))
+    return q.withColumn("quality", _quality())
 
 
 def confusion_sets(v: DataFrame, slot: list[str] = SLOT) -> DataFrame:
@@ -288,14 +295,19 @@ def segment_decisions(v: DataFrame, candidates: DataFrame, keys: list[str], slot
 
     ``candidates``: keys, engine, confidence, processing_time, length (characters).
     """
-    engine = F.col("engine")
-    q = slot_quality(v, slot, F.collect_list("engine").alias("engines"))
-    # a slot counts for each of its engines and once, without an engine, for its segment
-    per = q.select(*keys, "words", "quality", F.explode(F.concat(F.array(F.lit(None)), "engines")).alias("engine")).groupBy(*keys, "engine").agg(
-        F.avg("quality").alias("temporal"), F.count(F.when(F.col("words") == 1, 1)).alias("same"), F.count("*").alias("slots"))
-    agreement = 0.7 * F.col("same") / F.col("slots") + 0.3 * F.col("temporal")
-    s = per.groupBy(*keys).agg(F.max(F.when(engine.isNull(), agreement)).alias("agreement"),
-                               F.map_from_entries(F.collect_list(F.when(engine.isNotNull(), F.struct("engine", "temporal")))).alias("heard"))
+    engine, first = F.col("engine"), F.col("first")
+    w, sec = Window.partitionBy(*slot), lambda c: F.col(c) / 1000.0  # a slot holds one row a candidate
+    d = v.select(*slot, "engine", (F.row_number().over(w.orderBy("engine")) == 1).alias("first"), F.count("*").over(w).alias("variants"), F.var_pop(sec("start_ms")).over(w).alias("vs"),
+                 F.var_pop(sec("end_ms")).over(w).alias("ve"), F.var_pop("confidence").over(w).alias("vc"), F.collect_list(F.struct("word")).over(w).alias("_words"))
+    # most slots hold one word, whose key need not be made
+    keyed = F.transform("_words", lambda x: F.struct(word_key(x["word"]).alias("key")))
+    d = d.withColumn("_keys", F.when(F.size(F.array_distinct("_words")) > 1, keyed))
+    d = d.withColumn("_n", F.when(F.col("_keys").isNull(), F.array(F.col("variants").cast("int"))).otherwise(_key_counts("_keys"))).withColumn("top", F.array_max("_n"))
+    d = d.withColumn("quality", _quality()).withColumn("same", first & (F.size("_n") == 1))
+    per = d.groupBy(*keys, "engine").agg(
+        F.avg("quality").alias("temporal"), F.sum(F.when(first, F.col("quality"))).alias("q"), F.count(F.when(F.col("same"), 1)).alias("same"), F.count(F.when(first, 1)).alias("slots"))
+    agreement = 0.7 * F.sum("same") / F.sum("slots") + 0.3 * (F.sum("q") / F.sum("slots"))
+    s = per.groupBy(*keys).agg(agreement.alias("agreement"), F.map_from_entries(F.collect_list(F.when(engine.isNotNull(), F.struct("engine", "temporal")))).alias("heard"))
     c = attach(candidates, keys, n=F.count("*"), s1=F.sum("confidence"), s2=F.sum(F.col("confidence") * F.col("confidence")),
                var=F.var_pop("confidence"), slowest=F.max("processing_time"), avg_len=F.avg("length"))
     c = c.join(s, keys, "left").withColumn("temporal", F.try_element_at("heard", engine))

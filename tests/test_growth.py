@@ -230,3 +230,33 @@ def test_character_edits_are_worked_off_by_columns(spark):
     d = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "r string, h string").select("*", ev.cer(F.col("r"), F.col("h")).alias("cer"))
     assert [r.cer for r in d.collect()] == [*(plain(a, b) / max(len(a), 1) for a, b in pairs), None, None]
     assert "levenshtein" not in d._jdf.queryExecution().optimizedPlan().toString().lower()  # a cell at a time
+
+
+def test_slots_are_settled_in_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(1, t, p, e, rng.choice(["a", "A", "a.", "b", "007", "7", None]), t * 1000 + p * 100 + rng.choice([0, 40]), t * 1000 + p * 100 + 90, rng.choice([.5, .75, 1.0]))
+            for t in range(6) for p in range(9) for e in range(4) if rng.random() < 0.8]
+    rows += [(1, 0, 0, 0, "zz", 5, 9, .25), (1, None, 0, 0, "a", 0, 9, .5)]  # a second, weaker word of one engine; no turn
+    d = spark.createDataFrame(rows, "session_id long, turn long, pos long, engine long, word string, start_ms long, end_ms long, confidence double")
+    v = align.variants(d)
+    plain, kept = {}, {}
+    for s, t, p, e, w, a, b, c in rows:
+        key = (t, p, e)
+        if key not in kept or (c, -a) > (kept[key][3], -kept[key][1]):
+            kept[key] = (w, a, b, c)
+    var = lambda x: sum((i - sum(x) / len(x)) ** 2 for i in x) / len(x)
+    for t, p in {(t, p) for t, p, _ in kept if t is not None}:
+        x = [kept[t, p, e] for e in range(4) if (t, p, e) in kept]
+        keys = [None if w is None else "7" if "7" in w else w.lower().strip(".") for w, *_ in x]
+        n = sorted(keys.count(k) for k in set(keys))
+        close = .4 / (1 + (var([a / 1000 for _, a, _, _ in x]) + var([b / 1000 for _, _, b, _ in x])) ** .5) + .3 / (1 + var([c for *_, c in x])) + .3 * n[-1] / len(x)
+        plain[t, p] = (len(x), len(n), n[-1], n.count(n[-1]), pytest.approx(1 if len(x) == 1 else min(1, close)))
+    got = {(r.turn, r.pos): (r.variants, r.words, r.top, r.tied, r.quality) for r in align.slot_quality(v).collect()}
+    assert got == plain
+    c = d.where("turn is not null").groupBy("session_id", "turn", "engine").agg(F.avg("confidence").alias("confidence"), F.sum(F.length("word")).alias("length")).withColumn("processing_time", F.col("engine") + 1.0)
+    decided = align.segment_decisions(v, c, ["session_id", "turn"])
+    slots = {t: [q for (u, _), q in plain.items() if u == t] for t in range(6)}
+    want = {t: .7 * sum(q[1] == 1 for q in x) / len(x) + .3 * sum(q[4].expected for q in x) / len(x) for t, x in slots.items()}
+    assert {r.turn: r.agreement for r in decided.collect()} == pytest.approx(want)
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "pos#" in line]  # words meet their slots without a join
