@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from chorale.llm.common import raw
 
 #: Bytes of text that a task holds before it ships its runs, and packed bytes that a bucket is meant to hold.
 FLUSH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+#: Bytes of runs that one minimiser may bring together before they are cut again by longer grams, and bytes of text that tell which do.
+COMMON_BYTES, SAMPLE_BYTES = 2 * BUCKET_BYTES, 16 << 20
 #: Level of the zstandard compression of what is packed.
 LEVEL = 6
 MARKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -66,6 +69,24 @@ def runs_of(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return windows[starts], windows[np.append(starts[1:], len(windows)) - 1]
 
 
+def cut_again(units: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, common: np.ndarray, grams: Callable, gram: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs whose key is in `common` (sorted) as runs of a longer gram's minimiser, the others as they are, all in order of place.
+
+    `common` is the same for all tasks, so whether a window is cut again and by what follows from the window alone: equal windows still meet.
+    """
+    again = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
+    if not again.any():
+        return first, last, key
+    n = (last - first)[again] + width
+    index = np.repeat(first[again] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    owner = np.repeat(np.arange(len(n)), n)
+    least = sliding_least(ordered(grams(units[index])), width - gram + 1)
+    a, b = runs_of(least, owner[: len(least)] == owner[width - 1 :])
+    first, last, key = np.append(first[~again], index[a]), np.append(last[~again], index[b]), np.append(key[~again], least[a] >> PLACE_BITS)
+    by = np.argsort(first)
+    return first[by], last[by], key[by]
+
+
 def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and exclusive end of every run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
@@ -232,6 +253,37 @@ def sizes_of(docs: DataFrame, copies: float) -> tuple[int, int]:
     return max(64, int(size * copies / BUCKET_BYTES) + 1), max(64, int(size / BUCKET_BYTES) + 1)
 
 
+def common_keys(docs: DataFrame, cut: Callable, parts: int, limit: int = COMMON_BYTES, sample: int = SAMPLE_BYTES) -> np.ndarray:
+    """The keys that about `limit` bytes of unlike runs share, sorted; they only tell where runs travel.
+
+    Counted on the documents that a hash deals to one of several classes, so that about `sample` bytes are cut.
+    """
+    every = max(1, parts * BUCKET_BYTES // sample)
+
+    def counted(texts: list[bytes]) -> pa.RecordBatch:
+        joined, first, last, *_, key = cut(texts)
+        seen = {joined[a:b]: k for a, b, k in zip(first.tolist(), last.tolist(), key.tolist(), strict=True)}
+        columns = list(seen.values()), [xxhash.xxh3_64_intdigest(x) >> 1 for x in seen], list(map(len, seen))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "run", "size"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("body").to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= FLUSH_BYTES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(every)) == 0))
+    runs = some.mapInArrow(count, "key bigint, run bigint, size bigint").groupBy("key", "run").agg(F.max("size").alias("size"))
+    found = runs.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") * every > limit)
+    return np.sort(np.array([r.key for r in found.select("key").collect()], np.uint64))
+
+
 def repeated_spans(docs: DataFrame, cut: Callable, settle: Callable[[pa.Table], pa.Table], buckets: int, parts: int) -> DataFrame:
     """Rows (part, packed marks): windows start <= i < end of a document stand in one with a smaller id too."""
     shipped = docs.where("doc_id is not null").mapInArrow(shipper(cut, buckets, parts), "kind int, part bigint, packed binary")

@@ -4,7 +4,8 @@ Windows are dealt to shards by their minimiser (an 8-byte gram), so that equal w
 are shuffled, not 50 bytes for each position. In a shard, equal contexts collapse first; strings that share a window with
 another string (found by a 64-bit hash, which can only add strings, never miss one) go into a suffix array: Larsson-Sadakane
 refinement in numpy (every round sorts only the groups that are still tied, by the rank of the suffix one step on), then
-common prefixes of neighbours by Kasai's rule (a pair that is the shift of the pair before has one byte less). Shards are
+common prefixes of neighbours by Kasai's rule (a pair that is the shift of the pair before has one byte less). A minimiser that many
+unlike strings share would be one bucket that grows with the input: its runs are cut again by minimisers of 16 bytes. Shards are
 bounded: a bucket with more than `SHARD_BYTES` is cut into several shards, whose sorted windows are merged by binary search.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id; strings never cross documents and
@@ -13,13 +14,19 @@ equal doc_id do not act on each other. Other columns are ignored.
 """
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chorale.llm.spans import PLACE_BITS, covered, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sizes_of, sliding_least, true_runs, with_key, without_spans
+from chorale.llm.spans import COMMON_BYTES, PLACE_BITS, common_keys, covered, cut_again, gather, marks_of, mix, ordered, repeated_spans, runs_of, sha, sizes_of, sliding_least, true_runs, with_key, without_spans
 
 WINDOW, GRAM, SHARD_BYTES = 50, 8, 8 << 20
+#: Bytes of the grams that cut the runs of a common minimiser again.
+LONG_GRAM = 16
+#: What nothing shares.
+NONE = np.zeros(0, np.uint64)
 #: Packed bytes per byte of text: a run has (WINDOW - GRAM + 2) / 2 windows on average and WINDOW - 1 bytes more.
 COPIES = 3.2
 #: Bytes whose minimisers are computed at a time.
@@ -32,8 +39,14 @@ def words_at(text: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.ndarray((len(text) - 7,), order, text, strides=(1,))
 
 
-def cut_bytes(texts: list[bytes]):
-    """Runs of all texts; the minimisers of a few megabytes are computed at a time."""
+def long_grams(text: np.ndarray) -> np.ndarray:
+    """Hashes of the `LONG_GRAM` bytes from every position."""
+    load = words_at(text)
+    return mix(mix(mix(load[:-8]) + load[8:]))
+
+
+def cut_bytes(texts: list[bytes], common: np.ndarray = NONE):
+    """Runs of all texts; the minimisers of a few megabytes are computed at a time. Runs of a minimiser in `common` are cut again."""
     out, base, at = [], 0, 0
     while at < len(texts):
         stop, size = at, 0
@@ -46,8 +59,9 @@ def cut_bytes(texts: list[bytes]):
             least = sliding_least(ordered(mix(mix(words_at(text)))), WINDOW - GRAM + 1)
             doc = np.repeat(np.arange(at, stop, dtype=np.int32), sizes)
             a, b = runs_of(least, doc[: len(least)] == doc[WINDOW - 1 :])
+            a, b, key = cut_again(text, a, b, least[a] >> PLACE_BITS, common, long_grams, LONG_GRAM, WINDOW)
             local = doc[a].astype(np.int64)
-            out.append((a + base, b + WINDOW + base, local, a - (np.cumsum(sizes) - sizes)[local - at], b - a + 1, least[a] >> PLACE_BITS))
+            out.append((a + base, b + WINDOW + base, local, a - (np.cumsum(sizes) - sizes)[local - at], b - a + 1, key))
         base += size
         at = stop
     if not out:
@@ -208,9 +222,10 @@ def strip_bytes(body: bytes, starts, ends) -> tuple:
     return len(body), int(gone.sum()), len(true_runs(gone)[0]), sha(np.frombuffer(body, np.uint8)[~gone].tobytes())
 
 
-def dedup_suffixes(docs: DataFrame) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, common_bytes: int = COMMON_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_key(docs)
     buckets, parts = sizes_of(rows, COPIES)
-    marks = repeated_spans(rows, cut_bytes, settle_bytes, buckets, parts)
+    common = common_keys(rows, cut_bytes, parts, common_bytes)
+    marks = repeated_spans(rows, partial(cut_bytes, common=common), settle_bytes, buckets, parts)
     return without_spans(rows, marks, strip_bytes, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", parts)

@@ -126,6 +126,35 @@ def test_many_small_shards_merge_to_the_same_marks():
     assert results[0] and results[0] == results[1] == results[2]
 
 
+def test_a_common_gram_is_no_bucket_of_its_own(spark):
+    """Unlike texts around one gram of eight bytes that is the minimiser of most windows: before, they all went to one bucket."""
+    r = random.Random(11)
+    grams = [bytes(r.choice(b"abcdef") for _ in range(8)) for _ in range(2000)]
+    hashes = spans.mix(spans.mix(suffixes.words_at(np.frombuffer(b"".join(grams), np.uint8))[::8]))
+    common = grams[int(np.argmin(hashes))].decode()
+    rows = [(d, "".join("".join(r.choice("uvwxyz") for _ in range(30)) + common for _ in range(20))) for d in range(60)]
+    rows += [(60 + i, rows[i][1][40 : 40 + 60 * i]) for i in range(9)]
+    docs = spans.with_key(frame(spark, rows))
+    found = spans.common_keys(docs, suffixes.cut_bytes, 1, 20_000)
+    assert len(found) == 1 and not len(spans.common_keys(docs, suffixes.cut_bytes, 1, 10_000_000))
+    texts = [t.encode() for _, t in rows]
+    largest, windows = [], []
+    for keys in (suffixes.NONE, found):
+        joined, first, last, doc, place, n, key = suffixes.cut_bytes(texts, keys)
+        sizes = np.bincount(np.unique(key, return_inverse=True)[1], last - first)
+        largest.append(int(sizes.max()))
+        at = [(int(d), p) for d, a, k in zip(doc, place.tolist(), n.tolist()) for p in range(a, a + k)]
+        of = {joined[a + i : a + i + 50]: set() for a, k in zip(first.tolist(), n.tolist()) for i in range(k)}
+        for a, k, x in zip(first.tolist(), n.tolist(), key.tolist()):
+            for i in range(k):
+                of[joined[a + i : a + i + 50]].add(x)
+        assert len(at) == len(set(at)) and at == sorted(at) and all(len(x) == 1 for x in of.values())  # each window once, equal windows to one bucket
+        windows.append(at)
+    assert windows[0] == windows[1] and largest[1] < largest[0] / 20
+    got = suffixes.dedup_suffixes(frame(spark, rows), 20_000).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, lambda t: t.encode(), 50, bytes) and sum(x.n_removed for x in got) > 1000
+
+
 def test_packed_runs_and_marks_round_trip():
     doc, key = np.array([5, -3, 5, 9]), np.array([1, 2**32 - 1, 7, 0])
     parts, values = spans.pack_marks(doc, key, np.array([4, 0, 2, 1]), np.array([9, 3, 5, 2]), 3)
