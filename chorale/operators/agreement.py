@@ -1,6 +1,12 @@
 """Agreement between hypotheses of one unit: n-gram consensus, entity consensus and topic coherence parts."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chorale.functions.text import NOT_WORD
@@ -28,30 +34,86 @@ def ngrams(hyps: DataFrame, keys: list[str], engine: str = "engine") -> DataFram
     return rows.groupBy(*keys, engine, "n", "gram").agg(F.count("*").alias("c"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+#: Characters of hypotheses that a task counts at a time; one unit is never cut.
+BLOCK_CHARS = 1_000_000
+
+
+def _overlaps(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Row of the batch, engine, exact and IDF overlap of each hypothesis; the last column lists a unit's (engine, cleaned text)."""
+    held = batch.column(batch.num_columns - 1)
+    unit, flat = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()), held.flatten()
+    docs, engines = np.bincount(unit, minlength=len(held)), flat.field(0)
+    code = engines.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)  # an engine without a name meets nobody
+    _, first, slot = np.unique(unit * (len(unit) + 1) + code + 1, return_index=True, return_inverse=True)
+    unit_of, known, slots = unit[first], code[first] >= 0, len(first)
+    words = [t.split(" ") if t else [] for t in flat.field(1).fill_null("").to_pylist()]
+    hyp = np.repeat(np.arange(len(words)), list(map(len, words)))
+    gram = ids = pd.factorize(np.array([w for some in words for w in some], object))[0]
+    at, exact, idf, met = np.arange(len(hyp)), np.zeros(slots), np.zeros(slots), np.zeros(slots, bool)
+    for n, share in NGRAM_WEIGHTS.items():
+        if n > 1:  # a gram is the gram before and one word more
+            whole = hyp[np.minimum(at + n - 1, len(hyp) - 1)] == hyp[at]
+            whole &= at + n <= len(hyp)
+            at, gram = at[whole], gram[whole]
+            gram = pd.factorize(gram * len(hyp) + ids[at + n - 1])[0]
+        cell, c = np.unique(gram * slots + slot[hyp[at]], return_counts=True)  # by gram; the slots of a unit lie together
+        own = cell % slots
+        group = np.cumsum((np.diff(cell // slots, prepend=-1) != 0) | (np.diff(unit_of[own], prepend=-1) != 0)) - 1
+        weight = c * np.log(docs[unit_of[own]] / np.bincount(group)[group]) if len(own) else np.zeros(0)
+        size, mass = np.bincount(own, minlength=slots), np.bincount(own, weight, slots)
+        # cells and slots that are `far` apart: pairs are formed of equal grams of one unit only
+        pair, shared = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for far in range(1, int(np.bincount(group).max(initial=0))):
+            same = np.flatnonzero(group[far:] == group[:-far])
+            pair.append(own[same] * slots + own[same + far])
+            shared.append(np.minimum(weight[same], weight[same + far]))
+        pair, back = np.unique(np.concatenate(pair), return_inverse=True)
+        hits, masses = np.append(np.bincount(back, minlength=len(pair)), 0), np.append(np.bincount(back, np.concatenate(shared), len(pair)), 0.0)
+        sums, others = np.zeros((2, slots)), np.zeros(slots)
+        for far in range(1, int(np.bincount(unit_of).max(initial=0))):
+            a = np.flatnonzero((unit_of[far:] == unit_of[:-far]) & (size[far:] > 0) & (size[:-far] > 0) & known[far:] & known[:-far])
+            b, place = a + far, np.searchsorted(pair, a * slots + a + far)
+            place[np.append(pair, -1)[place] != a * slots + b] = len(pair)
+            hit = hits[place]
+            for values, total in zip((hit / np.maximum(size[a] + size[b] - hit, 1), 2 * masses[place] / np.maximum(mass[a] + mass[b], 1.0)), sums):
+                total[a] += values
+                total[b] += values
+            others[a] += 1
+            others[b] += 1
+        some = others > 0
+        met |= some
+        exact[some] += share * sums[0][some] / others[some]
+        idf[some] += share * sums[1][some] / others[some]
+    kept = np.flatnonzero(met)
+    return unit_of[kept], engines.take(pa.array(first[kept])), exact[kept], idf[kept]
+
+
 def ngram_consensus(hyps: DataFrame, keys: list[str], engine: str = "engine") -> DataFrame:
     """Exact Jaccard and IDF-weighted overlap per hypothesis, averaged over the unit's other hypotheses and weighted over n.
 
-    Shared n-grams are found by an equi-join on the n-gram; sizes of unions follow from sizes of the sides, so no pair of
-    different n-grams is ever formed.
+    A unit's hypotheses, texts of one turn, meet in one row, so that only texts are shuffled and no n-gram; sizes of unions follow
+    from sizes of the sides, so no pair of different n-grams is ever formed.
     """
-    g = ngrams(hyps, keys, engine)
-    held = g.groupBy(*keys, "n", "gram").agg(F.count("*").alias("df"))
-    units = hyps.groupBy(*keys).agg(F.count("*").alias("docs"))
-    g = g.join(held, [*keys, "n", "gram"]).join(units, keys).withColumn("weight", F.col("c") * F.log(F.col("docs") / F.col("df")))
-    size = g.groupBy(*keys, engine, "n").agg(F.count("*").alias("size"), F.sum("weight").alias("mass"))
-    side = lambda i: g.select(*keys, "n", "gram", F.col(engine).alias(f"e{i}"), F.col("weight").alias(f"w{i}"))
-    both = side(1).join(side(2), [*keys, "n", "gram"]).where("e1 <> e2").groupBy(*keys, "n", "e1", "e2").agg(
-        F.count("*").alias("shared"), F.sum(F.least("w1", "w2")).alias("shared_mass"))
-    s = lambda i: size.select(*keys, "n", F.col(engine).alias(f"e{i}"), F.col("size").alias(f"n{i}"), F.col("mass").alias(f"m{i}"))
-    pairs = s(1).join(s(2), [*keys, "n"]).where("e1 <> e2").join(both, [*keys, "n", "e1", "e2"], "left")
-    hit, mass = F.coalesce("shared", F.lit(0)), F.coalesce("shared_mass", F.lit(0.0))
-    exact = hit / F.greatest(F.col("n1") + F.col("n2") - hit, F.lit(1))
-    idf = 2 * mass / F.greatest(F.col("m1") + F.col("m2"), F.lit(1.0))
-    per = pairs.groupBy(*keys, F.col("e1").alias(engine), "n").agg(F.avg(exact).alias("exact"), F.avg(idf).alias("idf"))
-    weight = F
-    for n, w in NGRAM_WEIGHTS.items():
-        weight = weight.when(F.col("n") == n, w)
-    return per.groupBy(*keys, engine).agg(F.sum(F.col("exact") * weight).alias("exact"), F.sum(F.col("idf") * weight).alias("idf"))
+    texts = hyps.select(*keys, engine, F.array_join(_cleaned("text"), " ").alias("_text"))
+    for k in keys:
+        texts = texts.where(F.col(k).isNotNull())
+    units = texts.groupBy(*keys).agg(F.collect_list(F.struct(engine, "_text")).alias("_hyps"))
+    names = [*keys, engine, "exact", "idf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(batch.num_columns - 1)
+            unit = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
+            chars = np.bincount(unit, pc.utf8_length(held.flatten().field(1).fill_null("")).to_numpy(), len(held))
+            block = np.cumsum(chars) // BLOCK_CHARS
+            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some = batch.slice(lo, hi - lo)
+                at, engines, exact, idf = _overlaps(some)
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(pa.array(at)) for k in range(len(keys))), engines, pa.array(exact), pa.array(idf)], names)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in hyps.select(*keys, engine).schema.fields]
+    return units.mapInArrow(run, ", ".join([*fields, "exact double", "idf double"]))
 
 
 # fixed values: entity kinds compared between hypotheses

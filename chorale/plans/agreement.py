@@ -19,7 +19,7 @@ _WT = "CASE n " + " ".join(f"WHEN {n} THEN {w!r}::DOUBLE" for n, w in op.NGRAM_W
  pr AS (SELECT a.session_id, a.turn, a.n, a.engine, coalesce(sh,0)/greatest(a.size+b.size-coalesce(sh,0),1) AS ex, 2*coalesce(sm,0)/greatest(a.mass+b.mass,1) AS idf FROM sz a JOIN sz b ON a.session_id=b.session_id AND a.turn=b.turn AND a.n=b.n AND a.engine<>b.engine LEFT JOIN bo ON bo.session_id=a.session_id AND bo.turn=a.turn AND bo.n=a.n AND bo.e1=a.engine AND bo.e2=b.engine),
  av AS (SELECT session_id, turn, engine, n, avg(ex) AS ex, avg(idf) AS idf FROM pr GROUP BY ALL) SELECT session_id, turn, engine, round(sum(ex*{_WT}),6) AS exact, round(sum(idf*{_WT}),6) AS idf FROM av GROUP BY 1,2,3""")
 def _(v):
-    d = op.ngram_consensus(hs(v), ["session_id", "turn"])
+    d = op.ngram_consensus(v.htext, ["session_id", "turn"])
     return d.select("session_id", "turn", "engine", r6("exact").alias("exact"), r6("idf").alias("idf"))
 
 
