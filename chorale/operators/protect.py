@@ -10,13 +10,18 @@ patterns name are kept), so word borders are the same in every engine.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
+from itertools import zip_longest
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chorale.functions.text import as_col
+from chorale.functions.text import NOT_WORD, as_col
 from chorale.operators import corpus
 
 # fixed values: category -> priority, patterns
@@ -72,8 +77,6 @@ def compiled() -> list[tuple[Rule, re.Pattern]]:
 
 
 FOREIGN = re.compile(r"[^\x00-\x7f]")
-FIGURE = re.compile("[0-9]")
-
 
 @cache
 def without_figures() -> list[tuple[int, Rule, re.Pattern]]:
@@ -82,10 +85,52 @@ def without_figures() -> list[tuple[int, Rule, re.Pattern]]:
     return [(at, r, c) for at, (r, c) in enumerate(compiled()) if not figure.search(r.pattern)]
 
 
+FIGURES, CAPITALS = re.compile("[0-9]+"), re.compile("[A-Z]+")
+
+
+class Search(NamedTuple):
+    at: int
+    rule: Rule
+    pattern: re.Pattern
+    starts: re.Pattern | None  # every match starts where one of its runs does, at a word border
+    hint: re.Pattern | None  # found wherever the pattern is
+
+
+@cache
+def searches() -> list[Search]:
+    """How the matches of each rule are looked for without trying its pattern at every letter."""
+    out = []
+    for at, (rule, pattern) in enumerate(compiled()):
+        begins = rule.pattern.removeprefix(r"\b")
+        starts = FIGURES if begins.startswith(("[0-9]", r"\d")) else CAPITALS if begins.startswith("[A-Z]") else None
+        # what a pattern that begins with small letters or any word is told by stands after them
+        hint = None if starts else re.compile(re.sub(r"^(\[a-z\]|\\w)\+", "", begins), re.ASCII)
+        out.append(Search(at, rule, pattern, starts if rule.pattern.startswith(r"\b") else None, hint))
+    return out
+
+
+def matches(search: Search, seen: str, places: list[int]) -> Iterator[re.Match]:
+    """The matches that ``finditer`` gives; ``places``: where runs of the rule's first letters start at a word border."""
+    if search.starts is None:
+        if search.hint is None or search.hint.search(seen):
+            yield from search.pattern.finditer(seen)
+        return
+    end = 0
+    for place in places:
+        if place >= end and (m := search.pattern.match(seen, place)):
+            yield m
+            end = m.end()
+
+
 def plain(text: str) -> str:
     """The text as patterns see it: same length, ASCII only."""
     if text.isascii():
         return text
+    foreign = {c for c in set(text) if c > "\x7f"}
+    if len(foreign) < 50:  # a pass for each sign is shorter than a call for each place
+        for c in foreign:
+            text = text.replace(c, STAND_INS[NAMED.index(c)] if c in NAMED else "x" if c.isalnum() else " ")
+        return text
     named = str.maketrans(NAMED, STAND_INS)
     return FOREIGN.sub(lambda m: "x" if m[0].isalnum() else " ", text.translate(named))
 
@@ -96,9 +141,10 @@ def spans_in(text: str | None) -> list[tuple[int, int, str, str, int, float]]:
         return []
     seen = plain(text)
     found = []
-    held = [(at, r, c) for at, (r, c) in enumerate(compiled())] if FIGURE.search(seen) else without_figures()
-    for at, rule, pattern in held:
-        for m in pattern.finditer(seen):
+    borders = {runs: [a for m in runs.finditer(seen) if not (a := m.start()) or not (seen[a - 1].isalnum() or seen[a - 1] == "_")] for runs in (FIGURES, CAPITALS)}
+    for search in searches():
+        at, rule = search.at, search.rule
+        for m in matches(search, seen, borders.get(search.starts, [])):
             a, b = m.span()
             size, token = b - a, seen[a:b]
             sure = rule.quality * (0.8 if size < 3 else 0.9 if size > 20 else 1.0)
@@ -138,24 +184,26 @@ def protected_spans(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     return rows.select(*keys, "s.start", "s.end", F.substring("_t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("token"), "s.category", "s.categories", "s.matches", "s.score")
 
 
+def masked_text(t: str | None) -> tuple[str | None, list[str]]:
+    """The text with one mark for each span, and what the marks stand for; a mark of the text itself is held too."""
+    pieces, kept, at = [], [], 0
+    for start, end, *_ in spans_in(t):
+        gap = (t[at:start]).split(MARK)
+        pieces += gap
+        kept += [MARK] * (len(gap) - 1) + [t[start:end]]
+        at = end
+    gap = (t or "")[at:].split(MARK)
+    pieces += gap
+    kept += [MARK] * (len(gap) - 1)
+    return None if t is None else MARK.join(pieces), kept
+
+
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``masked``, the text with one mark for each span, and ``held``, what the marks stand for; a mark of the text itself is held too."""
 
     @F.pandas_udf("struct<masked:string,held:array<string>>")
     def hide(texts: pd.Series) -> pd.DataFrame:
-        masked, held = [], []
-        for t in texts:
-            pieces, kept, at = [], [], 0
-            for start, end, *_ in spans_in(t):
-                gap = (t[at:start]).split(MARK)
-                pieces += gap
-                kept += [MARK] * (len(gap) - 1) + [t[start:end]]
-                at = end
-            gap = (t or "")[at:].split(MARK)
-            pieces += gap
-            kept += [MARK] * (len(gap) - 1)
-            masked.append(None if t is None else MARK.join(pieces))
-            held.append(kept)
+        masked, held = zip(*map(masked_text, texts)) if len(texts) else ((), ())
         return pd.DataFrame({"masked": masked, "held": held})
 
     return df.withColumn("_m", hide(as_col(text))).select(*df.columns, "_m.masked", "_m.held")
@@ -174,3 +222,112 @@ def normalize_protected(df: DataFrame, profile: str, text: str = "text") -> Data
     count = lambda c: F.size(F.split(corpus.tidy_spaces(as_col(c)), " "))
     done = done.withColumn("normalized", restore("normalized", "held"))
     return done.select(*df.columns, "profile", "normalized", count(text).alias("words_before"), count("normalized").alias("words_after"), F.size("held").alias("protected"))
+
+
+SPACE = r"[ \t\n\x0b\f\r]"  # what \s is in the engine; \W is what it calls neither letter nor figure nor underscore
+
+
+def either_case(rule: str) -> re.Pattern:
+    """A rule of ``corpus`` as the engine reads it: without regard to the case of ASCII letters only."""
+    literal = re.sub("[A-Za-z]", lambda m: f"[{m[0].upper()}{m[0].lower()}]", rule.removeprefix("(?i)").replace(NOT_WORD, "\0").replace(r"\s", "\1"))
+    return re.compile(literal.replace("\0", r"\W").replace("\1", SPACE))
+
+
+@cache
+def fillers() -> dict[str, tuple[re.Pattern, Callable]]:
+    """The filler rules, and what a lowered text must hold to match one."""
+    twice, single, any_one = (re.compile(rf"{p}(?!\w)(?<!\w{'.' * n})") for p, n in (("(?:um|uh|er|ah) (?:um|uh|er|ah)", 5), ("(?:um|uh)", 2), ("(?:um|uh|er|ah)", 2)))
+    any_of = {"double": twice.search, "single": single.search, "all": any_one.search, "phrases": lambda low: "you know" in low or "i mean" in low}
+    return {name: (either_case(rule), any_of[name]) for name, rule in corpus.FILLER_RULES.items()}
+
+
+COMMA = re.compile(corpus.COMMA_RULE.replace(r"\s]", " \t\n\x0b\f\r]").replace(r"\s", SPACE))
+STOPS, NOT_A_WORD = re.compile("[.!?]+"), re.compile(r"\W")
+NAME_SET, NUMBER_SET, EMPHASIS_SET = frozenset(corpus.NAMES), frozenset(corpus.NUMBER_WORDS), frozenset(corpus.EMPHASIS)
+
+
+def words_of(t: str) -> list[bytes]:
+    """Words between the white space that the engine's \\s knows."""
+    return t.encode().split()
+
+
+def tidy(t: str) -> str:
+    return b" ".join(words_of(t)).decode()
+
+
+def capitalised(t: str) -> str:
+    return t[:1].upper() + t[1:]
+
+
+def without_fillers(t: str, rules: Sequence[str]) -> str:
+    """A tidy text without the matches of ``rules``, each taken twice."""
+    for name in rules:
+        rule, possible = fillers()[name]
+        if possible(t.lower()) and (once := rule.sub(r"\1\2", t)) != t:
+            t = tidy(rule.sub(r"\1\2", once))
+    return t
+
+
+def rewritten(t: str, p: dict) -> str:
+    """What a profile makes of a tidy text without fillers; it stays tidy throughout."""
+    if p["repeats"] or p["names"] or p["numbers"]:
+        words, low = t.split(" "), t.lower().split(" ")
+        if p["repeats"]:
+            gone = {i for i, (a, b) in enumerate(zip(low, low[1:]), 1) if a == b and b not in EMPHASIS_SET and not NOT_A_WORD.search(words[i])}
+            if gone:
+                words, low = ([w for i, w in enumerate(x) if i not in gone] for x in (words, low))
+        if p["numbers"] and not NUMBER_SET.isdisjoint(words):
+            words = [corpus.NUMBER_WORDS.get(w, w) for w in words]
+        if p["names"] and not NAME_SET.isdisjoint(low):
+            words = [capitalised(x) if x in NAME_SET else w for w, x in zip(words, low)]
+        t = " ".join(words)
+    if p["commas"] and (" and " in t or " but " in t or " or " in t):
+        t = COMMA.sub(r"\1, \2 ", t)
+    if p["quotes"]:
+        t = t.replace("“", '"').replace("”", '"').replace("‘", "'").replace("’", "'")
+    if p["sentences"]:
+        t = ". ".join(capitalised(s) for part in STOPS.split(t) if (s := part.strip(" ")))
+    return t
+
+
+def profiles_of(t: str | None, profiles: Sequence[str]) -> list[tuple[str | None, int | None, int | None, int]]:
+    """Of each profile: the text with its spans left as they are, words before and after, spans."""
+    masked, held = masked_text(t)
+    if t is None:
+        return [(None, None, None, 0)] * len(profiles)
+    start, before, known, out = tidy(masked), max(1, len(words_of(t))), {}, []
+    for name in profiles:
+        p = corpus.PROFILES[name]
+        open_text = without_fillers(start, p["fillers"])
+        key = open_text, *(p[k] for k in ("repeats", "names", "numbers", "commas", "quotes", "sentences"))  # two profiles often do the same to a text
+        if key not in known:
+            done = "".join(x for pair in zip_longest(rewritten(open_text, p).split(MARK), held, fillvalue="") for x in pair)
+            known[key] = done, max(1, len(words_of(done)))
+        done, after = known[key]
+        out.append((done, before, after, len(held)))
+    return out
+
+
+#: Characters of texts whose profiles a task holds at a time.
+BLOCK_CHARS = 4_000_000
+
+
+def normalize_protected_profiles(df: DataFrame, keys: list[str], profiles: Sequence[str], text: str = "text") -> DataFrame:
+    """``normalize_protected`` of several profiles, keys only: spans are looked for once a text, and what profiles share is done once."""
+    profiles = list(profiles)
+    names = [*keys, "profile", "normalized", "words_before", "words_after", "protected"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            block = pc.cumulative_sum(pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())).to_numpy() // BLOCK_CHARS
+            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                rows = [(name, *values) for t in texts.slice(lo, hi - lo).to_pylist() for name, values in zip(profiles, profiles_of(t, profiles))]
+                at = pa.array(np.repeat(np.arange(lo, hi), len(profiles)))
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))], names)
+
+    given = df.select(*keys, as_col(text).alias("_t"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{fields}, profile string, normalized string, words_before int, words_after int, protected int")

@@ -121,8 +121,7 @@ HIDDEN = with_views("norm") + SPANS + f""", ed AS (SELECT doc_id, b AS a, lead(a
 
 @query("H48_normalize_protected", HIDDEN + f""" SELECT doc_id, profile, normalized, CAST(len(string_split({_sp('text')},' ')) AS INTEGER) AS words_before, CAST(len(string_split({_sp('normalized')},' ')) AS INTEGER) AS words_after, CAST(protected AS INTEGER) AS protected FROM rs""")
 def _(v):
-    done = reduce(DataFrame.unionByName, [pt.normalize_protected(v.norm, p) for p in op.PROFILES])
-    return done.select("doc_id", "profile", "normalized", "words_before", "words_after", "protected")
+    return pt.normalize_protected_profiles(v.norm, ["doc_id"], op.PROFILES)
 
 
 TOKS = "list_distinct(list_filter(string_split_regex(lower({x}),'[^\\p{L}\\p{N}_]+'), lambda q: q<>''))"

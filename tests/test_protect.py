@@ -72,3 +72,47 @@ def test_long_texts_take_linear_time():
 def test_quality_follows_the_form():
     assert pt.quality(r"\bA\b") == pytest.approx(0.4 * 0.7 + 0.3 * 1.0 + 0.3 * 0.5) and pt.quality("a") == pytest.approx(0.4 * 0.5 + 0.3 * 0.5 + 0.3 * 0.5)
     assert max(r.quality for r in pt.rules()) <= 1.0
+
+
+def test_profiles_together_are_as_each_alone(spark):
+    from functools import reduce
+
+    rng = random.Random(29)
+    pieces = [t for _, t, _ in FOUND] + ["7  mg", "AB\ncd.ef", "a@b.co", pt.MARK, "“", "’", "2", "10", "NASA", "\x1c", "\xa0", " ", "\x85", "\t", "\x0b", "ſ", "you Know", "İ", "ΑΣ", "ß", "ŉa", "日本", "é", "μg", "5 μg", "€", "_um", "um_", "Ⓐ", "½", "ª", "́"]
+    fill = "um uh er ah UM Uh the the Very very so so So monday MAY May maY you know I mean i MEAN and but or AND 1 2 10 ok. so? end! “quoted” it’s x, y; and and or or um, uh er. um-uh (er) ÉTÉ été É. é.".split(" ")
+    rows = [(i, "".join(rng.choice(pieces if rng.random() < 0.25 else fill) + rng.choice(["  ", " ", " ", " ", " ", ""]) for _ in range(rng.randint(0, 60)))) for i in range(1500)]
+    rows += [(2000, None), (2001, ""), (2002, "  \n"), (2003, pt.MARK * 3), (2004, "um"), (2005, "".join(map(chr, range(0x80, 0x500)))), (2006, "um uh "), (None, "um um 5 mg")]
+    d = spark.createDataFrame(rows, "id int, text string")
+    columns = ["id", "profile", "normalized", "words_before", "words_after", "protected"]
+    want = reduce(lambda a, b: a.unionByName(b), [pt.normalize_protected(d, p) for p in corpus.PROFILES]).select(*columns)
+    got = pt.normalize_protected_profiles(d, ["id"], corpus.PROFILES)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan  # before, each profile read and masked every text anew
+
+
+def test_words_are_what_the_engine_calls_words(spark):
+    from chorale.functions.text import NOT_WORD
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("string")
+    def sign(c: pd.Series) -> pd.Series:
+        return c.map(chr)
+
+    signs = spark.range(0x110000).where("id not between 55296 and 57343").select("id", sign("id").alias("s")).select("id", F.col("s").rlike(NOT_WORD).alias("n"), F.col("s").rlike(r"\p{Cn}").alias("unknown"))
+    odd = [r for r in signs.collect() if r.n != bool(pt.NOT_A_WORD.search(chr(r.id)))]
+    assert all(r.unknown for r in odd)  # letters of a Unicode newer than the JVM's
+
+
+def test_matches_are_those_of_the_patterns():
+    rng = random.Random(31)
+    for _ in range(4000):
+        t = "".join(rng.choice(["aB", "C", " ", "x", "Q", "-", "_", ".", "/", "@", "#", ",", "%", "v", "mg", "7", "20", "2021", "No", "FY", "é", "μ", "version ", "\x03"]) for _ in range(rng.randint(0, 25)))
+        seen = pt.plain(t)
+        assert len(seen) == len(t) and seen.isascii()
+        found = sorted((m.start(), m.end(), at) for at, (_, c) in enumerate(pt.compiled()) for m in c.finditer(seen))
+        spans = pt.spans_in(t)
+        assert sum(s[4] for s in spans) == len(found) and all(any(a <= x and y <= b for a, b, *_ in spans) for x, y, _ in found)
