@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from chorale.functions.entities import fusion_type
 from chorale.functions.strings import edit_sim, seq_ratio, word_key
 from chorale.operators.fold import fold_rows, fold_sorted
-from chorale.operators.skew import attach, first_by, interval_join, islands, overlap_islands, scan_over, top_n
+from chorale.operators.skew import attach, first_by, interval_join, overlap_islands, scan_over, top_n
 from chorale.operators.turns import KEY, _bucket
 
 SLOT = ["session_id", "turn", "pos"]
@@ -676,15 +676,15 @@ def merge_chunks(chunks: DataFrame, tokens: DataFrame, unit: float, width: float
     lo = F.when(F.col("p_end") - F.col("start") > 0.01 * unit, (F.col("p_end") + F.col("start")) / 2)
     hi = F.when(F.col("end") - F.col("n_start") > 0.01 * unit, (F.col("end") + F.col("n_start")) / 2)
     edges = c.select(*KEY, "chunk_id", lo.alias("lo"), hi.alias("hi"))
-    t = tokens.join(edges, [*KEY, "chunk_id"]).where(
-        (F.col("lo").isNull() | (F.col("start") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("end") <= F.col("hi"))))
-    t = t.withColumn("low", F.lower(F.trim("word")))
-    order, b = ["start", "chunk_id", "word_id"], _bucket("start", width)
-    # tokens further than 100 ms from their predecessor can never be dropped, so only tight runs are folded
-    t = scan_over(t, KEY, order, b, lag={"p_start": F.col("start")})
-    t = islands(t, KEY, order, b, F.col("p_start").isNull() | (F.col("start") - F.col("p_start") > near * unit), "run")
-    lone = attach(t, [*KEY, "run"], size=F.count("*"))
     limit = near * unit
+    # tokens further than 100 ms from all before them cannot be dropped because of those: the tokens of a chunk in a time bucket are one
+    # piece, and pieces whose starts come within 100 ms of each other are folded together; tokens are shuffled to their edges and to the fold
+    t = tokens.withColumn("piece", _bucket("start", width))
+    pieces = t.groupBy(*KEY, "chunk_id", "piece").agg(F.min("start").alias("start"), F.max("start").alias("end"))
+    runs = overlap_islands(pieces, KEY, "start", "end", ["chunk_id", "piece"], width, limit).select(*KEY, "chunk_id", "piece", F.col("island").alias("run"))
+    t = t.join(runs.join(edges, [*KEY, "chunk_id"]), [*KEY, "chunk_id", "piece"]).where(
+        (F.col("lo").isNull() | (F.col("start") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("end") <= F.col("hi"))))
+    order = ["start", "chunk_id", "word_id"]
 
     def step(kept, s, w):
         kept = kept or []
@@ -692,8 +692,6 @@ def merge_chunks(chunks: DataFrame, tokens: DataFrame, unit: float, width: float
             return kept, False
         return (kept + [(s, w)])[-3:], True
 
-    cols = [*KEY, "run", "chunk_id", "word_id", "start", "end", "word", "low"]
-    single = lone.where("size = 1").select(*KEY, "chunk_id", "word_id", "start", "end", "word")
-    many = lone.where("size > 1").select(*cols)
-    folded = fold_rows(many, [*KEY, "run"], order, ["start", "low"], "keep boolean", step)
-    return single.unionByName(folded.where("keep").select(*single.columns))
+    out = [*KEY, "chunk_id", "word_id", "start", "end", "word"]
+    folded = fold_rows(t.select("run", *out), [*KEY, "run"], order, ["start", "low"], "keep boolean", step, low=F.lower(F.trim("word")))
+    return folded.where("keep").select(*out)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def changes(columns: list[np.ndarray]) -> np.ndarray:
@@ -57,13 +57,15 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema
     return sorted_rows.mapInPandas(run, schema)
 
 
-def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str, step: Callable) -> DataFrame:
+def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str, step: Callable, **late: Column) -> DataFrame:
     """``fold_sorted`` for many short keys: ``step(state, *values) -> (state, value of out)`` of each row, ``out`` is ``name type``.
 
+    ``late`` are columns that are made after the shuffle.
     Keys are told apart by one comparison a batch, so a key of few rows costs no frame of its own.
     """
     keys, columns, name = list(keys), list(columns), out.split()[0]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out}"
+    sorted_rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *list(order)).withColumns(late)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields) + f", {out}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -80,4 +82,4 @@ def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
             current = tuple(None if pd.isna(c[-1]) else c[-1] for c in held)
             yield pdf.assign(**{name: values})
 
-    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *list(order)).mapInPandas(run, fields)
+    return sorted_rows.mapInPandas(run, fields)

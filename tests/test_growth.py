@@ -335,3 +335,45 @@ def test_texts_of_hypotheses_without_rows_of_words(spark, tmp_path):
     assert sorted(v.htext.collect(), key=str) == want and len(want) > 200
     units = agreement.ngram_consensus(v.htext, ["session_id", "turn"])
     assert units._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: words, then texts, then n-grams
+
+
+def shuffles_of(df, column):
+    """How many shuffles of the plan carry a column of this name."""
+    def walk(node):
+        own = node.nodeName() == "Exchange" and any(a.split("#")[0] == column for a in node.output().mkString(" ").split(" "))
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().length()))
+
+    return walk(df._jdf.queryExecution().executedPlan().initialPlan())
+
+
+def test_tokens_of_chunks_are_shuffled_twice(spark):
+    rng = random.Random(37)
+    chunks, tokens = [], []
+    for s in range(40):
+        at = 0
+        for c in range(rng.randint(1, 8)):
+            length = rng.choice([300, 2_000, 70_000])
+            chunks.append((s, c, at, at + length + rng.choice([0, 5, 900, 5_000])))
+            starts = sorted(rng.randrange(at - 50, at + length) for _ in range(rng.randint(0, 60))) + [60_000 + x for x in (-60, -10, 0, 30, 90)]
+            tokens += [(s, c, c * 1000 + i, x, x + rng.choice([20, 200]), rng.choice(["a", "A ", "b", "", " ", "c"])) for i, x in enumerate(starts)]
+            at += rng.choice([length, length // 2, length + 500])
+    tokens += [(99, 0, 1, 0, 5, "lost"), (None, 0, 1, 0, 5, "lost")]
+    want = []
+    for s in range(40):
+        own, kept = sorted((a, c, b) for t, c, a, b in chunks if t == s), []
+        edges = {}
+        for i, (a, c, b) in enumerate(own):
+            before, after = own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None
+            edges[c] = ((before[2] + a) / 2 if before and before[2] - a > 10 else None, (b + after[0]) / 2 if after and b - after[0] > 10 else None)
+        rows = sorted((x, c, i, y, w) for t, c, i, x, y, w in tokens if t == s and (edges[c][0] is None or x > edges[c][0]) and (edges[c][1] is None or y <= edges[c][1]))
+        for k, (x, c, i, y, w) in enumerate(rows):
+            if k and x - rows[k - 1][0] > 100:
+                kept = []
+            low = w.strip(" ").lower()
+            if low and any(x - p <= 100 and q == low for p, q in kept):
+                continue
+            kept = (kept + [(x, low)])[-3:]
+            want.append((s, c, i, x, y, w))
+    d = align.merge_chunks(spark.createDataFrame(chunks, "session_id long, chunk_id long, start long, end long"), spark.createDataFrame(tokens, "session_id long, chunk_id long, word_id long, start long, end long, word string"), 1000, 60_000)
+    assert sorted(map(tuple, d.collect())) == sorted(want) and len(want) < len(tokens) - 100
+    assert shuffles_of(d, "word") <= 2  # before: nine
